@@ -84,3 +84,12 @@ def batched(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20
             end = max(at + 1, int(np.searchsorted(sizes, base + limit, "right")))
             yield batch.slice(at, end - at)
             at = end
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps whose results are stored by now: it does
+    so when the driver's JVM finds that nothing refers to them."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bagminhash import op8_bagminhash
 from .bpe import op10_bpe
 from .licenses import op2_licenses
 from .onebit import op9_nearest
 from .packing import op7_packing
+from .passages import op6_passages
 from .quality import op5_quality
 from .syncmers import op4_syncmers
 from .token_files import op1_token_files
@@ -21,7 +23,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_syncmers": op4_syncmers,
     "op5_quality": op5_quality,
+    "op6_passages": op6_passages,
     "op7_packing": op7_packing,
+    "op8_bagminhash": op8_bagminhash,
     "op9_nearest": op9_nearest,
     "op10_bpe": op10_bpe,
 }
