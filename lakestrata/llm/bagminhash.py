@@ -33,6 +33,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = tune_bands(SIMILARITY, 0.9995, 160)
 REGISTERS = BANDS * ROWS
+#: Salts that the rows of a class are spread over when it is named.
+SALTS = 16
 _STEP, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -145,8 +147,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     release(spark)
     # nodes without a link are classes of their own
     known = rows.join(labels, "node", "left").select("doc_id", "content", F.coalesce("root", "node").alias("root"))
-    named = known.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    joined = known.join(named, "root", "left")
+    # rows of large classes are spread over salts; classes of one row need no join
+    salt = F.pmod(F.xxhash64("doc_id", "content"), F.lit(SALTS)).cast("int")
+    named = known.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).filter("n > 1").select("root", "class_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    joined = known.withColumn("salt", salt).join(named, ["root", "salt"], "left")
     return joined.select("doc_id", "content", "root", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
