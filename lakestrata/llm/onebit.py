@@ -148,8 +148,11 @@ def nearest(index: DataFrame, queries: DataFrame, centres: dict[int, list[float]
         for searcher in held.values():
             yield searcher.rows()
 
-    asked = queries.select(F.col("d").alias("q_d"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    met = index.crossJoin(asked).filter("d = q_d").drop("q_d")  # blocks of the stated query set against all blocks
+    # blocks of the stated query set against all blocks: each group of vector blocks gets
+    # its own copy of the query blocks, so the groups are searched side by side
+    groups = partitions(index.sparkSession)
+    asked = queries.select("d", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    met = index.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).join(asked, ["d", "group"]).drop("group")
     found = met.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
