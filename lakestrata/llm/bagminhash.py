@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batched, materialise, release, table
-from .linking import classes, pack_set, tune_bands
+from .linking import WEIGHTED, classes, pack_set, tune_bands
 from .syncmers import mix
 from .textvec import shingles, word_hashes
 
@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         texts = docs.select(_doc_key().alias("key"), _content().alias("content"), "text")
         return materialise(texts.join(reps, ["key", "content"]).select("node", "text").mapInArrow(run, "node long, items binary").dropDuplicates(["node"]), "sets")
 
-    labels = classes(bands, sets_of, SIMILARITY)
+    labels = classes(bands, sets_of, SIMILARITY, WEIGHTED)
     release(spark)
     # nodes without a link are classes of their own
     known = rows.join(labels, "node", "left").select("doc_id", "content", F.coalesce("root", "node").alias("root"))

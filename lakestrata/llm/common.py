@@ -87,9 +87,13 @@ def batched(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of steps whose results are stored by now: it does
-    so when the driver's JVM finds that nothing refers to them."""
+    """Let Spark remove the shuffle files of steps whose results are stored by now. It does
+    so when the driver's JVM finds that nothing refers to them: what Python held is let go
+    of first, then what the JVM held through it."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
