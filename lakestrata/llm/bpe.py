@@ -13,6 +13,7 @@ for each row. Empty table: no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import struct
@@ -137,12 +138,18 @@ class TrieEncoder:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+@functools.lru_cache(1)
+def trie_encoder(path: str) -> tuple[TrieEncoder, ByteLevelEncoder]:
+    """The trie and the chunk cache over it, kept for all tasks of a Python worker."""
+    trie = TrieEncoder(path)
+    return trie, ByteLevelEncoder(path, trie.chunks)
+
+
 def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids (array<int>) and decoded text of every row; the general interface."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = TrieEncoder(tokenizer)
-        encode = ByteLevelEncoder(tokenizer, trie.chunks)
+        trie, encode = trie_encoder(tokenizer)
         for batch in batched(batches, "text"):
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in encode([t or "" for t in batch.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([trie.decode(x.tolist()) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
@@ -155,8 +162,7 @@ def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     are hashed where they are made, so no ids leave the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = TrieEncoder(tokenizer)
-        encode = ByteLevelEncoder(tokenizer, trie.chunks)
+        trie, encode = trie_encoder(tokenizer)
         digit = [str(i) for i in range(max(trie.bytes_of) + 1)].__getitem__
         for batch in batched(batches, "text"):
             counts, of_ids, of_text = [], [], []

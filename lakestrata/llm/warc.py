@@ -83,7 +83,10 @@ def write_archive(uri: str, records: list[bytes]) -> None:
         dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, chosen, k=200, d=8, level=3).as_bytes() if len(chosen) > 7 else b""
     except zstandard.ZstdError:
         dictionary = b""
-    extra = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+    shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    if shared:
+        shared.precompute_compress(level=3)
+    extra = {"dict_data": shared} if shared else {}
     compress = zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=True, **extra).compress
 
     def body(out) -> None:
