@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batched, filesystem, fresh_path, materialise, partitions, write_atomically
-from .tokens import ByteLevelEncoder
+from .tokens import byte_level_encoder
 
 MAGIC = b"TOKSHRD1"
 #: Documents that the dictionary is trained on, ids of each that are used, and its bytes.
@@ -41,8 +41,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     hashed doc_id is smallest. Too few documents to train on: an empty one."""
     import zstandard
 
-    rows = docs.select(F.substring("text", 1, 8 * SAMPLE_IDS).alias("t"), F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "t").limit(SAMPLE_DOCUMENTS).collect()
-    encode = ByteLevelEncoder(tokenizer)
+    chosen = [r["doc_id"] for r in docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).collect()]
+    # a few rows come to the driver, each cut to what the dictionary can use
+    rows = docs.filter(F.col("doc_id").isin(chosen)).select(F.substring("text", 1, 4 * SAMPLE_IDS).alias("t"), F.xxhash64("doc_id").alias("h")).orderBy("h", "t").limit(SAMPLE_DOCUMENTS).collect()
+    encode = byte_level_encoder(tokenizer)
     samples = [ids[: 4 * SAMPLE_IDS] for ids in encode([r["t"] or "" for r in rows]) if ids]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=200, d=8, level=3).as_bytes()
@@ -56,7 +58,10 @@ class ShardWriter:
     def __init__(self, dictionary: bytes):
         import zstandard
 
-        extra = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if shared:
+            shared.precompute_compress(level=3)  # digested once, not for each document
+        extra = {"dict_data": shared} if shared else {}
         self.compress = zstandard.ZstdCompressor(level=3, write_content_size=True, **extra).compress
         self.head = MAGIC + hashlib.sha256(dictionary).digest()
         self.at, self.tokens = len(self.head), 0
@@ -112,7 +117,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
     write_atomically(f"{folder}/dictionary", lambda out: out.write(dictionary))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = ByteLevelEncoder(tokenizer), ShardWriter(dictionary)
+        encode, shard = byte_level_encoder(tokenizer), ShardWriter(dictionary)
         end = struct.pack("<I", END_ID)
         number = TaskContext.get().partitionId()
         uri = f"{folder}/shard-{number:06d}"
