@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batched, partitions, table
-from .tokens import WordEncoder
+from .tokens import word_encoder
 
 WINDOW = 4096
 END_ID = 2
@@ -140,7 +140,7 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = WordEncoder(tokenizer), Packer()
+        encode, packer = word_encoder(tokenizer), Packer()
         base, end = TaskContext.get().partitionId() << 40, struct.pack("<I", END_ID)
         rows: list[tuple] = []
         for batch in batched(batches, "text"):

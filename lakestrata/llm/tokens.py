@@ -3,6 +3,7 @@ white space encoded once per task and held in a bounded cache."""
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -150,3 +151,14 @@ class WordEncoder:
             self.cache = {w: cache[w] for w in keep}
             self.lengths = {w: lengths[w] for w in keep}
         return out
+
+
+@functools.lru_cache(1)
+def byte_level_encoder(path: str) -> ByteLevelEncoder:
+    """One encoder for all tasks that a Python worker runs, so that its cache stays warm."""
+    return ByteLevelEncoder(path)
+
+
+@functools.lru_cache(1)
+def word_encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
