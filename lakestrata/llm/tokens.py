@@ -11,7 +11,7 @@ import struct
 import numpy as np
 
 #: Entries that a worker's cache may hold after a batch (about 200 bytes each).
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 #: White space besides blank and line feed, and the controls that Python alone takes for it.
 _RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _CONTROLS = re.compile("[\x1c-\x1f]")
