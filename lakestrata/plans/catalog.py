@@ -67,14 +67,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-LINE_COLUMNS = ["order_id", "customer_id", "product_id", "quantity", F.col("price").cast("double").alias("price"), "status", text_time("created_at"), text_time("updated_at")]
+def line_columns() -> list:
+    return ["order_id", "customer_id", "product_id", "quantity", F.col("price").cast("double").alias("price"), "status", text_time("created_at"), text_time("updated_at")]
+
+
 SQL_LINE = f"order_id, customer_id, product_id, quantity, CAST(price AS DOUBLE) AS price, status, {_stamp('created_at')} AS created_at, {_stamp('updated_at')} AS updated_at"
 
 
 # --- rules ------------------------------------------------------------------------------
 @query("rules_good", f"WITH {LINES} SELECT {SQL_LINE} FROM lines WHERE updated_at >= created_at")
 def rules_good(spark, sf):
-    return A.good_lines(spark, sf).select(LINE_COLUMNS)
+    return A.good_lines(spark, sf).select(line_columns())
 
 
 LINE_RULES = [rules.Rule("quantity_small", "quantity <= 45"), *A.UPDATED_RULE]
@@ -83,7 +86,7 @@ SQL_REASON = "concat_ws(',', CASE WHEN NOT quantity <= 45 THEN 'quantity_small'
 
 @query("rules_bad", f"WITH {LINES} SELECT {SQL_LINE}, {SQL_REASON} AS _quarantine_reason FROM lines WHERE {SQL_REASON} <> ''")
 def rules_bad(spark, sf):
-    return rules.split_quarantine(A.order_lines(spark, sf), LINE_RULES)[1].select(*LINE_COLUMNS, rules.REASON)
+    return rules.split_quarantine(A.order_lines(spark, sf), LINE_RULES)[1].select(*line_columns(), rules.REASON)
 
 
 @query("rules_breakdown", f"WITH {LINES}, bad AS (SELECT {SQL_REASON} AS reason FROM lines) SELECT reason, count(*) AS n FROM bad WHERE reason <> '' GROUP BY reason")
@@ -121,7 +124,7 @@ def watermark_orders(spark, sf):
 
 @query("dedup_lines", f"WITH {DEDUP} SELECT {SQL_LINE} FROM dedup")
 def dedup_lines(spark, sf):
-    return A.dedup(A.good_lines(spark, sf)).select(LINE_COLUMNS)
+    return A.dedup(A.good_lines(spark, sf)).select(line_columns())
 
 
 def _merge_sides(spark, sf):
@@ -132,7 +135,12 @@ def _merge_sides(spark, sf):
 
 SQL_SIDES = f"""{DEDUP}, base AS (SELECT order_id, product_id, status, CAST(price AS DOUBLE) AS price, updated_at FROM dedup), t AS (SELECT * FROM base WHERE product_id % 3 <> 0),
 s AS (SELECT order_id, product_id, 'changed' AS status, -price AS price, updated_at + CAST(product_id % 5 - 2 AS INT) * INTERVAL 1 DAY AS updated_at FROM base WHERE product_id % 3 <> 1)"""
-STATE = ["order_id", "product_id", "status", "price", text_time("updated_at")]
+
+
+def state_columns() -> list:
+    return ["order_id", "product_id", "status", "price", text_time("updated_at")]
+
+
 
 
 def _sql_state(pick: str) -> str:
@@ -142,18 +150,18 @@ def _sql_state(pick: str) -> str:
 
 @query("merge_newer_wins", _sql_state("CASE WHEN t.order_id IS NULL OR s.updated_at > t.updated_at THEN s.{c} ELSE t.{c} END"))
 def merge_newer_wins(spark, sf):
-    return state.merge_newer(*_merge_sides(spark, sf), ["order_id"]).select(STATE)
+    return state.merge_newer(*_merge_sides(spark, sf), ["order_id"]).select(state_columns())
 
 
 @query("merge_insert_only", _sql_state("CASE WHEN t.order_id IS NULL THEN s.{c} ELSE t.{c} END"))
 def merge_insert_only(spark, sf):
-    return state.merge_insert_only(*_merge_sides(spark, sf), ["order_id"]).select(STATE)
+    return state.merge_insert_only(*_merge_sides(spark, sf), ["order_id"]).select(state_columns())
 
 
 @query("merge_mutable", f"""WITH {SQL_SIDES} SELECT coalesce(t.order_id, s.order_id) AS order_id, coalesce(t.product_id, s.product_id) AS product_id, coalesce(s.status, t.status) AS status,
 coalesce(t.price, s.price) AS price, {_stamp('coalesce(t.updated_at, s.updated_at)')} AS updated_at FROM t FULL JOIN s ON t.order_id = s.order_id""")
 def merge_mutable(spark, sf):
-    return state.merge_mutable(*_merge_sides(spark, sf), ["order_id"], ["status"]).select(STATE)
+    return state.merge_mutable(*_merge_sides(spark, sf), ["order_id"], ["status"]).select(state_columns())
 
 
 @query("schema_evolution", """SELECT event_type, count(*) AS n, count(value) AS n_value FROM (SELECT event_type, CASE WHEN event_id % 2 = 0 THEN value END AS value FROM events) GROUP BY event_type""")
