@@ -4,14 +4,21 @@ white space encoded once per task and held in a bounded cache."""
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
-import struct
+import sys
+from array import array
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 
-#: Entries that a worker's cache may hold after a batch (about 200 bytes each).
-CACHE_ENTRIES = 250_000
+#: Entries that a worker's cache may hold after a batch (about 150 bytes each).
+CACHE_ENTRIES = 600_000
+#: Chunks with which a sentence ends, marks behind it included.
+SENTENCE_END = "[.!?…。][\"')\\]»”]*$"
 #: White space besides blank and line feed, and the controls that Python alone takes for it.
 _RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _CONTROLS = re.compile("[\x1c-\x1f]")
@@ -32,7 +39,7 @@ BYTE_ALPHABET = _byte_alphabet()
 
 
 def spell(text: str) -> str:
-    return text.encode().decode("latin-1").translate(BYTE_ALPHABET)
+    return text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(BYTE_ALPHABET)
 
 
 def is_one_word(word: str) -> bool:
@@ -50,10 +57,13 @@ def load_tokenizer(path: str):
 
 
 def _pack(ids) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
-def _by_library(tokenizer, strings: list[str], blank: bool, known: dict[str, bytes]) -> list[bytes]:
+def _by_library(tokenizer, strings: list[str], blank: bool, known: ChunkIds | None = None) -> list[bytes]:
     """Ids of strings. A string of Latin letters, after a blank if there is one, is one
     word: it goes straight to the library's BPE model. So does one with a comma or full
     stop behind it. All others take the library's whole way."""
@@ -66,22 +76,68 @@ def _by_library(tokenizer, strings: list[str], blank: bool, known: dict[str, byt
         if not is_one_word(word[1:] if blank and word[:1] == " " else word):
             rest.append(i)
             continue
-        ids = known.get(word) if end else None
+        ids = known.get(word) if end and known else None
         if ids is None:
-            ids = _pack([t.id for t in model(spell(word if blank else word.lower()))])
+            spelled = "Ġ" + spell(word[1:]) if blank and word[:1] == " " else spell(word if blank else word.lower())
+            ids = _pack([t.id for t in model(spelled)])
         out[i] = ids + end
     for i, e in zip(rest, tokenizer.encode_batch_fast([strings[i] for i in rest], add_special_tokens=False) if rest else [], strict=True):
         out[i] = _pack(e.ids)
     return out
 
 
-def byte_level_chunks(text: str) -> list[str] | None:
-    """Chunks of a text that byte-level pre-tokenization never joins: a chunk starts at
-    a single blank, which belongs to it, or at a line feed. The first has no blank. None:
-    the text has runs of white space, whose tokens depend on more than one chunk."""
-    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _RARE.search(text):
-        return None
-    return text.replace("\n", " \n").split(" ")
+def is_plain(text: str) -> bool:
+    """Whether byte-level pre-tokenization cuts the text at every single blank, which belongs
+    to the chunk behind it, and at every line feed. Where it has runs of white space, tokens
+    depend on more than one chunk."""
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or _RARE.search(text))
+
+
+class ChunkIds:
+    """Ids of the distinct chunks met so far: chunk i has ids[starts[i] : starts[i + 1]]."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids, self.starts = np.empty(0, "<u4"), np.zeros(1, np.int64)
+
+    def get(self, chunk: str) -> bytes | None:
+        i = self.number.get(chunk)
+        return None if i is None else self.ids[self.starts[i] : self.starts[i + 1]].tobytes()
+
+    def numbers(self, chunks: list[str], encode: Callable[[list[str]], list[bytes]]) -> np.ndarray:
+        """Numbers of distinct chunks; encode(chunks) gives the ids of those not met before."""
+        which = np.fromiter(map(self.number.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            missing = [chunks[i] for i in new.tolist()]
+            packed = encode(missing)
+            which[new] = np.arange(len(self.number), len(self.number) + len(new))
+            self.number.update(zip(missing, which[new].tolist(), strict=True))
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(packed), "<u4")])
+            lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        return which
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of those chunks, one after the other, and the number of ids of each."""
+        start = self.starts[which]
+        lengths = self.starts[which + 1] - start
+        ends = np.cumsum(lengths)
+        at = np.repeat(start - ends + lengths, lengths)
+        at += np.arange(len(at))
+        return self.ids[at], lengths
+
+    def trim(self, which: np.ndarray) -> None:
+        """Where there are more than CACHE_ENTRIES, keep those chunks at most."""
+        if len(self.number) <= CACHE_ENTRIES:
+            return
+        kept = np.unique(which)
+        if len(kept) > CACHE_ENTRIES // 2:
+            kept = kept[:0]
+        names = list(self.number)
+        self.ids, lengths = self.take(kept)
+        self.starts = np.concatenate([[0], np.cumsum(lengths)])
+        self.number = {names[k]: i for i, k in enumerate(kept.tolist())}
 
 
 class ByteLevelEncoder:
@@ -91,37 +147,42 @@ class ByteLevelEncoder:
     def __init__(self, path: str, encode_chunks=None):
         self.tokenizer = load_tokenizer(path)
         self.encode_chunks = encode_chunks or self._library
-        self.cache: dict[str, bytes] = {}
+        self.known = ChunkIds()
 
     def _library(self, strings: list[str]) -> list[bytes]:
-        return _by_library(self.tokenizer, strings, blank=True, known={})
+        return _by_library(self.tokenizer, strings, blank=True)
+
+    def _spelled(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks as they stand in a text: behind a blank, but for line feeds and for
+        the first of a text, which is marked by a blank of its own."""
+        return self.encode_chunks([c[1:] if c[:1] == " " else c if c[:1] == "\n" else " " + c for c in chunks])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts, first, whole, wanted = [], [], [], set()
-        for text in texts:
-            chunks = byte_level_chunks(text)
-            if chunks is None:  # cut only at single blanks between other characters
-                chunks = re.split(r"(?<=\S) (?=\S)", text) if not _CONTROLS.search(text) else None
-            if chunks is None:
-                whole.append(text)
-                parts.append(None)
-                first.append("")
-                continue
-            first.append("^" + chunks[0])
-            chunks = chunks[1:]
-            parts.append(chunks)
-            wanted.update(chunks)
-        cache = self.cache
-        missing = [w for w in wanted if w not in cache]
-        heads = [w for w in dict.fromkeys(first) if w and w not in cache]
-        spelled = [w if w.startswith("\n") else " " + w for w in missing] + [w[1:] for w in heads]
-        for w, ids in zip(missing + heads, self.encode_chunks(spelled), strict=True):
-            cache[w] = ids
-        done = iter(self.encode_chunks(whole) if whole else [])
-        get = cache.__getitem__
-        out = [next(done) if p is None else get(f) + b"".join(map(get, p)) for f, p in zip(first, parts, strict=True)]
-        if len(cache) > CACHE_ENTRIES:
-            self.cache = {w: cache[w] for w in wanted} if len(wanted) < CACHE_ENTRIES else {}
+        plain, cut, whole = [], [], []
+        for i, text in enumerate(texts):
+            (plain if is_plain(text) else whole if _CONTROLS.search(text) else cut).append(i)
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(whole, self.encode_chunks([texts[i] for i in whole]) if whole else [], strict=True):
+            out[i] = ids
+        if not plain and not cut:
+            return out
+        lists = pa.compute.split_pattern(pa.compute.replace_substring(pa.array([texts[i] for i in plain], pa.string()), "\n", " \n"), " ")
+        # other texts are cut only at single blanks between other characters
+        others = pa.array([re.split(r"(?<=\S) (?=\S)", texts[i]) for i in cut], pa.list_(pa.string()))
+        lists = pa.concat_arrays([lists, others])
+        bounds, chunks = lists.offsets.to_numpy(), lists.flatten()
+        first = np.zeros(len(chunks), bool)
+        first[bounds[:-1]] = True
+        heads = pa.compute.binary_join_element_wise("", chunks.filter(pa.array(first)), " ").dictionary_encode()
+        rest = chunks.filter(pa.array(~first)).dictionary_encode()
+        which = np.empty(len(chunks), np.int64)
+        which[first] = self.known.numbers(heads.dictionary.to_pylist(), self._spelled)[heads.indices.to_numpy()]
+        which[~first] = self.known.numbers(rest.dictionary.to_pylist(), self._spelled)[rest.indices.to_numpy()]
+        ids, lengths = self.known.take(which)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[bounds]
+        for i, a, b in zip(plain + cut, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[i] = ids[a:b].tobytes()
+        self.known.trim(which)
         return out
 
 
@@ -131,25 +192,29 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
-        self.cache: dict[str, bytes] = {}
-        self.lengths: dict[str, int] = {}
+        self.known = ChunkIds()
 
     def _library(self, strings: list[str]) -> list[bytes]:
-        return _by_library(self.tokenizer, strings, blank=False, known=self.cache)
+        return _by_library(self.tokenizer, strings, blank=False, known=self.known)
 
     def __call__(self, texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
-        parts = [[text] if _CONTROLS.search(text) else text.split() for text in texts]
-        wanted = set().union(*parts) if parts else set()
-        cache, lengths = self.cache, self.lengths
-        missing = [w for w in wanted if w not in cache]
-        for w, ids in zip(missing, self._library(missing), strict=True):
-            cache[w] = ids
-            lengths[w] = -(len(ids) // 4) if w.rstrip("\"')]»”").endswith((".", "!", "?", "…", "。")) else len(ids) // 4
-        out = [(b"".join(map(cache.__getitem__, p)), np.fromiter(map(lengths.__getitem__, p), np.int32, len(p))) for p in parts]
-        if len(cache) > CACHE_ENTRIES:
-            keep = wanted if len(wanted) < CACHE_ENTRIES else ()
-            self.cache = {w: cache[w] for w in keep}
-            self.lengths = {w: lengths[w] for w in keep}
+        whole = [i for i, text in enumerate(texts) if _CONTROLS.search(text)]
+        lists = pa.array(texts, pa.string())
+        if whole:
+            held = set(whole)
+            lists = pa.array(["" if i in held else t for i, t in enumerate(texts)], pa.string())
+        lists = pa.compute.utf8_split_whitespace(lists)
+        bounds, words = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+        distinct, at = words.dictionary, words.indices.to_numpy()
+        which = self.known.numbers(distinct.to_pylist(), self._library)[at]
+        ids, lengths = self.known.take(which)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[bounds]
+        stops = pa.compute.match_substring_regex(distinct, SENTENCE_END).to_numpy(zero_copy_only=False)[at]
+        signed = np.where(stops, -lengths, lengths).astype(np.int32)
+        out = [(ids[a:b].tobytes(), signed[i:j]) for a, b, i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for i, packed in zip(whole, self._library([texts[i] for i in whole]) if whole else [], strict=True):
+            out[i] = packed, np.array([len(packed) // 4], np.int32)
+        self.known.trim(which)
         return out
 
 
