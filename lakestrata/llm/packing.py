@@ -40,34 +40,46 @@ def padding(length: int) -> int:
     return 0 if length & (length - 1) == 0 else WINDOW - length
 
 
+def exact_starts(positions: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(end, start): indices of positions that lie a power of two below window apart, by end."""
+    found = []
+    for b in range(window.bit_length() - 1):
+        start = np.searchsorted(positions, positions - (1 << b))
+        end = np.flatnonzero(positions[start] == positions - (1 << b))
+        found.append((end, start[end]))
+    end, start = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(end, kind="stable")
+    return end[order], start[order]
+
+
 def best_cuts(positions: list[int], penalties: list[int], window: int = WINDOW) -> list[int]:
     """Indices into positions where windows end. positions: ascending, the first is the
     start of the stream, the last its end; no two neighbours lie over a window apart.
     Cost of a window: its padding to `window` (none where its length is a power of two)
     plus the penalty of its end. With dp(i) the least cost up to i, the best start of a
     window that ends at p(j) has the least dp(i) + p(i) among those within reach: a queue
-    of rising values. Lengths that are powers of two are looked up by position."""
+    of rising values. Starts at a distance of a power of two are found beforehand."""
     n = len(positions)
     cost, before = [0] * n, [0] * n
     queue: deque[tuple[int, int]] = deque([(positions[0], 0)])
-    at = {positions[0]: 0}
-    powers = [1 << b for b in range(window.bit_length() - 1)]
+    ends, starts = (x.tolist() for x in exact_starts(np.asarray(positions, np.int64), window))
+    at, ends = 0, [*ends, n]
     for j in range(1, n):
         p = positions[j]
         while positions[queue[0][1]] < p - window:
             queue.popleft()
         value, i = queue[0]
         best, start = value + window - p, i
-        for q in powers:
-            k = at.get(p - q)
-            if k is not None and cost[k] < best:
+        while ends[at] == j:
+            k = starts[at]
+            if cost[k] < best:
                 best, start = cost[k], k
+            at += 1
         cost[j], before[j] = best + penalties[j], start
         value = cost[j] + p
         while queue and queue[-1][0] >= value:
             queue.pop()
         queue.append((value, j))
-        at[p] = j
     cuts, j = [], n - 1
     while j:
         cuts.append(j)
