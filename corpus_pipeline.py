@@ -9,26 +9,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lakestrata.llm import bagminhash, packing, passages, quality
-from lakestrata.llm.common import materialise, release, table
+from lakestrata.llm.common import materialise, release, small_batches, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labelled ones."""
+    small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
+    small_batches(spark)
     return bagminhash.keep_one(docs)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stood in an earlier one."""
+    small_batches(spark)
     return passages.clean(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
+    small_batches(spark)
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -11,6 +11,8 @@ import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +51,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python ARROW_ROWS at a time, unless the session asks for fewer: a
+    batch of the default 10,000 texts can take more memory than the work on it."""
+    if int(spark.conf.get(_ARROW)) > ARROW_ROWS or int(spark.conf.get(_ARROW)) <= 0:
+        spark.conf.set(_ARROW, str(ARROW_ROWS))
+
+
 def filesystem(uri: str):
     """(filesystem, path) of a URI that Spark writes to, for use inside tasks."""
     from pyarrow import fs
@@ -69,9 +78,10 @@ def write_atomically(uri: str, write: Callable) -> None:
     store.move(own, path)
 
 
-def batched(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batched(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts in column take about limit bytes at most (or
-    one row), so that long texts do not multiply memory."""
+    one row), so that long texts do not multiply memory. After the last of them a worker
+    that stays for other tasks gives what Arrow has freed back to the system."""
     import numpy as np
 
     for batch in batches:
@@ -84,6 +94,7 @@ def batched(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20
             end = max(at + 1, int(np.searchsorted(sizes, base + limit, "right")))
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()
 
 
 def release(spark: SparkSession) -> None:

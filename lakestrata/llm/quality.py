@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -159,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = known.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batched(batches, "text", 2 << 20):
+        for batch in batched(batches, "text"):
             rows = features([(t or "").encode() for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array([np.unique(r).tobytes() for r in rows], pa.binary())], ["doc_id", "quality", "grams"])
 
@@ -172,19 +171,12 @@ def score(spark: SparkSession, model: Model, text: Column) -> Column:
     """The model's score of a text column."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            out, group, size = [], [], 0
-            for t in series:
-                group.append((t or "").encode())
-                size += len(group[-1])
-                if size > 2 << 20:
-                    out.append(shared.value.scores(group))
-                    group, size = [], 0
-            if group:
-                out.append(shared.value.scores(group))
-            yield pd.Series(np.concatenate(out) if out else np.empty(0))
+    @F.arrow_udf("double")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in columns:
+            groups = batched(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text")
+            scores = [shared.value.scores([(t or "").encode() for t in g.column(0).to_pylist()]) for g in groups]
+            yield pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64())
 
     return run(text)
 

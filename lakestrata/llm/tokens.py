@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  as pa.compute
 
 #: Entries that a worker's cache may hold after a batch (about 150 bytes each).
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 #: Chunks with which a sentence ends, marks behind it included.
 SENTENCE_END = "[.!?…。][\"')\\]»”]*$"
 #: White space besides blank and line feed, and the controls that Python alone takes for it.
