@@ -145,6 +145,15 @@ def trie_encoder(path: str) -> tuple[TrieEncoder, ByteLevelEncoder]:
     return trie, ByteLevelEncoder(path, trie.chunks)
 
 
+def joined(table: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> list:
+    """The table's entries for ids, one after the other, cut at bounds."""
+    if not len(ids):
+        return [b""] * (len(bounds) - 1)
+    _, offsets, data = table.take(pa.array(ids)).buffers()
+    at, data = np.frombuffer(offsets, np.int64)[bounds].tolist(), memoryview(data)
+    return [data[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
 def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids (array<int>) and decoded text of every row; the general interface."""
 
@@ -163,14 +172,15 @@ def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, encode = trie_encoder(tokenizer)
-        digit = [str(i) for i in range(max(trie.bytes_of) + 1)].__getitem__
+        last = max(trie.bytes_of)
+        digits = pa.array([b"%d," % i for i in range(last + 1)], pa.large_binary())
+        spelled = pa.array([trie.bytes_of.get(i, b"") for i in range(last + 1)], pa.large_binary())
         for batch in batched(batches, "text", 2 << 20):
-            counts, of_ids, of_text = [], [], []
-            for packed in encode([t or "" for t in batch.column("text").to_pylist()]):
-                ids = memoryview(packed).cast("I").tolist()
-                counts.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(digit, ids)).encode()).hexdigest())
-                of_text.append(hashlib.sha256(trie.decode(ids).encode()).hexdigest())
+            packed = encode([t or "" for t in batch.column("text").to_pylist()])
+            counts = [len(x) // 4 for x in packed]
+            ids, bounds = np.frombuffer(b"".join(packed), "<u4"), np.cumsum([0, *counts])
+            of_ids = [hashlib.sha256(x[:-1]).hexdigest() for x in joined(digits, ids, bounds)]
+            of_text = [hashlib.sha256(str(x, "utf-8", "replace").encode()).hexdigest() for x in joined(spelled, ids, bounds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
