@@ -12,9 +12,10 @@ against all rows, block by block.
 
 Defined results. Vectors that are null, zero or hold null or non-finite components take no
 part. Vectors of another dimension meet only those of their own. Rows with the query's
-vec_id are not its candidates; repeated vec_ids are separate candidates; a repeated query
-is searched once for each row and its rows merge by vec_id. Null vec_ids take no part.
-Ties: smaller vec_id. Empty table: no rows.
+vec_id are not its candidates; repeated vec_ids are separate candidates; the rows of a
+repeated query merge by vec_id: equal ones are searched once, and a candidate row counts
+once, by its least distance to any of them. Null vec_ids take no part. Ties: smaller
+vec_id. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,34 +57,38 @@ def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[n
     return np.packbits(turned > 0, axis=1), length, np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1])
 
 
-BLOCKS = "d int, ids binary, vectors binary, codes binary, lengths binary, f binary"
+BLOCKS = "d int, ids binary, rows binary, vectors binary, codes binary, lengths binary, f binary"
 
 
 def build_blocks(vectors: DataFrame, centres: dict[int, list[float]], size: int) -> DataFrame:
-    """vectors (vec_id, embedding) as blocks of up to size rows; see BLOCKS."""
+    """vectors (vec_id, embedding) as blocks of up to size rows; see BLOCKS. rows numbers
+    the rows of all blocks: the task and a count."""
 
-    def block(ids: list[int], rows: list[np.ndarray], d: int, centre: np.ndarray, turn: np.ndarray) -> pa.RecordBatch:
+    def block(ids: list[int], numbers: list[int], rows: list[np.ndarray], d: int, centre: np.ndarray, turn: np.ndarray) -> pa.RecordBatch:
         codes, length, f = encode(np.stack(rows), centre, turn)
-        parts = [np.array(ids, np.int64), np.stack(rows), codes, length, f]
-        return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], ["d", "ids", "vectors", "codes", "lengths", "f"])
+        parts = [np.array(ids, np.int64), np.array(numbers, np.int64), np.stack(rows), codes, length, f]
+        return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], ["d", "ids", "rows", "vectors", "codes", "lengths", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[int, tuple[list, list, list]] = {}
         turns: dict[int, tuple] = {}
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for vec_id, vec in zip(batch.column("vec_id").to_pylist(), batch.column("embedding"), strict=True):
                 row = vec.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 d = len(row)
                 if d not in turns:
                     turns[d] = (np.array(centres.get(d, np.zeros(d))), rotation(d))
-                ids, rows = held.setdefault(d, ([], []))
+                ids, numbers, rows = held.setdefault(d, ([], [], []))
                 ids.append(vec_id)
+                numbers.append(number)
+                number += 1
                 rows.append(row)
                 if len(ids) == size:
-                    yield block(ids, rows, d, *turns[d])
+                    yield block(ids, numbers, rows, d, *turns[d])
                     held.pop(d)
-        for d, (ids, rows) in held.items():
-            yield block(ids, rows, d, *turns[d])
+        for d, (ids, numbers, rows) in held.items():
+            yield block(ids, numbers, rows, d, *turns[d])
 
     return vectors.mapInArrow(run, BLOCKS)
 
@@ -95,9 +101,9 @@ class Searcher:
         rest = queries - centre
         self.length = np.sqrt((rest * rest).sum(axis=1))
         self.turned = (rest @ turn / np.maximum(self.length, 1e-300)[:, None]).astype(np.float32)
-        self.found = [(np.empty(0), np.empty(0, np.int64)) for _ in ids]
+        self.found = [(np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
 
-    def search(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, length: np.ndarray, f: np.ndarray) -> int:
+    def search(self, ids: np.ndarray, numbers: np.ndarray, vectors: np.ndarray, codes: np.ndarray, length: np.ndarray, f: np.ndarray) -> int:
         """Takes in a block; returns how many vectors were reranked."""
         n, d = vectors.shape
         signs = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
@@ -108,24 +114,28 @@ class Searcher:
         low, high = base - scale * (product + error), base - scale * (product - error)
         reranked = 0
         for q, query_id in enumerate(self.ids):
-            scores, known = self.found[q]
-            limit = np.partition(high[q], self.k)[self.k] if n > self.k else np.inf  # one of them may be the query
+            scores, known, rows = self.found[q]
+            others = ids != query_id
+            bounds = high[q] if others.all() else high[q][others]
+            limit = np.partition(bounds, self.k - 1)[self.k - 1] if len(bounds) >= self.k else np.inf
             if len(scores) == self.k:
                 limit = min(limit, scores[-1] ** 2)
-            chosen = np.flatnonzero((low[q] <= limit * (1 + 1e-9) + 1e-12) & (ids != query_id))
+            chosen = np.flatnonzero((low[q] <= limit * (1 + 1e-9) + 1e-12) & others)
             reranked += len(chosen)
             if not len(chosen):
                 continue
             apart = vectors[chosen] - self.queries[q]
             scores = np.concatenate([scores, np.sqrt((apart * apart).sum(axis=1))])
             known = np.concatenate([known, ids[chosen]])
-            order = np.lexsort((known, scores))[: self.k]
-            self.found[q] = (scores[order], known[order])
+            rows = np.concatenate([rows, numbers[chosen]])
+            order = np.lexsort((rows, known, scores))[: self.k]
+            self.found[q] = (scores[order], known[order], rows[order])
         return reranked
 
     def rows(self) -> pa.RecordBatch:
-        query = np.repeat(self.ids, [len(s) for s, _ in self.found])
-        return pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.concatenate([k for _, k in self.found])), pa.array(np.concatenate([s for s, _ in self.found]))], ["query_id", "vec_id", "score"])
+        scores, known, rows = (pa.array(np.concatenate(c)) for c in zip(*self.found, strict=True))
+        query = pa.array(np.repeat(self.ids, [len(s) for s, _, _ in self.found]))
+        return pa.RecordBatch.from_arrays([query, known, rows, scores], ["query_id", "vec_id", "row", "score"])
 
 
 def nearest(index: DataFrame, queries: DataFrame, centres: dict[int, list[float]], k: int = NEAREST) -> DataFrame:
@@ -142,7 +152,7 @@ def nearest(index: DataFrame, queries: DataFrame, centres: dict[int, list[float]
                 if (key := row["q_ids"] + row["q_vectors"][: 8 * d]) not in held:
                     held[key] = Searcher(np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"], np.float64).reshape(-1, d), *turns[d], k)
                 held.move_to_end(key)
-                held[key].search(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float64).reshape(-1, d), np.frombuffer(row["codes"], np.uint8).reshape(-1, (d + 7) // 8), np.frombuffer(row["lengths"], np.float64), np.frombuffer(row["f"], np.float64))
+                held[key].search(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["rows"], np.int64), np.frombuffer(row["vectors"], np.float64).reshape(-1, d), np.frombuffer(row["codes"], np.uint8).reshape(-1, (d + 7) // 8), np.frombuffer(row["lengths"], np.float64), np.frombuffer(row["f"], np.float64))
                 if len(held) > 64:
                     yield held.popitem(last=False)[1].rows()
         for searcher in held.values():
@@ -153,7 +163,8 @@ def nearest(index: DataFrame, queries: DataFrame, centres: dict[int, list[float]
     groups = partitions(index.sparkSession)
     asked = queries.select("d", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     met = index.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).join(asked, ["d", "group"]).drop("group")
-    found = met.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = met.mapInArrow(run, "query_id long, vec_id long, row long, score double")
+    found = found.groupBy("query_id", "row", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -168,7 +179,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST) -> DataFrame:
         by_size.setdefault(len(r["embedding"]), []).append(r["embedding"])
     centres = {d: np.mean(np.array(rows, np.float64), axis=0).tolist() for d, rows in by_size.items()}
     index = materialise(build_blocks(own.repartition(partitions(spark)), centres, VECTORS_PER_BLOCK), "vector-blocks")
-    asked = own.filter(is_query).repartition(max(1, partitions(spark) // 8))
+    asked = own.filter(is_query).dropDuplicates(["vec_id", "embedding"]).repartition(max(1, partitions(spark) // 8))
     queries = materialise(build_blocks(asked, centres, QUERIES_PER_BLOCK), "query-blocks")
     return nearest(index, queries, centres, k)
 

@@ -192,6 +192,20 @@ def test_op9(spark):
     assert onebit.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_op9_repeated_queries(spark):
+    """Copies of a query row, and rows of one id with other vectors, against brute force."""
+    vectors = np.random.default_rng(9).standard_normal((400, 16))
+    ids = [*range(400), *[100] * 12, 200, 200, 7]
+    vectors = np.concatenate([vectors, np.repeat(vectors[100:101], 12, 0), vectors[201:202] + 0.1, vectors[300:301] + 0.1, vectors[7:8]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>").coalesce(1)
+    got = onebit.search(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
+    ids = np.array(ids)
+    for q in (0, 100, 200, 300):
+        apart = np.min([np.sqrt(((vectors - v) ** 2).sum(axis=1)) for v in vectors[ids == q]], axis=0)
+        want = [ids[i] for i in np.lexsort((ids, apart)) if ids[i] != q][:10]
+        assert [(r["vec_id"], r["rank"]) for r in got if r["query_id"] == q] == [(i, n + 1) for n, i in enumerate(want)]
+
+
 def test_op10(docs, none):
     tokenizer = load_tokenizer(BYTE)
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
