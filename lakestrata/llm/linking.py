@@ -4,7 +4,10 @@ Nodes are distinct contents, so copies are counted once. Nodes with a common ban
 a bucket. In each bucket all nodes are compared with one leader, the node that meets the
 most others over all its buckets, never all with all; a pair counts only if the exact
 similarity of the two sets holds. What no leader has taken in elects further leaders in
-later rounds, one node for each class that is left in a bucket. Classes are the connected
+later rounds, one node for each class that is left in a bucket. Then every pair of nodes
+of two classes that still share a bucket is settled: pair by pair in buckets of SMALL nodes
+at most, in larger ones by a prefix filter, which leaves out only pairs that cannot reach
+the similarity. So no link between nodes of one bucket is lost. Classes are the connected
 components of the links.
 """
 
@@ -23,6 +26,10 @@ from .syncmers import mix
 
 #: Rounds of leaders in a bucket.
 ROUNDS = 2
+#: Nodes of a bucket that are compared pair by pair in the end.
+SMALL = 12
+#: Cells that the frequencies of set elements are counted in.
+CELLS = 1 << 18
 
 
 def tune_bands(similarity: float, recall: float, width: int) -> tuple[int, int]:
@@ -104,13 +111,102 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("node", "root")
 
 
-def classes(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, kind: np.dtype, first_pairs: Callable[[DataFrame], DataFrame] = elect, rounds: int = ROUNDS) -> DataFrame:
+def crowded(bands: DataFrame) -> DataFrame:
+    """(key, node) of the buckets of three nodes and more: a leader settles those of two."""
+    return bands.join(bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 2"), "key").select("key", "node")
+
+
+def elements(packed: bytes, kind: np.dtype) -> np.ndarray:
+    """A packed multiset as a set: the i-th copy of an item is an element of its own."""
+    parts = np.frombuffer(packed, kind)
+    if "count" not in kind.names:
+        return mix(parts["item"])
+    counts = parts["count"].astype(np.int64)
+    copy = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mix(np.repeat(parts["item"], counts) + mix(copy.astype(np.uint64)))
+
+
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float, kind: np.dtype) -> DataFrame:
+    """(a, b): pairs of nodes (node, root) of two roots that may reach the similarity. With
+    elements in one order, rare ones first, two sets with overlap o share one within the
+    first |x| - o + 1 of each; o is at least 2t / (1 + t) of the smaller set and t of the
+    larger. Any order gives all pairs; counts in CELLS cells make it a good one."""
+    spark = nodes.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for packed in batch.column("items").to_pylist():
+                total += np.bincount((elements(packed, kind) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
+
+    counted = sets.select("items").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    frequency = np.zeros(CELLS, np.int64)
+    frequency[counted["cell"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    known = spark.sparkContext.broadcast(frequency)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batched(batches, "items"):
+            taken, index, sizes = [], [], []
+            for packed in batch.column("items").to_pylist():
+                own = elements(packed, kind)
+                own = own[np.lexsort((own, known.value[(own % np.uint64(CELLS)).astype(np.int64)]))]
+                n = len(own)
+                taken.append(own[: n - int(np.ceil(similarity * n - 1e-6)) + 1])
+                index.append(np.arange(len(taken[-1])) <= n - int(np.ceil(2 * similarity / (1 + similarity) * n - 1e-6)))
+                sizes.append(n)
+            lengths = [len(x) for x in taken]
+            columns = [np.concatenate(taken).view(np.int64), np.repeat(batch.column("node").to_numpy(), lengths), np.repeat(batch.column("root").to_numpy(), lengths), np.repeat(np.array(sizes, np.int64), lengths), np.concatenate(index)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["element", "node", "root", "n", "index"])
+
+    rows = sets.join(nodes, "node").select("node", "root", "items").mapInArrow(prefixes, "element long, node long, root long, n long, index boolean")
+    # elements of one root only give no pair
+    rows = materialise(rows, "prefixes")
+    met = rows.groupBy("element").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("element")
+    rows = materialise(rows.join(met, "element"), "met-prefixes")
+    one, other = rows.filter("index").drop("index").alias("i"), rows.drop("index").alias("p")
+    larger = (F.col("i.n") < F.col("p.n")) | ((F.col("i.n") == F.col("p.n")) & (F.col("i.node") < F.col("p.node")))
+    near = larger & (F.col("i.root") != F.col("p.root")) & (F.col("p.n") * similarity <= F.col("i.n") + 1e-6)
+    return one.join(other, (F.col("i.element") == F.col("p.element")) & near).select(F.least("i.node", "p.node").alias("a"), F.greatest("i.node", "p.node").alias("b")).distinct()
+
+
+def unsettled(buckets: DataFrame, labels: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, kind: np.dtype) -> DataFrame:
+    """(a, b): all pairs of nodes of two classes in a bucket (key, node) that may have a link."""
+    members = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    members = materialise(members, "members")
+    mixed = members.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key", "size")
+    left = materialise(members.join(mixed, "key"), "mixed")
+    few = left.filter(F.col("size") <= SMALL)
+    x, y = few.alias("x"), few.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    many = left.filter(F.col("size") > SMALL).select("node", "root").distinct()
+    if not many.isEmpty():
+        pairs = pairs.unionByName(prefix_pairs(many, sets_of(many.select("node")), similarity, kind)).distinct()
+    return pairs
+
+
+def classes(
+    bands: DataFrame,
+    sets_of: Callable[[DataFrame], DataFrame],
+    similarity: float,
+    kind: np.dtype,
+    first_pairs: Callable[[DataFrame], DataFrame] = elect,
+    rounds: int = ROUNDS,
+    buckets_of: Callable[[DataFrame], DataFrame] = crowded,
+    allowed: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+) -> DataFrame:
     """(node, root) of all nodes with a link. bands: (key, node), each pair once.
-    sets_of(nodes) gives (node, items) of those nodes."""
+    sets_of(nodes) gives (node, items) of those nodes; buckets_of(bands) the buckets that
+    leaders may not settle; allowed(pairs) those that may be linked."""
     spark = bands.sparkSession
     tried = edges = labels = None
-    for number in range(rounds):
-        if number:
+    for number in range(rounds + 1):
+        if number == rounds:
+            known = labels if labels is not None else bands.select("node", F.col("node").alias("root")).limit(0)
+            pairs = allowed(unsettled(buckets_of(bands), known, sets_of, similarity, kind))
+            pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        elif number and labels is not None:
             lone = bands.join(labels, "node", "left").groupBy("key", F.coalesce("root", "node").alias("root")).agg(F.min("node").alias("node"))
             pairs = elect(lone.select("key", "node")).join(tried, ["a", "b"], "left_anti")
         else:
@@ -118,13 +214,13 @@ def classes(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similar
         pairs = materialise(pairs, "pairs")
         release(spark)
         if pairs.isEmpty():
-            break
+            continue
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         found = materialise(verify(pairs, sets_of(nodes), similarity, kind), "links")
         release(spark)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if number and found.isEmpty():
-            break
+        if labels is not None and found.isEmpty():
+            continue
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
     return labels if labels is not None else bands.select("node", F.col("node").alias("root")).limit(0)

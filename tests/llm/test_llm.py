@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lakestrata.llm import bagminhash, bpe, licenses, onebit, packing, passages, quality, syncmers, token_files, warc
+from lakestrata.llm import bagminhash, bpe, licenses, linking, onebit, packing, passages, quality, syncmers, token_files, warc
 from lakestrata.llm.common import fresh_path
 from lakestrata.llm.tokens import load_tokenizer
 
@@ -176,6 +176,44 @@ def test_op8(spark, docs, none):
     assert abs(np.mean(error)) < 0.03
 
 
+def brute_classes(sets, similarity):
+    """Smallest key of each key's component of the links between all pairs of sets."""
+    root = {k: k for k in sets}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    keys = sorted(sets)
+    for n, i in enumerate(keys):
+        for j in keys[n + 1 :]:
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {k: top(k) for k in keys}
+
+
+@pytest.mark.parametrize("kind", [linking.WEIGHTED, linking.PLAIN])
+def test_buckets_lose_no_link(spark, kind):
+    """Sets of one template (0.74 alike, no links) with planted near copies (over 0.8), in a
+    small and in a large bucket, against all pairs."""
+    rng, sets, bands = np.random.default_rng(41), {}, []
+    for key, size in ((1, 8), (2, 60)):
+        common = [*range(key * 10**6, key * 10**6 + 170)]
+        for i in range(0, size, 2):
+            own = [*common, *rng.integers(10**8, 10**12, 30).tolist()]
+            edited = [x for x in own if x not in rng.choice(own, 12, replace=False)] + rng.integers(10**8, 10**12, 8).tolist()
+            sets |= {key * 1000 + i: own, key * 1000 + i + 1: edited}
+        bands += [(key, n) for n in sets if n // 1000 == key]
+    pack = lambda x: linking.pack_set(np.sort(x).astype(np.uint64), np.ones(len(x), int)) if kind is linking.WEIGHTED else np.sort(x).astype("<u8").tobytes()
+    packed = spark.createDataFrame([(n, pack(x)) for n, x in sets.items()], "node long, items binary")
+    want = brute_classes({n: set(x) for n, x in sets.items()}, 0.8)
+    assert len(set(want.values())) == len(sets) // 2
+    found = linking.classes(spark.createDataFrame(bands, "key long, node long"), lambda wanted: packed.join(wanted, "node"), 0.8, kind)
+    assert {r["node"]: r["root"] for r in found.collect()} == want
+
+
 def test_op9(spark):
     vectors = RNG.standard_normal((600, 24)).astype(np.float32)
     rows = [(i, v.tolist(), "x") for i, v in enumerate(vectors)] + [(1000, None, "x"), (1001, [0.0] * 24, "x"), (1002, [float("nan")] * 24, "x"), (1003, [None] * 24, "x"), (1004, [1.0, 2.0], "x")]
