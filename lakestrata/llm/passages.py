@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  as pa.compute
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bagminhash import band_keys
@@ -112,7 +112,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _bands(docs: DataFrame) -> DataFrame:
-    """(key, node, place) for the bands of paragraphs; place is the text's hash and, in the
+    """(key, node, place, end) for the bands of paragraphs; place is the text's hash and, in the
     lower PLACE bits, the paragraph's first word. A task gives a paragraph's bands once for
     each batch, however often it stands there, and skips those it knows from before."""
 
@@ -131,20 +131,32 @@ def _bands(docs: DataFrame) -> DataFrame:
                 continue
             keys = band_keys(signatures(words, (first + base)[at], (end + base)[at]), BANDS, ROWS)
             content = batch.column("content").to_numpy()[own[at]]
+            until = np.repeat(end[at].astype(np.int32), BANDS)
             place = (content << PLACE) | (first[at] & ((1 << PLACE) - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(node, BANDS)), pa.array(np.repeat(place, BANDS))], ["key", "node", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(node, BANDS)), pa.array(np.repeat(place, BANDS)), pa.array(until)], ["key", "node", "place", "end"])
 
-    return _keyed(docs).select("content", "text").mapInArrow(run, "key long, node long, place long")
+    return _keyed(docs).select("content", "text").mapInArrow(run, "key long, node long, place long, end int")
 
 
-def _elect(bands: DataFrame) -> DataFrame:
-    """(a, b): each paragraph of a bucket with the bucket's first, one exchange and one
-    sort. Overlapping paragraphs of one text, which meet often, are no repeats."""
+def _buckets(bands: DataFrame) -> DataFrame:
+    """Each paragraph of a bucket with the bucket's first, one exchange and one sort: key,
+    leader and node, place and end of both. Stored, as the bands are made but once."""
     line = Window.partitionBy("key").orderBy("node", "place")
-    known = bands.select("node", "place", F.first("node").over(line).alias("leader"), F.first("place").over(line).alias("there"), F.lag("node").over(line).alias("last"))
-    one_text = F.shiftright(F.col("place").bitwiseXOR(F.col("there")), PLACE) == 0
-    overlapping = one_text & (F.abs(F.col("place") - F.col("there")) < 2 * MIN_WORDS)
-    return known.filter((F.col("node") != F.col("leader")) & (F.col("node") != F.col("last")) & ~overlapping).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    known = bands.select("key", F.first("node").over(line).alias("leader"), F.first("place").over(line).alias("there"), F.first("end").over(line).alias("until"), "node", "place", "end", F.lag("node").over(line).alias("last"))
+    return materialise(known.filter((F.col("node") != F.col("leader")) & (F.col("node") != F.col("last"))).drop("last"), "buckets")
+
+
+def _overlapping(place: Column, end: Column, there: Column, until: Column) -> Column:
+    """Whether two paragraphs share words of one text: they meet often and are no repeats."""
+    mask = F.lit((1 << PLACE) - 1)
+    return (F.shiftright(place.bitwiseXOR(there), PLACE) == 0) & (place.bitwiseAND(mask) < until) & (there.bitwiseAND(mask) < end)
+
+
+def _crowded(met: DataFrame) -> DataFrame:
+    """(key, node) of the buckets that their leader may not settle."""
+    keys = met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    some = met.join(keys, "key")
+    return some.select("key", "node").unionByName(some.groupBy("key").agg(F.first("leader").alias("node")))
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -162,7 +174,6 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """key, content, first, end, class_key, is_first of each occurrence of a paragraph whose
     class has several: class_key is the key of the class's first document."""
-    bands = _bands(docs)
     found = _occurrences(docs)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
@@ -183,7 +194,18 @@ def repeated(docs: DataFrame) -> DataFrame:
         texts = _keyed(docs).join(places, ["key", "content"]).select("text", "places")
         return materialise(texts.mapInArrow(run, "node long, items binary").dropDuplicates(["node"]), "sets")
 
-    labels = classes(bands, sets_of, SIMILARITY, PLAIN, first_pairs=_elect, rounds=1)
+    met = _buckets(_bands(docs))
+    places = met.select("node", "place", "end").unionByName(met.select(F.col("leader").alias("node"), F.col("there").alias("place"), F.col("until").alias("end"))).groupBy("node").agg(F.min(F.struct("place", "end")).alias("at"))
+
+    def leaders(met: DataFrame) -> DataFrame:
+        apart = ~_overlapping(F.col("place"), F.col("end"), F.col("there"), F.col("until"))
+        return met.filter(apart).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(places.select(F.col("node").alias("a"), F.col("at").alias("x")), "a").join(places.select(F.col("node").alias("b"), F.col("at").alias("y")), "b")
+        return both.filter(~_overlapping(F.col("x.place"), F.col("x.end"), F.col("y.place"), F.col("y.end"))).select("a", "b")
+
+    labels = classes(met, sets_of, SIMILARITY, PLAIN, first_pairs=leaders, rounds=1, buckets_of=_crowded, allowed=allowed)
     named = found.join(labels, "node", "left").select("key", "content", "first", "end", F.coalesce("root", "node").alias("root"))
     place = F.struct("key", "content", "first", "end")
     several = named.groupBy("root").agg(F.min(place).alias("start"), F.count("*").alias("n")).filter("n > 1").drop("n")

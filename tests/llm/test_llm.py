@@ -124,6 +124,16 @@ def test_op6(spark, none):
     assert passages.clean(none).count() == 0
 
 
+def test_op6_frequent_line(spark):
+    """Paragraphs that share a long line, and near copies of them: every copy is found."""
+    rng, line = np.random.default_rng(61), " ".join(VOCABULARY[:18]) + "."
+    tails = [rng.choice(VOCABULARY, 8).tolist() for _ in range(60)]
+    rows = [(i, f"{line} {' '.join(w)}.", "s", "n") for i, w in enumerate(tails)]
+    rows += [(100 + i, f"{line} {' '.join([*w[:7], f'edit{i}'])}.", "s", "n") for i, w in enumerate(tails)]
+    got = {r["key"]: r["class_key"] for r in passages.repeated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: i % 100 for i, *_ in rows}
+
+
 def test_op7(spark, docs, none):
     tokenizer = load_tokenizer(WORD)
     pieces = packing.pack(docs, WORD).collect()
