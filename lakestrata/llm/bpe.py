@@ -16,7 +16,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import batched, table
-from .tokens import BYTE_ALPHABET, ByteLevelEncoder
+from .tokens import BYTE_ALPHABET, SLICE, ByteLevelEncoder, Ids
 
 #: Fixed value: the words of the byte-level vocabulary.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -118,12 +118,13 @@ class TrieEncoder:
             known = self.follows[-1, token] = self.merge(self.bytes_of[token]) == [token]
         return known
 
-    def chunks(self, strings: list[str]) -> list[bytes]:
-        """Packed ids of strings, for ByteLevelEncoder: words, by the trie, and specials."""
+    def chunks(self, blank: np.ndarray, strings: pa.Array) -> Ids:
+        """Ids of strings, for ByteLevelEncoder: words, by the trie, and specials."""
         cut: list[list] = []
         words: dict[bytes, int] = {}
-        for text in strings:
+        for behind, text in zip(blank.tolist(), strings.to_pylist(), strict=True):
             own: list = []
+            text = " " + text if behind else text
             for i, part in enumerate(self.at_special.split(text) if self.at_special and "<|" in text else [text]):
                 own += [self.special[part]] if i % 2 else [w.encode() for w in WORDS.findall(part)]
             for w in own:
@@ -131,7 +132,12 @@ class TrieEncoder:
                     words.setdefault(w, len(words))
             cut.append(own)
         ids = self.encode(list(words))
-        return [struct.pack(f"<{len(flat)}I", *flat) for own in cut for flat in [[i for w in own for i in ([w] if isinstance(w, int) else ids[words[w]])]]]
+        flat, ends = array("I"), array("q", [0])
+        for own in cut:
+            for w in own:
+                flat.extend([w] if isinstance(w, int) else ids[words[w]])
+            ends.append(len(flat))
+        return np.frombuffer(flat, np.uint32), np.diff(np.frombuffer(ends, np.int64))
 
     def decode(self, ids) -> str:
         """Text of ids, special ones included; bytes that are not UTF-8 become U+FFFD."""
@@ -159,8 +165,9 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, encode = trie_encoder(tokenizer)
-        for batch in batched(batches, "text", 2 << 20):
-            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in encode([t or "" for t in batch.column("text").to_pylist()])]
+        for batch in batched(batches, "text", SLICE):
+            flat, lengths = encode(pa.compute.fill_null(batch.column("text"), ""))
+            ids = np.split(flat.astype(np.int32), np.cumsum(lengths)[:-1])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([trie.decode(x.tolist()) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
@@ -175,10 +182,9 @@ def encode_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
         last = max(trie.bytes_of)
         digits = pa.array([b"%d," % i for i in range(last + 1)], pa.large_binary())
         spelled = pa.array([trie.bytes_of.get(i, b"") for i in range(last + 1)], pa.large_binary())
-        for batch in batched(batches, "text", 2 << 20):
-            packed = encode([t or "" for t in batch.column("text").to_pylist()])
-            counts = [len(x) // 4 for x in packed]
-            ids, bounds = np.frombuffer(b"".join(packed), "<u4"), np.cumsum([0, *counts])
+        for batch in batched(batches, "text", SLICE):
+            ids, counts = encode(pa.compute.fill_null(batch.column("text"), ""))
+            bounds = np.concatenate([[0], np.cumsum(counts)])
             of_ids = [hashlib.sha256(x[:-1]).hexdigest() for x in joined(digits, ids, bounds)]
             of_text = [hashlib.sha256(str(x, "utf-8", "replace").encode()).hexdigest() for x in joined(spelled, ids, bounds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

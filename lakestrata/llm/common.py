@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -51,6 +52,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_ranges(docs: DataFrame) -> DataFrame:
+    """doc_id and text (null: empty) of docs in ranges of ascending doc_id, each sorted.
+    Rows of one doc_id, null ones too, may be dealt to several ranges: by the hash of their
+    text, and equal rows by their place in the input."""
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    order = ["doc_id", "hash", "row"]
+    return own.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "text")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Whole texts go to Python ARROW_ROWS at a time, unless the session asks for fewer: a
     batch of the default 10,000 texts can take more memory than the work on it."""

@@ -4,14 +4,19 @@ document or sentence ends if it can, so that padding plus penalties for cut docu
 smallest. A monotone queue finds the best start of each window in constant time, so the
 work grows with the number of boundaries only.
 
+Every sequence counts as padded to the window, so short ones never pay; one whose length
+happens to be a power of two is not padded in fact. Cuts are given out as soon as all
+paths that can still be the best share them, so they are those of the whole stream of a
+range, and a task holds only what lies behind the last shared cut.
+
 Defined results. Null or empty text: the end id alone. Null doc_id: first. Repeated
-doc_ids: separate documents, side by side. A sentence longer than a window is cut every
-HARD_STEP ids at the highest penalty. Empty table: no rows. Other columns are not read.
+doc_ids: separate documents, side by side, by the hash of their texts. A sentence longer
+than a window may be cut at any id, at the highest penalty. Empty table: no rows. Other
+columns are not read.
 """
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -23,123 +28,116 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, partitions, table
-from .tokens import word_encoder
+from .common import batched, in_ranges, table
+from .tokens import SLICE, word_encoder
 
 WINDOW = 4096
 END_ID = 2
 #: What a cut costs, in ids of padding.
 SENTENCE_PENALTY, HARD_PENALTY = 24, 256
-HARD_STEP = 512
-#: Ids after which the windows found so far are given out, but for the last one.
-BLOCK = 400_000
-
-
-def padding(length: int) -> int:
-    """Ids of padding after a sequence: none at a power of two."""
-    return 0 if length & (length - 1) == 0 else WINDOW - length
-
-
-def exact_starts(positions: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(end, start): indices of positions that lie a power of two below window apart, by end."""
-    found = []
-    for b in range(window.bit_length() - 1):
-        start = np.searchsorted(positions, positions - (1 << b))
-        end = np.flatnonzero(positions[start] == positions - (1 << b))
-        found.append((end, start[end]))
-    end, start = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(end, kind="stable")
-    return end[order], start[order]
-
-
-def best_cuts(positions: list[int], penalties: list[int], window: int = WINDOW) -> list[int]:
-    """Indices into positions where windows end. positions: ascending, the first is the
-    start of the stream, the last its end; no two neighbours lie over a window apart.
-    Cost of a window: its padding to `window` (none where its length is a power of two)
-    plus the penalty of its end. With dp(i) the least cost up to i, the best start of a
-    window that ends at p(j) has the least dp(i) + p(i) among those within reach: a queue
-    of rising values. Starts at a distance of a power of two are found beforehand."""
-    n = len(positions)
-    cost, before = [0] * n, [0] * n
-    queue: deque[tuple[int, int]] = deque([(positions[0], 0)])
-    ends, starts = (x.tolist() for x in exact_starts(np.asarray(positions, np.int64), window))
-    at, ends = 0, [*ends, n]
-    for j in range(1, n):
-        p = positions[j]
-        while positions[queue[0][1]] < p - window:
-            queue.popleft()
-        value, i = queue[0]
-        best, start = value + window - p, i
-        while ends[at] == j:
-            k = starts[at]
-            if cost[k] < best:
-                best, start = cost[k], k
-            at += 1
-        cost[j], before[j] = best + penalties[j], start
-        value = cost[j] + p
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, j))
-    cuts, j = [], n - 1
-    while j:
-        cuts.append(j)
-        j = before[j]
-    return cuts[::-1]
+
+
+class Cutter:
+    """Takes boundaries of a stream in order and gives the ends of windows. With cost(i) the
+    least cost up to boundary i, a window that ends at p(j) starts best where cost(i) + p(i)
+    is least among those within reach; ties go to the latest, so that paths soon meet."""
+
+    def __init__(self, window: int = WINDOW):
+        self.window = window
+        self.positions, self.value, self.before = [0], [0], [0]
+        self.queue = deque([0])  # boundaries within reach, of rising value
+
+    def add(self, positions: list[int], penalties: list[int]) -> None:
+        """Boundaries: ascending, no two neighbours over a window apart."""
+        known, value, before, queue, window = self.positions, self.value, self.before, self.queue, self.window
+        for j, (p, penalty) in enumerate(zip(positions, penalties, strict=True), len(known)):
+            known.append(p)
+            while known[queue[0]] < p - window:
+                queue.popleft()
+            i = queue[0]
+            v = value[i] + window + penalty
+            value.append(v)
+            before.append(i)
+            while queue and value[queue[-1]] >= v:
+                queue.pop()
+            queue.append(j)
+
+    def settled(self) -> int:
+        """The last boundary that all paths to boundaries within reach of the end share."""
+        at = len(self.positions) - 1
+        reach = self.positions[at] - self.window
+        paths = {at}
+        while at and self.positions[at] >= reach:
+            paths.add(at)
+            at -= 1
+        while len(paths) > 1:
+            last = max(paths)
+            paths.remove(last)
+            paths.add(self.before[last])
+        return paths.pop()
+
+    def give(self, last: bool = False) -> list[int]:
+        """Ends of the windows that are certain by now; all of them, if no boundary follows."""
+        at = upto = len(self.positions) - 1 if last else self.settled()
+        cuts = []
+        while at:
+            cuts.append(self.positions[at])
+            at = self.before[at]
+        self.positions, self.value = self.positions[upto:], self.value[upto:]
+        self.before = [max(i - upto, 0) for i in self.before[upto:]]
+        self.queue = deque(i - upto for i in self.queue if i >= upto)
+        return cuts[::-1]
 
 
 class Packer:
-    """Takes documents in order and gives pieces: (doc_id, start, length, ids_crc32,
-    doc_tokens, sequence number, offset)."""
-
-    def __init__(self):
-        self.docs: deque[tuple] = deque()  # doc_id, ids, boundaries inside, ids given out
-        self.held = 0
-        self.sequence = 0
-
-    def add(self, doc_id, ids: bytes, ends: np.ndarray) -> Iterator[tuple]:
-        """ends: positions in the document, ascending, where sentences end."""
-        self.docs.append([doc_id, ids, ends, 0])
-        self.held += len(ids) // 4
-        if self.held >= BLOCK:
-            yield from self.give(last=False)
-
-    def give(self, last: bool) -> Iterator[tuple]:
-        if not self.docs:
-            return
-        positions, penalties, base = [0], [0], 0
-        for _, ids, ends, given in self.docs:
-            total = len(ids) // 4 - given
-            inner = ends[(ends > given) & (ends < given + total)] - given
-            marks = np.append(inner, total)
-            gaps = np.diff(marks, prepend=0)
-            if gaps.max(initial=0) > WINDOW:
-                hard = np.concatenate([np.arange(m - g + HARD_STEP, m, HARD_STEP) for m, g in zip(marks, gaps, strict=True) if g > WINDOW])
-            else:
-                hard = np.empty(0, np.int64)
-            at = np.concatenate([inner, hard, [total]])
-            kind = np.repeat([SENTENCE_PENALTY, HARD_PENALTY, 0], [len(inner), len(hard), 1])
-            order = np.argsort(at, kind="stable")
-            positions += (at[order] + base).tolist()
-            penalties += kind[order].tolist()
-            base += total
-        cuts = [positions[i] for i in best_cuts(positions, penalties)]
-        if not last:
-            cuts.pop()  # the last window goes on into the next block
-        start = 0
-        for end in cuts:
-            offset = 0
-            while offset < end - start:
-                doc_id, ids, _, given = self.docs[0]
-                n = min(end - start - offset, len(ids) // 4 - given)
-                yield doc_id, given, n, zlib.crc32(memoryview(ids)[4 * given : 4 * (given + n)]), len(ids) // 4, self.sequence, offset
-                offset += n
-                if given + n == len(ids) // 4:
-                    self.docs.popleft()
-                else:
-                    self.docs[0][3] = given + n
-            self.sequence += 1
-            self.held -= end - start
-            start = end
+    """Takes documents in order and gives pieces as columns: doc_id, start, length,
+    ids_crc32, doc_tokens, sequence number, offset."""
+
+    def __init__(self, window: int = WINDOW):
+        self.window, self.cutter = window, Cutter(window)
+        self.ids = np.empty(0, "<u4")  # of the stream, from base on
+        self.base = self.end = self.sequence = 0
+        self.doc_ids: list = []  # documents not given out in full, and where they end
+        self.starts, self.ends = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, doc_ids: list, ids: np.ndarray, lengths: np.ndarray, stops: np.ndarray, text_of: np.ndarray) -> list:
+        """Documents: their ids without the end id, and the ends of sentences inside them."""
+        totals = lengths + 1
+        ends = self.end + np.cumsum(totals)
+        starts = ends - totals
+        inner = stops < lengths[text_of]
+        marks = np.concatenate([starts[text_of[inner]] + stops[inner], ends])
+        penalties = np.repeat([SENTENCE_PENALTY, 0], [inner.sum(), len(ends)])
+        order = np.argsort(marks, kind="stable")
+        marks, penalties = marks[order], penalties[order]
+        gaps = np.diff(marks, prepend=self.end)
+        if (wide := np.flatnonzero(gaps > self.window)).size:
+            hard = np.concatenate([np.arange(marks[i] - gaps[i] + 1, marks[i]) for i in wide])
+            place = np.searchsorted(marks, hard)
+            marks, penalties = np.insert(marks, place, hard), np.insert(penalties, place, HARD_PENALTY)
+        self.cutter.add(marks.tolist(), penalties.tolist())
+        self.ids = np.concatenate([self.ids, np.insert(ids, np.cumsum(lengths), END_ID)])
+        self.doc_ids += doc_ids
+        self.starts, self.ends = np.concatenate([self.starts, starts]), np.concatenate([self.ends, ends])
+        self.end = int(ends[-1])
+        return self.give(last=False)
+
+    def give(self, last: bool) -> list:
+        cuts = np.array(self.cutter.give(last), np.int64)
+        if not len(cuts):
+            return []
+        upto = cuts[-1]
+        edges = np.union1d(cuts, self.ends[self.ends < upto])
+        begin = np.concatenate([[self.base], edges[:-1]])
+        doc = np.searchsorted(self.ends, begin, "right")
+        window = np.searchsorted(cuts, begin, "right")
+        data = memoryview(np.ascontiguousarray(self.ids[: upto - self.base], "<u4")).cast("B")
+        sums = [zlib.crc32(data[4 * i : 4 * j]) for i, j in zip((begin - self.base).tolist(), (edges - self.base).tolist(), strict=True)]
+        columns = [[self.doc_ids[i] for i in doc.tolist()], begin - self.starts[doc], edges - begin, sums, (self.ends - self.starts)[doc], self.sequence + window, begin - np.concatenate([[self.base], cuts[:-1]])[window]]
+        left = int(np.searchsorted(self.ends, upto, "right"))
+        self.ids, self.base, self.sequence = self.ids[upto - self.base :], int(upto), self.sequence + len(cuts)
+        self.doc_ids, self.starts, self.ends = self.doc_ids[left:], self.starts[left:], self.ends[left:]
+        return columns
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -152,28 +150,19 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = word_encoder(tokenizer), Packer()
-        base, end = TaskContext.get().partitionId() << 40, struct.pack("<I", END_ID)
-        rows: list[tuple] = []
-        for batch in batched(batches, "text", 2 << 20):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, (ids, lengths) in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
-                rows += packer.add(doc_id, ids + end, np.cumsum(np.abs(lengths))[lengths < 0])
-            if len(rows) >= 5000:
-                yield _rows(rows, names, base)
-                rows = []
-        rows += packer.give(last=True)
-        if rows:
-            yield _rows(rows, names, base)
-
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, PIECES)
-
-
-def _rows(rows: list[tuple], names: list[str], base: int) -> pa.RecordBatch:
-    columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-    columns[5] = pa.compute.add(columns[5], base)
-    return pa.RecordBatch.from_arrays(columns, names)
+        encode, packer, number = word_encoder(tokenizer), Packer(), TaskContext.get().partitionId() << 40
+
+        def rows(columns: list) -> pa.RecordBatch:
+            columns[5] += number
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+        for batch in batched(batches, "text", SLICE):
+            if columns := packer.add(batch.column("doc_id").to_pylist(), *encode(batch.column("text"))):
+                yield rows(columns)
+        if columns := packer.give(last=True):
+            yield rows(columns)
+
+    return in_ranges(docs).mapInArrow(run, PIECES)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

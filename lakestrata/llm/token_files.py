@@ -7,7 +7,7 @@ zstandard frame of little-endian unsigned 32-bit ids per document, then the inde
 (two unsigned 64-bit integers). The dictionary lies beside the shards.
 
 Defined results. Null or empty text: the end id alone. Null doc_id: first of all, doc_id
-stays null. Repeated doc_ids: all kept, side by side, in the order of their texts. Empty
+stays null. Repeated doc_ids: all kept, side by side, by the hash of their texts. Empty
 table: no shard, no rows. Other columns are not read.
 """
 
@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, filesystem, fresh_path, materialise, partitions, write_atomically
-from .tokens import byte_level_encoder
+from .common import batched, filesystem, fresh_path, in_ranges, materialise, partitions, write_atomically
+from .tokens import SLICE, byte_level_encoder
 
 MAGIC = b"TOKSHRD1"
 #: Documents that the dictionary is trained on, ids of each that are used, and its bytes.
@@ -44,8 +44,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     chosen = [r["doc_id"] for r in docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).collect()]
     # a few rows come to the driver, each cut to what the dictionary can use
     rows = docs.filter(F.col("doc_id").isin(chosen)).select(F.substring("text", 1, 4 * SAMPLE_IDS).alias("t"), F.xxhash64("doc_id").alias("h")).orderBy("h", "t").limit(SAMPLE_DOCUMENTS).collect()
-    encode = byte_level_encoder(tokenizer)
-    samples = [ids[: 4 * SAMPLE_IDS] for ids in encode([r["t"] or "" for r in rows]) if ids]
+    ids, lengths = byte_level_encoder(tokenizer)(pa.array([r["t"] or "" for r in rows], pa.string()))
+    samples = [ids[end - n : end][:SAMPLE_IDS].tobytes() for n, end in zip(lengths.tolist(), np.cumsum(lengths).tolist(), strict=True) if n]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=200, d=8, level=3).as_bytes()
     except zstandard.ZstdError:
@@ -107,7 +107,9 @@ class ShardReader:
         return ids
 
     def find(self, doc_id: int) -> list[int]:
-        return np.flatnonzero((self.doc_id == doc_id) & (self.is_null == 0)).tolist()
+        """Places of a doc_id's documents: the index is sorted, nulls come first."""
+        nulls = int(self.is_null.sum())
+        return list(range(*(nulls + np.searchsorted(self.doc_id[nulls:], doc_id, side) for side in ("left", "right"))))
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
@@ -124,18 +126,17 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
 
         def body(out) -> None:
             out.write(shard.head)
-            for batch in batched(batches, "text", 2 << 20):
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
-                    out.write(shard.add(doc_id, ids + end))
+            for batch in batched(batches, "text", SLICE):
+                ids, lengths = encode(batch.column("text"))
+                for doc_id, n, to in zip(batch.column("doc_id").to_pylist(), lengths.tolist(), np.cumsum(lengths).tolist(), strict=True):
+                    out.write(shard.add(doc_id, ids[to - n : to].tobytes() + end))
             out.write(shard.tail())
 
         write_atomically(uri, body)
         if shard.index:
             yield pa.RecordBatch.from_pydict({"shard": [number], "uri": [uri], "n_docs": [len(shard.index)], "n_ids": [shard.tokens]})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialise(ordered.mapInArrow(write, "shard long, uri string, n_docs long, n_ids long"), "manifest")
+    return materialise(in_ranges(docs).mapInArrow(write, "shard long, uri string, n_docs long, n_ids long"), "manifest")
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:

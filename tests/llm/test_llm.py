@@ -6,12 +6,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lakestrata.llm import bagminhash, bpe, licenses, linking, onebit, packing, passages, quality, syncmers, token_files, warc
 from lakestrata.llm.common import fresh_path
-from lakestrata.llm.tokens import load_tokenizer
+from lakestrata.llm.tokens import byte_level_encoder, load_tokenizer, word_encoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, source string, node string"
@@ -38,19 +39,20 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def by_order(docs):
-    return sorted((r for r in docs.collect()), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
-
-
 def test_op1(spark, docs, none):
     folder = fresh_path(spark, "t")
     got = sorted(token_files.read_shards(token_files.write_shards(docs, BYTE, folder), folder).collect(), key=lambda r: r["start"])
-    tokenizer, at = load_tokenizer(BYTE), 0
-    for row, want in zip(got, by_order(docs), strict=True):
-        ids = [*tokenizer.encode(want["text"] or "", add_special_tokens=False).ids, 0]
+    tokenizer, at, want = load_tokenizer(BYTE), 0, []
+    for r in docs.collect():
+        ids = [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0]
         packed = np.array(ids, "<u4").tobytes()
-        assert (row["doc_id"], row["start"], row["n_tokens"], row["ids_crc32"], row["ids"]) == (want["doc_id"], at, len(ids), zlib.crc32(packed), packed)
-        at += len(ids)
+        want.append((r["doc_id"], len(ids), zlib.crc32(packed), packed))
+    key = lambda r: (r[0] is not None, *(x or 0 for x in r))
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"], bytes(r["ids"])) for r in got), key=key) == sorted(want, key=key)
+    assert [r["doc_id"] or -1 for r in got] == sorted(r["doc_id"] or -1 for r in got)
+    for row in got:
+        assert row["start"] == at
+        at += row["n_tokens"]
     folder = fresh_path(spark, "t")
     assert token_files.read_shards(token_files.write_shards(none, BYTE, folder), folder).count() == 0
 
@@ -134,37 +136,87 @@ def test_op6_frequent_line(spark):
     assert got == {i: i % 100 for i, *_ in rows}
 
 
-def test_op7(spark, docs, none):
-    tokenizer = load_tokenizer(WORD)
-    pieces = packing.pack(docs, WORD).collect()
-    lengths = {}
+def unpacked(pieces, docs, path):
+    """Checks that pieces hold each id of docs once, in order, and windows without gaps;
+    returns the lengths of sequences."""
+    tokenizer, by_doc, windows = load_tokenizer(path), {}, {}
     for p in pieces:
-        lengths.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
-    for parts in lengths.values():
+        by_doc.setdefault(p["doc_id"], []).append(p)
+        windows.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    texts = {}
+    for r in docs:
+        texts.setdefault(r["doc_id"], []).append(np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4"))
+    assert texts.keys() == by_doc.keys()
+    for doc_id, all_ids in texts.items():
+        assert sum(p["length"] for p in by_doc[doc_id]) == sum(map(len, all_ids))
+        for p in by_doc[doc_id]:
+            assert any(len(x) == p["doc_tokens"] and zlib.crc32(x[p["start"] : p["start"] + p["length"]].tobytes()) == p["ids_crc32"] for x in all_ids)
+        if len(all_ids) == 1:
+            ends = sorted((p["start"], p["start"] + p["length"]) for p in by_doc[doc_id])
+            assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
+    sizes = []
+    for parts in windows.values():
         at = 0
         for offset, n in sorted(parts):
             assert offset == at
             at += n
-        assert at <= packing.WINDOW
-    want = sorted(zlib.crc32(np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for r in docs.collect() if len(r["text"] or "") < 5000 and (r["doc_id"] or 0) < 18)
-    whole = [p["ids_crc32"] for p in pieces if p["length"] == p["doc_tokens"]]
-    assert sum(c in whole for c in want) >= len(want) - 2
-    assert sum(p["length"] for p in pieces) == sum(len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
+        sizes.append(at)
+    assert max(sizes) <= packing.WINDOW
+    return sizes
+
+
+def test_op7(spark, docs, none):
+    pieces = packing.pack(docs, WORD).collect()
+    unpacked(pieces, docs.collect(), WORD)
     assert packing.pack(none, WORD).count() == 0
-    positions = [0, *np.cumsum(np.random.default_rng(1).integers(1, 9, 60)).tolist()]
-    penalty = [0, *np.random.default_rng(2).integers(0, 4, 60).tolist()]
-
-    def cost(cuts):
-        edges = [0, *cuts]
-        return sum((0 if (n := positions[b] - positions[a]) & (n - 1) == 0 else 16 - n) + penalty[b] for a, b in zip(edges, edges[1:], strict=False))
-
-    best = [0] + [10**9] * 60  # plain quadratic programming
-    for j in range(1, 61):
-        for i in range(j):
-            if positions[j] - positions[i] <= 16:
-                n = positions[j] - positions[i]
-                best[j] = min(best[j], best[i] + (0 if n & (n - 1) == 0 else 16 - n) + penalty[j])
-    assert cost(packing.best_cuts(positions, penalty, 16)) == best[60]
+    # one range: no sequence but the last is far from full, and the order of doc_id is kept
+    rows = [(i, prose(int(n), 900 + i) + ("\x1c" if i % 5 == 0 else ""), "s", "n") for i, n in enumerate(np.random.default_rng(8).integers(1, 2500, 60))]
+    rows.append((60, "word " * 12_000, "s", "n"))  # no sentence end
+    packer, (ids, lengths, *stops) = packing.Packer(), word_encoder(WORD)(pa.array([r[1] for r in rows]))
+    bounds, got = np.concatenate([[0], np.cumsum(lengths)]), []
+    for lo in range(0, len(rows), 7):  # several slices give the cuts of one
+        hi = min(lo + 7, len(rows))
+        inside = (stops[1] >= lo) & (stops[1] < hi)
+        if columns := packer.add(list(range(lo, hi)), ids[bounds[lo] : bounds[hi]], lengths[lo:hi], stops[0][inside], stops[1][inside] - lo):
+            got.append(columns)
+    got.append(packer.give(last=True))
+    whole = packing.Packer()
+    both = [c for c in (whole.add(list(range(len(rows))), ids, lengths, *stops), whole.give(last=True)) if c]
+    parts = [np.concatenate([np.asarray(c[k]) for c in got]) for k in range(7)]
+    once = [np.concatenate([np.asarray(c[k]) for c in both]) for k in range(7)]
+    assert all((a == b).all() for a, b in zip(parts, once, strict=True))
+    names = [x.split()[0] for x in packing.PIECES.split(", ")]
+    pieces = [dict(zip(names, map(int, row), strict=True)) for row in zip(*parts, strict=True)]
+    sizes = unpacked(pieces, [{"doc_id": r[0], "text": r[1]} for r in rows], WORD)
+    assert [p["doc_id"] for p in pieces] == sorted(p["doc_id"] for p in pieces) and len(sizes) <= sum(sizes) / packing.WINDOW + 2
+
+
+def test_op7_cuts():
+    """Windows of a stream that comes in parts, against plain quadratic programming."""
+    rng, window = np.random.default_rng(3), 16
+    for _ in range(100):
+        at, penalty = [0, *np.cumsum(rng.integers(1, 9, 200)).tolist()], [0, *rng.choice([0, 2, 9], 200).tolist()]
+        cutter, cuts = packing.Cutter(window), []
+        for lo in range(1, 201, 37):
+            cutter.add(at[lo : min(lo + 37, 201)], penalty[lo : min(lo + 37, 201)])
+            cuts += cutter.give(last=lo + 37 > 200)
+        best = [0] + [10**9] * 200
+        for j in range(1, 201):
+            for i in range(j):
+                if at[j] - at[i] <= window:
+                    best[j] = min(best[j], best[i] + window - (at[j] - at[i]) + penalty[j])
+        edges, of = [0, *cuts], dict(zip(at, penalty, strict=True))
+        assert edges[-1] == at[-1] and sum(window - (b - a) + of[b] for a, b in zip(edges, edges[1:], strict=False)) == best[-1]
+
+
+def test_encoders_against_library():
+    """Ids and sentence ends of awkward strings, as the tokenizers library gives them."""
+    parts = ["a", "B", "é", "İ", "ß", "word", "Word", "don't", "'s", ",", ".", "...", " ", "  ", "\n", "\n\n", "\t", "\x01", "\x1c", "\x85", "\xa0", "　", "日本", "😀", "<|endoftext|>", "1", "23", "-", "_", "x,", "y.", "\r\n", "Ġ", "ŉ", "ǅ", "ſ", "ﬁ", " a", " word"]
+    texts = ["", *("".join(RNG.choice(parts, RNG.integers(0, 14))) for _ in range(3000))]
+    for path, encode in ((BYTE, byte_level_encoder(BYTE)), (WORD, word_encoder(WORD))):
+        ids, lengths, *_ = encode(pa.array(texts))
+        want = [e.ids for e in load_tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
 
 
 def test_op8(spark, docs, none):
