@@ -42,6 +42,22 @@ def tune_bands(similarity: float, recall: float, width: int) -> tuple[int, int]:
     raise ValueError(f"{width} values are too few")
 
 
+#: Words of 64 bits that with_likely() marks wanted keys in.
+MARKS = 1 << 17
+
+
+def with_likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """rows with the column likely: false where key, a 64-bit hash, is not among those of
+    wanted. It is broadcast as MARKS words of marks at most, whatever the size of wanted;
+    where very many are wanted more rows are likely that are not, which a join then settles.
+    So rows that nobody wants need not be shuffled."""
+    place = lambda c: F.pmod(c, F.lit(MARKS)).cast("int")
+    of = F.col(key)
+    marks = wanted.select(place(of).alias("_place"), F.expr(f"shiftleft(1L, cast(pmod(shiftright(`{key}`, 40), 64) AS int))").alias("_bit")).groupBy("_place").agg(F.bit_or("_bit").alias("_bits"))
+    met = rows.join(F.broadcast(marks), place(of) == F.col("_place"), "left")
+    return met.select(*rows.columns, F.coalesce(F.expr(f"getbit(_bits, cast(pmod(shiftright(`{key}`, 40), 64) AS int))") == 1, F.lit(False)).alias("likely"))
+
+
 def elect(bands: DataFrame) -> DataFrame:
     """(a, b): each node of a bucket of several with the bucket's leader."""
     shared = bands.join(bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key")
