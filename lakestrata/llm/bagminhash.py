@@ -1,17 +1,20 @@
 """Operator 8: near-duplicates by BagMinHash. A document is the multiset of its five-word
 shingles. Each shingle and weight level drives Poisson processes over the registers: the
-weight axis is cut into [0,1), [1,2), [2,4), [4,8) ..., an interval's process has points at
-a rate in proportion to its length, and a point of an interval that the weight covers in
-part counts only if its place on the axis, found by halving, lies below the weight. A
-register keeps its earliest point, so two registers agree with probability of exactly the
-weighted Jaccard similarity. Points later than the last register's need not be made.
-Signatures are banded; candidates are verified by exact multiset overlap.
+axis of discrete weights is a hierarchy of intervals [0,1), [1,2), [2,4), [4,8) ..., each
+with a process of its own, whose points come at a rate in proportion to its length. Only
+intervals that the weight reaches into are run; in the last of them, which the weight may
+cover in part, a point counts if its place, drawn evenly, lies below the weight (points
+are thinned there; intervals are not split further). A register keeps its earliest point,
+so two registers agree with probability of exactly the weighted Jaccard similarity. Points
+later than the last register's need not be made. Signatures are banded; candidates are
+verified by exact multiset overlap of five-word shingles, at least SIMILARITY.
 
 Defined results. Texts without a word, null ones too: no signature, a class of their own
 doc_id. Texts of 1 to 4 words: one shingle of all. Copies, and texts that differ in case
 or punctuation only, are one node. Null doc_id: its row is kept, class null. Repeated
-doc_ids: a row each; a class is named by its smallest doc_id. Empty table: no rows. Other
-columns are not read.
+doc_ids: a row each; a class is named by its smallest doc_id. Very long texts: taken whole.
+Empty table: no rows. Other columns are not read, and keep_one() hands them on, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batched, materialise, release, table
-from .linking import WEIGHTED, classes, pack_set, tune_bands
+from .linking import WEIGHTED, classes, pack_set, tune_bands, with_likely
 from .syncmers import mix
 from .textvec import shingles, word_hashes
 
@@ -124,12 +127,14 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, content, root, class_id of every row of docs: class_id is the smallest doc_id
-    of the near-duplicates that the row belongs to, root the class's own number."""
+    """doc_id, content, root, class_id, first_content of every row of docs: class_id is the
+    smallest doc_id of the near-duplicates that the row belongs to, first_content the text
+    that it stands for, root the class's own number."""
     spark = docs.sparkSession
     rows = signed(docs)
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct(_doc_key().alias("key"), "content")).alias("rep"), F.first("keys").alias("keys"))
-    bands = materialise(nodes.select("node", F.explode("keys").alias("key")), "bands")
+    nodes = materialise(nodes.select("node", "rep.key", "rep.content", "keys"), "nodes")
+    bands = nodes.select("node", F.explode("keys").alias("key"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +144,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([pack_set(items[i:j], weights[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["node", "items"])
 
-        reps = wanted.join(nodes.select("node", "rep.key", "rep.content"), "node")
-        texts = docs.select(_doc_key().alias("key"), _content().alias("content"), "text")
+        reps = materialise(nodes.drop("keys").join(wanted, "node"), "wanted")
+        texts = with_likely(docs.select(_doc_key().alias("key"), _content().alias("content"), "text"), reps, "content").filter("likely")
         return materialise(texts.join(reps, ["key", "content"]).select("node", "text").mapInArrow(run, "node long, items binary").dropDuplicates(["node"]), "sets")
 
     labels = classes(bands, sets_of, SIMILARITY, WEIGHTED)
@@ -149,22 +154,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = rows.join(labels, "node", "left").select("doc_id", "content", F.coalesce("root", "node").alias("root"))
     # rows of large classes are spread over salts; classes of one row need no join
     salt = F.pmod(F.xxhash64("doc_id", "content"), F.lit(SALTS)).cast("int")
-    named = known.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).filter("n > 1").select("root", "class_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "content"))).alias("first")
+    named = known.filter("root is not null").groupBy("root").agg(first, F.count("*").alias("n")).filter("n > 1").select("root", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     joined = known.withColumn("salt", salt).join(named, ["root", "salt"], "left")
-    return joined.select("doc_id", "content", "root", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    return joined.select("doc_id", "content", "root", F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id")).alias("class_id"), F.coalesce("first.content", "content").alias("first_content"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without near-duplicates: of each class one row, with
     its smallest doc_id, stays. Rows without doc_id or words all stay."""
-    found = near_duplicates(docs)
-    in_class = F.col("doc_id").isNotNull() & F.col("root").isNotNull()
-    first = found.filter(in_class).groupBy("root").agg(F.min(F.struct(_doc_key().alias("_key"), F.col("content").alias("_content"))).alias("k")).select("k.*", F.lit(True).alias("_one"))
-    free = found.filter(~in_class).select(_doc_key().alias("_key"), F.col("content").alias("_content"), F.lit(False).alias("_one")).distinct()
-    tagged = docs.withColumn("_key", _doc_key()).withColumn("_content", _content())
-    met = tagged.join(first.unionByName(free), ["_key", "_content"])
-    alone = F.when(F.col("_one"), F.lit(-1)).otherwise(F.monotonically_increasing_id())
-    return met.withColumn("_alone", alone).dropDuplicates(["_key", "_content", "_alone"]).select(docs.columns)
+    found = near_duplicates(docs).filter(F.col("doc_id").isNotNull() & F.col("root").isNotNull())
+    is_first = (F.col("doc_id") == F.col("class_id")) & (F.col("content") == F.col("first_content"))
+    # what goes, and what stays but stands in several rows
+    told = found.groupBy(_doc_key().alias("key"), "content").agg(F.bool_and(is_first).alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1")
+    told = materialise(told.select("key", "content", "stays"), "told")
+    # the user's columns travel in one struct, so that no name clashes
+    rows = with_likely(docs.select(_doc_key().alias("key"), _content().alias("content"), F.struct("*").alias("row")), told, "content")
+    met = rows.filter("likely").join(told, ["key", "content"], "left")
+    kept = rows.filter("not likely").select("row").unionByName(met.filter("stays is null").select("row"))
+    kept = kept.unionByName(met.filter("stays").dropDuplicates(["key", "content"]).select("row"))
+    return kept.select([F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

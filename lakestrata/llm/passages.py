@@ -259,6 +259,7 @@ def _later(found: DataFrame, root: str) -> DataFrame:
     and the first's as start. Occurrences that overlap the first do not count."""
     place = F.struct("key", "content", "first", "end")
     several = found.groupBy(root).agg(F.min(place).alias("start"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    several = materialise(several, "several")  # so that the join below can split a frequent root
     same = (F.col("key") == F.col("start.key")) & (F.col("content") == F.col("start.content"))
     return found.join(several, root).filter((place != F.col("start")) & ~(same & (F.col("first") < F.col("start.end")))).select("key", "content", "first", "end", "start")
 
