@@ -146,7 +146,9 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float, kind: np.
     """(a, b): pairs of nodes (node, root) of two roots that may reach the similarity. With
     elements in one order, rare ones first, two sets with overlap o share one within the
     first |x| - o + 1 of each; o is at least 2t / (1 + t) of the smaller set and t of the
-    larger. Any order gives all pairs; counts in CELLS cells make it a good one."""
+    larger. What follows their first common element bounds the overlap from above: a match
+    so far behind that t / (1 + t) of both sizes cannot be reached any more is no pair. Any
+    order gives all pairs; counts in CELLS cells make it a good one."""
     spark = nodes.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,17 +175,19 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float, kind: np.
                 index.append(np.arange(len(taken[-1])) <= n - int(np.ceil(2 * similarity / (1 + similarity) * n - 1e-6)))
                 sizes.append(n)
             lengths = [len(x) for x in taken]
-            columns = [np.concatenate(taken).view(np.int64), np.repeat(batch.column("node").to_numpy(), lengths), np.repeat(batch.column("root").to_numpy(), lengths), np.repeat(np.array(sizes, np.int64), lengths), np.concatenate(index)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["element", "node", "root", "n", "index"])
+            rest = np.concatenate([np.arange(n, n - m, -1) for n, m in zip(sizes, lengths, strict=True)])
+            columns = [np.concatenate(taken).view(np.int64), np.repeat(batch.column("node").to_numpy(), lengths), np.repeat(batch.column("root").to_numpy(), lengths), np.repeat(np.array(sizes, np.int64), lengths), rest, np.concatenate(index)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["element", "node", "root", "n", "rest", "index"])
 
-    rows = sets.join(nodes, "node").select("node", "root", "items").mapInArrow(prefixes, "element long, node long, root long, n long, index boolean")
+    rows = sets.join(nodes, "node").select("node", "root", "items").mapInArrow(prefixes, "element long, node long, root long, n long, rest long, index boolean")
     # elements of one root only give no pair
     rows = materialise(rows, "prefixes")
     met = rows.groupBy("element").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("element")
     rows = materialise(rows.join(met, "element"), "met-prefixes")
     one, other = rows.filter("index").drop("index").alias("i"), rows.drop("index").alias("p")
     larger = (F.col("i.n") < F.col("p.n")) | ((F.col("i.n") == F.col("p.n")) & (F.col("i.node") < F.col("p.node")))
-    near = larger & (F.col("i.root") != F.col("p.root")) & (F.col("p.n") * similarity <= F.col("i.n") + 1e-6)
+    reach = F.least("i.rest", "p.rest") >= (F.col("i.n") + F.col("p.n")) * (similarity / (1 + similarity)) - 1e-6
+    near = larger & (F.col("i.root") != F.col("p.root")) & (F.col("p.n") * similarity <= F.col("i.n") + 1e-6) & reach
     return one.join(other, (F.col("i.element") == F.col("p.element")) & near).select(F.least("i.node", "p.node").alias("a"), F.greatest("i.node", "p.node").alias("b")).distinct()
 
 
