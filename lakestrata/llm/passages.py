@@ -326,7 +326,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     kind = pa.struct([("key", pa.int64()), ("content", pa.int64()), ("at", pa.int32())])
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
             rows = []
             for key, content, own in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "places")), strict=True):
                 for lo, hi, _, outermost in runs_of(own):
@@ -357,7 +357,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     both = here.join(there, ["there", "left"]).select("key", "content", "lo", "hi", "left", "at", F.col("there.key").alias("first_key"), "x", "y")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             far = [agreeing(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "content", "lo", "hi", "left", "at", "first_key")), pa.array(far, pa.int32())], ["key", "content", "lo", "hi", "left", "at", "first_key", "far"])
 
@@ -366,7 +366,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     region = F.struct("first", "end", "first_keys")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
             rows = []
             for key, content, own in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "regions")), strict=True):
                 if cuts := merged([(r["first"], r["end"]) for r in own]):
