@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
-import uuid
+import secrets
+import string
 from datetime import UTC, datetime
 
 from pyspark.sql import Column
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 #: Timestamps enter hashes in this form, whatever the session's zone or format.
 STAMP = "yyyy-MM-dd HH:mm:ss"
-_BATCH = re.compile(r"(\d{8}T\d{6}Z)-([0-9a-f]{8})")
+#: Fixed value: the time in a batch id.
+BATCH_TIME = "%Y%m%dT%H%M%SZ"
 
 
 def hashed_key(*parts: Column | str) -> Column:
@@ -24,23 +25,24 @@ def version_key(natural_key: str, ts: str) -> Column:
     return hashed_key(F.col(natural_key), F.date_format(ts, STAMP))
 
 
-def days_between(start: str, end: str) -> Column:
+def days_between(start: Column | str, end: Column | str) -> Column:
     """Days from start to end with fractions, from whole seconds; null if either is."""
-    return (F.unix_seconds(F.col(end).cast("timestamp")) - F.unix_seconds(F.col(start).cast("timestamp"))) / F.lit(86400.0)
+    seconds = lambda c: F.unix_seconds((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
+    return (seconds(end) - seconds(start)) / F.lit(86400.0)
 
 
 def make_batch_id(now: datetime | None = None) -> str:
     """YYYYMMDDTHHMMSSZ and eight hex digits; a time without zone is taken for UTC."""
-    now = now or datetime.now(UTC)
-    now = now.replace(tzinfo=UTC) if now.tzinfo is None else now.astimezone(UTC)
-    return f"{now:%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:8]}"
+    now = datetime.now(UTC) if now is None else now
+    second = now.replace(tzinfo=now.tzinfo or UTC).astimezone(UTC).strftime(BATCH_TIME)
+    return "-".join((second, secrets.token_hex(4)))
 
 
 def parse_batch_id(batch_id: str) -> tuple[datetime, str]:
-    found = _BATCH.fullmatch(batch_id)
-    if not found:
+    second, _, tail = batch_id.partition("-")
+    if len(second) != 16 or len(tail) != 8 or set(tail) - set(string.hexdigits.lower()):
         raise ValueError(f"not a batch id: {batch_id!r}")
-    return datetime.strptime(found[1], "%Y%m%dT%H%M%SZ").replace(tzinfo=UTC), found[2]
+    return datetime.strptime(second, BATCH_TIME).replace(tzinfo=UTC), tail
 
 
 def batch_time(batch_id: Column | str) -> Column:

@@ -80,10 +80,11 @@ def customer_ltv(orders: DataFrame, key: str = "customer_sk", as_of: Column | No
     """Value per customer over orders (key, created_at, total_amount, status) that are not
     cancelled. as_of: by default the latest such order."""
     live = orders.filter("status != 'cancelled'")
-    line = Window.partitionBy(key).orderBy("created_at")
-    gap = live.withColumn("_before", F.lag("created_at").over(line)).withColumn("_gap", days_between("_before", "created_at"))
-    per = gap.groupBy(key).agg(
-        F.sum("total_amount").alias("total_revenue"), F.count("*").alias("order_count"), F.min("created_at").alias("first_order_at"), F.max("created_at").alias("last_order_at"), F.avg("_gap").alias("avg_days_between")
+    # gaps between orders in time add up to the time from the first to the last
+    gaps = F.count("created_at") - 1
+    per = live.groupBy(key).agg(
+        F.sum("total_amount").alias("total_revenue"), F.count("*").alias("order_count"), F.min("created_at").alias("first_order_at"), F.max("created_at").alias("last_order_at"),
+        F.try_divide(days_between(F.min("created_at"), F.max("created_at")), gaps).alias("avg_days_between"),
     )
     end = per.agg(F.max("last_order_at").alias("_as_of")) if as_of is None else per.sparkSession.range(1).select(as_of.cast("timestamp").alias("_as_of"))
     churned = (F.col("order_count") > 1) & (F.datediff("_as_of", "last_order_at") > churn_days)

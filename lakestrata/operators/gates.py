@@ -35,6 +35,10 @@ def currency_freshness(rates: DataFrame, today: Column, limit: float = 50.0) ->
     return found.withColumn("simulated_pct", pct).withColumn("passed", (F.col("n") > 0) & (F.col("simulated_pct") <= limit))
 
 
+def api_only(rates: DataFrame) -> DataFrame:
+    return rates.filter(F.col("source") == "api")
+
+
 def simulated_by_hour(rates: DataFrame, ts: str, end: Column, hours: int = 24) -> DataFrame:
     """Share of simulated rates in each of the last hours."""
     recent = rates.filter((F.col(ts) > end - F.expr(f"INTERVAL {hours} HOURS")) & (F.col(ts) <= end))
@@ -85,6 +89,13 @@ def usage(df: DataFrame, by: list[Column], amount: str) -> DataFrame:
     return df.groupBy(*by).agg(F.sum(amount).alias("total"), F.count("*").alias("n"))
 
 
+def trailing_usage(df: DataFrame, by: list[Column], amount: str, ts: str, end: Column, days: int) -> DataFrame:
+    """Usage over the last days up to end, largest first."""
+    recent = df.filter((F.col(ts) > end - F.expr(f"INTERVAL {days} DAYS")) & (F.col(ts) <= end))
+    found = usage(recent, by, amount)
+    return found.orderBy(F.desc("total"), *found.columns[: len(by)])
+
+
 def run_kpis(runs: DataFrame, start: str, end: Column, hours: int = 24) -> DataFrame:
     """Per pipeline over the trailing hours: runs, success rate, median duration. runs has
     pipeline, state, duration_s; a null state counts as unknown, not as success."""

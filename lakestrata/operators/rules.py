@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 REASON = "_quarantine_reason"
@@ -71,6 +71,18 @@ WISHLIST = _rules(
 )
 
 
+def as_of(rules: list[Rule], now: str) -> list[Rule]:
+    """The rules with a given time (yyyy-MM-dd HH:mm:ss) in place of the clock."""
+    clock = {"current_timestamp()": f"TIMESTAMP '{now}'", "current_date()": f"DATE '{now[:10]}'"}
+    fixed = []
+    for r in rules:
+        condition = r.condition
+        for name, value in clock.items():
+            condition = condition.replace(name, value)
+        fixed.append(Rule(r.name, condition))
+    return fixed
+
+
 def judged(df: DataFrame, rules: list[Rule], null_policy: str = "pass") -> DataFrame:
     """df with REASON: names of failed rules in their order, joined by commas; empty if
     none failed. A null condition passes, or fails under the policy "fail"."""
@@ -86,6 +98,14 @@ def split_quarantine(df: DataFrame, rules: list[Rule], null_policy: str = "pass"
     return all_rows.filter(F.col(REASON) == "").drop(REASON), all_rows.filter(F.col(REASON) != "")
 
 
+def observed_split(df: DataFrame, rules: list[Rule], name: str = "split") -> tuple[DataFrame, Observation]:
+    """The judged rows, and an observation of how many came in, were good and were bad: its
+    figures are there once an action has run over the rows, without a pass of its own."""
+    seen = Observation(name)
+    bad = F.count_if(F.col(REASON) != "")
+    return judged(df, rules).observe(seen, F.count("*").alias("n_input"), (F.count("*") - bad).alias("n_good"), bad.alias("n_bad")), seen
+
+
 def breakdown(bad: DataFrame, per_rule: bool = False) -> DataFrame:
     """Rows by reason, most first; per_rule counts each of a row's rules."""
     reason = F.explode(F.split(REASON, ",")) if per_rule else F.col(REASON)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -261,6 +263,12 @@ def fact_orders(spark, sf):
     return _fact(spark, sf).select("order_sk", "order_id", F.col("total_amount").cast("double").alias("total_amount"), "product_sk", "category", "status")
 
 
+@query("fact_orders_two_dims", f"""WITH {FACT}, {CUSTOMER} SELECT f.order_id, f.product_sk, f.category, c.customer_sk FROM fact f
+  LEFT JOIN dim_customer c ON c.customer_id = f.customer_id AND f.created_at >= c.effective_from AND f.created_at < c.effective_to""")
+def fact_orders_two_dims(spark, sf):
+    return facts.order_fact(A.dedup(A.good_lines(spark, sf)), A.customer_dim(spark, sf), A.product_dim(spark, sf)).select("order_id", "product_sk", "category", "customer_sk")
+
+
 @query("daily_revenue", f"""WITH {FACT} SELECT strftime(created_at, '%Y-%m-%d') AS day, category, count(*) AS order_count, CAST(sum(total_amount) AS DOUBLE) AS revenue, round(CAST(sum(total_amount) AS DOUBLE) / count(*), 4) AS avg_order,
 CAST(sum(CASE WHEN status = 'cancelled' THEN total_amount ELSE 0 END) AS DOUBLE) AS cancelled_revenue, count(*) FILTER (status = 'cancelled') AS cancelled_count FROM fact GROUP BY 1, 2""")
 def daily_revenue(spark, sf):
@@ -485,6 +493,155 @@ def stream_merge(spark, sf):
     return tables.read_snapshot(spark, table).select("user_id", text_time("ts"), "event_id")
 
 
+# --- named rule sets, over views that break each rule somewhere ------------------------------
+RULES_NOW = "1998-01-01 00:00:00"
+_OR_NULL = "CASE WHEN {key} % {n} <> 0 THEN {value} END AS {name}"
+RULE_VIEWS = {
+    "orders": (rules.ORDERS, "lineitem", [
+        _OR_NULL.format(key="l_orderkey", n=11, value="l_orderkey", name="order_id"), _OR_NULL.format(key="l_partkey", n=13, value="l_suppkey", name="customer_id"), _OR_NULL.format(key="l_suppkey", n=7, value="l_partkey", name="product_id"),
+        "l_linenumber - 1 AS quantity", "l_extendedprice - 5000 AS price", "CASE l_returnflag WHEN 'R' THEN 'lost' WHEN 'A' THEN 'paid' ELSE 'placed' END AS status", "l_shipdate AS created_at", "CASE WHEN l_linenumber = 2 THEN l_shipdate - INTERVAL 1 DAY ELSE l_shipdate END AS updated_at"]),
+    "customers": (rules.CUSTOMERS, "customer", [
+        _OR_NULL.format(key="c_custkey", n=11, value="c_custkey", name="customer_id"), _OR_NULL.format(key="c_custkey", n=7, value="c_name", name="name"),
+        "CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'a@b.co' WHEN 2 THEN 'a b@c.de' WHEN 3 THEN 'none' ELSE 'x@y' END AS email",
+        "CASE WHEN c_custkey % 3 = 0 THEN DATE '1999-01-01' ELSE DATE '1997-01-01' END AS signup_date", "CASE WHEN c_custkey % 4 = 0 THEN TIMESTAMP '1996-01-01 00:00:00' ELSE TIMESTAMP '1999-06-01 00:00:00' END AS updated_at"]),
+    "products": (rules.PRODUCTS, "part", [
+        _OR_NULL.format(key="p_partkey", n=11, value="p_partkey", name="product_id"), _OR_NULL.format(key="p_partkey", n=7, value="p_name", name="product_name"), "p_partkey % 9 - 1 AS price",
+        "CASE p_partkey % 4 WHEN 0 THEN 'books' WHEN 1 THEN 'office' WHEN 2 THEN 'weapons' END AS category", _OR_NULL.format(key="p_partkey", n=5, value="p_name", name="sku")]),
+    "clickstream": (rules.CLICKSTREAM, "events", [
+        _OR_NULL.format(key="event_id", n=11, value="event_id", name="event_id"), _OR_NULL.format(key="user_id", n=7, value="user_id", name="session_id"), "CASE WHEN event_id % 5 = 0 THEN 'page_view' ELSE event_type END AS event_type",
+        _OR_NULL.format(key="event_id", n=13, value="props", name="page_url"), "ts - CAST(event_id % 3 AS INT) * INTERVAL 10000 DAY AS event_ts", "CASE event_id % 4 WHEN 0 THEN 'mobile' WHEN 1 THEN 'fridge' END AS device"]),
+    "currency": (rules.CURRENCY, "orders", [
+        "CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) END AS rate_date", "CASE WHEN o_orderkey % 7 = 0 THEN 'EUR' ELSE 'USD' END AS base_currency", _OR_NULL.format(key="o_custkey", n=5, value="o_custkey", name="target_currency"),
+        "o_custkey % 6 - 1 AS rate", "CASE o_orderkey % 4 WHEN 0 THEN 'api' WHEN 1 THEN 'simulated' ELSE 'rumour' END AS _source"]),
+    "wishlist": (rules.WISHLIST, "events", [
+        _OR_NULL.format(key="event_id", n=11, value="event_id", name="wishlist_event_id"), _OR_NULL.format(key="user_id", n=7, value="user_id", name="customer_id"), _OR_NULL.format(key="event_id", n=13, value="user_id", name="product_id"),
+        "ts - CAST(event_id % 3 AS INT) * INTERVAL 10000 DAY AS added_at", "CASE event_id % 3 WHEN 0 THEN '/cart' WHEN 1 THEN '/attic' END AS source"]),
+}
+
+
+def _sql_rules(name: str) -> str:
+    conditions, source, columns = RULE_VIEWS[name]
+    failed = [f"CASE WHEN NOT ({r.condition}) THEN '{r.name}' END" for r in rules.as_of(conditions, RULES_NOW)]
+    reason = re.sub(r"(\w+) RLIKE ('[^']*')", r"regexp_matches(\1, \2)", f"concat_ws(',', {', '.join(failed)})").replace("\\\\", "\\")
+    return f"SELECT reason, count(*) AS n FROM (SELECT {reason} AS reason FROM (SELECT {', '.join(columns)} FROM {source})) WHERE reason <> '' GROUP BY reason"
+
+
+def _rule_query(name: str) -> None:
+    @query(f"ruleset_{name}", _sql_rules(name))
+    def ruleset(spark, sf):
+        conditions, source, columns = RULE_VIEWS[name]
+        return rules.breakdown(rules.split_quarantine(A.load(spark, sf, source).selectExpr(*columns), rules.as_of(conditions, RULES_NOW))[1])
+
+
+for _name in RULE_VIEWS:
+    _rule_query(_name)
+
+
+@query("rules_per_rule", f"WITH {LINES}, bad AS (SELECT {SQL_REASON} AS r FROM lines) SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(r, ',')) AS reason FROM bad WHERE r <> '') GROUP BY reason")
+def rules_per_rule(spark, sf):
+    return rules.breakdown(rules.split_quarantine(A.order_lines(spark, sf), LINE_RULES)[1], per_rule=True)
+
+
+@query("run_metrics", f"WITH {LINES}, j AS (SELECT {SQL_REASON} AS r FROM lines) SELECT count(*) AS n_input, count(*) FILTER (r = '') AS n_good, count(*) FILTER (r <> '') AS n_bad FROM j")
+def run_metrics(spark, sf):
+    judged, seen = rules.observed_split(A.order_lines(spark, sf), LINE_RULES)
+    tables.append(judged.filter(F.col(rules.REASON) != ""), tables.work_path(spark, "quarantine"))
+    return spark.createDataFrame([seen.get], "n_input long, n_good long, n_bad long")
+
+
+# --- reads, appends, late data -------------------------------------------------------------------
+@query("file_reads", "SELECT format, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders CROSS JOIN (VALUES ('csv'), ('json'), ('parquet')) f(format) GROUP BY format")
+def file_reads(spark, sf):
+    orders, found = A.load(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), []
+    for fmt in ("csv", "json", "parquet"):
+        root = tables.work_path(spark, "raw")
+        for part in (0, 1):
+            path = tables.partition_path(root, "raw", "orders", date(2026, 5, 1 + part), part)
+            writer = orders.filter(F.col("o_orderkey") % 2 == part).write.format(fmt)
+            (writer.option("header", "true") if fmt == "csv" else writer).save(path)
+        read = tables.read_files(spark, tables.layer_root(root, "raw", "orders"), fmt, orders.schema if fmt == "json" else None, merge=fmt == "parquet")
+        found.append(tables.coerce(read, {"o_orderkey": "long"}).agg(F.lit(fmt).alias("format"), F.count("*").alias("n"), F.sum("o_orderkey").alias("keys")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("append_lineage", "SELECT 'b' || CAST(event_id % 2 AS VARCHAR) AS _batch_id, event_type, '2026-05-01 00:00:00' AS _ingestion_timestamp, count(*) AS n FROM events GROUP BY ALL")
+def append_lineage(spark, sf):
+    events, path = A.load(spark, sf, "events").select("event_id", "event_type"), tables.work_path(spark, "bronze")
+    for part in (0, 1):
+        tables.append(tables.with_lineage(events.filter(F.col("event_id") % 2 == part), f"b{part}", None, datetime(2026, 5, 1, tzinfo=UTC)), path, ["_batch_id"])
+    return spark.read.parquet(path).groupBy("_batch_id", "event_type", F.date_format("_ingestion_timestamp", STAMP).alias("_ingestion_timestamp")).agg(F.count("*").alias("n"))
+
+
+@query("compacted", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def compacted(spark, sf):
+    table = tables.work_path(spark, "compacted")
+    tables.publish(A.load(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus").repartition(16), table)
+    tables.compact(spark, table, ["o_orderdate", "o_orderstatus"], 4)
+    return tables.read_snapshot(spark, table).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("sessions_late", f"WITH {SESSIONS} SELECT event_id, cookie, CAST(seq AS BIGINT) AS session_seq, session_key FROM sess")
+def sessions_late(spark, sf):
+    """Sessions of the events that came in time, then those of cookies with late ones anew."""
+    clicks = A.clicks(spark, sf)
+    known = facts.sessionize(clicks.filter("event_id % 10 != 3"), "cookie", "event_ts", "event_id")
+    late = clicks.filter("event_id % 10 = 3").select("cookie").distinct()
+    touched = facts.sessionize(clicks.join(late, "cookie", "left_semi"), "cookie", "event_ts", "event_id")
+    return facts.refresh_sessions(known, touched, "cookie").select("event_id", "cookie", "session_seq", "session_key")
+
+
+@query("scd2_stage", f"""WITH {_dim('dim_customer', 'customer_id', 'customer_sk', 'priority', f"SELECT * FROM ({CUSTOMER_CHANGES}) WHERE updated_at < TIMESTAMP '{CUT}'")},
+src AS (SELECT * FROM ({CUSTOMER_CHANGES}) WHERE updated_at >= TIMESTAMP '{CUT}' QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY updated_at DESC) = 1)
+SELECT s.customer_id, CASE WHEN d.customer_id IS NULL THEN 'new' WHEN d.priority = s.priority THEN 'unchanged' ELSE 'changed' END AS action FROM src s LEFT JOIN dim_customer d ON d.customer_id = s.customer_id AND d.is_current""")
+def scd2_stage(spark, sf):
+    changes = A.customer_changes(spark, sf)
+    before = H.history(changes.filter(F.col("updated_at") < F.lit(CUT).cast("timestamp")), "customer_id", ["priority"], [], "customer_sk")
+    source = state.latest_by_max(changes.filter(F.col("updated_at") >= F.lit(CUT).cast("timestamp")), ["customer_id"], ["updated_at"])
+    return H.stage_changes(before, source, "customer_id", ["priority"]).select("customer_id", "action")
+
+
+@query("scd2_at", f"WITH {CUSTOMER} SELECT customer_sk, customer_id, priority FROM dim_customer WHERE customer_id = 1 AND effective_from <= TIMESTAMP '{CUT}' AND effective_to > TIMESTAMP '{CUT}'")
+def scd2_at(spark, sf):
+    return H.at(A.customer_dim(spark, sf), "customer_id", 1, datetime(1997, 1, 1, tzinfo=UTC)).select("customer_sk", "customer_id", "priority")
+
+
+@query("currency_api", f"WITH {RATES} SELECT strftime(rate_date, '%Y-%m-%d') AS rate_date, target_currency FROM rates WHERE source = 'api'")
+def currency_api(spark, sf):
+    return gates.api_only(A.rates(spark, sf)).select(F.date_format("rate_date", "yyyy-MM-dd").alias("rate_date"), "target_currency")
+
+
+@query("usage_trailing", """WITH e AS (SELECT max(ts) AS m FROM events) SELECT event_type, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total, count(*) AS n FROM events, e WHERE ts > m - INTERVAL 7 DAY GROUP BY 1""")
+def usage_trailing(spark, sf):
+    events = A.load(spark, sf, "events").withColumn("value", F.col("value").cast("decimal(18,4)"))
+    end = F.broadcast(events.agg(F.max("ts").alias("_end")))
+    return gates.trailing_usage(events.crossJoin(end), [F.col("event_type")], "value", "ts", F.col("_end"), 7).withColumn("total", F.col("total").cast("double"))
+
+
+@query("stream_dedup", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stream_dedup(spark, sf):
+    events = A.load(spark, sf, "events").select("event_id", "event_type", "ts")
+    raw, out, checkpoint = (tables.work_path(spark, n) for n in ("raw", "events", "checkpoint"))
+    events.unionByName(events.filter("event_id % 3 = 0")).write.parquet(raw)  # a third comes twice
+    found = pipelines.drop_replays(pipelines.open_stream(spark, raw, events.schema, "parquet"), "event_id", "ts")
+    found.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("stream_enrich_merge", f"""WITH {CUSTOMER}, f AS (SELECT o_custkey AS customer_id, o_orderkey, o_orderdate AS at FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
+SELECT f.customer_id, f.o_orderkey, d.customer_sk FROM f LEFT JOIN dim_customer d ON d.customer_id = f.customer_id AND f.at >= d.effective_from AND f.at < d.effective_to""")
+def stream_enrich_merge(spark, sf):
+    """A change feed, joined as of its time to the dimension, merged; the second half comes in
+    by another checkpoint."""
+    feed = A.load(spark, sf, "orders").select(F.col("o_custkey").alias("customer_id"), "o_orderkey", F.col("o_orderdate").alias("at"))
+    dim, table = A.customer_dim(spark, sf), tables.work_path(spark, "state")
+    enrich = lambda batch: H.as_of_join(batch, dim, "customer_id", "customer_sk", "at")
+    for part in (0, 1):
+        raw, checkpoint = tables.work_path(spark, "raw"), tables.work_path(spark, "checkpoint")
+        feed.filter(F.col("o_orderkey") % 2 == part).write.parquet(raw)
+        pipelines.run_merge(pipelines.open_stream(spark, raw, feed.schema, "parquet"), table, checkpoint, ["customer_id"], ["at", "o_orderkey"], enrich)
+    return tables.read_snapshot(spark, table).select("customer_id", "o_orderkey", "customer_sk")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules, deduplication, history, as-of join and daily revenue in one plan."""
     return daily_revenue(spark, sf_dir)

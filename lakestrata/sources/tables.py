@@ -3,10 +3,12 @@ snapshots, one Parquet folder each, and the log of those that are published."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from datetime import date, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,13 +19,14 @@ _OWN: dict[str, str] = {}
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of spark.checkpoint.dir; where that is unset, in a
-    temporary folder (local mode) or the warehouse."""
+    temporary folder of this machine (local mode). A cluster has to name one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         app = spark.sparkContext.applicationId
         if app not in _OWN:
-            local = spark.sparkContext.master.startswith("local")
-            _OWN[app] = f"file://{tempfile.mkdtemp(prefix='spark-')}" if local else spark.conf.get("spark.sql.warehouse.dir")
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            _OWN[app] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         base = _OWN[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -88,19 +91,54 @@ def load_projection(df: DataFrame, types: dict[str, str], batch_id: str, on_erro
     return kept.select(*[F.col(c).try_cast(t).alias(c) for c, t in types.items()], F.lit(batch_id).alias("_source_batch_id"))
 
 
-def publish(df: DataFrame, table: str, version: int) -> None:
-    """Write a new snapshot in full, then add it to the log: readers see the old one until then."""
+LOG = "version long, path string, source string, published timestamp"
+
+
+def published(spark: SparkSession, table: str) -> DataFrame:
+    """The log: a row for each snapshot, with its version, folder and source. Empty for a
+    table that has none yet."""
+    try:
+        return spark.read.schema(LOG).parquet(f"{table}/_log")
+    except AnalysisException:
+        return empty(spark, T._parse_datatype_string(LOG))
+
+
+def publish(df: DataFrame, table: str, version: int | None = None, source: str = "") -> int:
+    """Write a new snapshot in full into a folder of its own, then name it in the log: readers
+    see the old one until then, even where a version is published again. By default the
+    version follows the latest. source tells what made it. One writer per table."""
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{table}/snapshot={version}")
-    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("published")).coalesce(1).write.mode("append").parquet(f"{table}/_log")
+    if version is None:
+        version = (published(spark, table).agg(F.max("version")).first()[0] or 0) + 1
+    path = f"{table}/snapshot={version}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(path)
+    row = spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(path).alias("path"), F.lit(source).alias("source"), F.current_timestamp().alias("published"))
+    row.coalesce(1).write.mode("append").parquet(f"{table}/_log")
+    return version
 
 
 def read_snapshot(spark: SparkSession, table: str, as_of: datetime | None = None, version: int | None = None) -> DataFrame:
     """The current snapshot, or the one at a time, or a version."""
-    if version is None:
-        log = spark.read.parquet(f"{table}/_log")
-        log = log.filter(F.col("published") <= F.lit(as_of)) if as_of else log
-        version = log.agg(F.max("version")).first()[0]
-        if version is None:
-            raise ValueError(f"{table} has no snapshot at {as_of}")
-    return spark.read.parquet(f"{table}/snapshot={version}")
+    log = published(spark, table)
+    log = log.filter(F.col("published") <= F.lit(as_of)) if as_of else log
+    log = log.filter(F.col("version") == version) if version is not None else log
+    found = log.orderBy(F.desc("version"), F.desc("published")).select("path").first()
+    if found is None:
+        raise ValueError(f"{table} has no snapshot {'at ' + str(as_of) if as_of else '' if version is None else version}")
+    return spark.read.parquet(found["path"])
+
+
+def create_if_missing(spark: SparkSession, table: str, schema: T.StructType) -> bool:
+    """An empty first snapshot, unless the table has one; whether it was made."""
+    if not published(spark, table).isEmpty():
+        return False
+    publish(empty(spark, schema), table)
+    return True
+
+
+def compact(spark: SparkSession, table: str, columns: list[str], files: int) -> bool:
+    """Publish the current rows anew, in ranges of columns; no snapshot, nothing to do."""
+    if published(spark, table).isEmpty():
+        return False
+    publish(read_snapshot(spark, table).repartitionByRange(files, *columns).sortWithinPartitions(*columns), table, source="compaction")
+    return True

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.state import latest_by_max, merge_newer
-from ..sources.tables import publish, read_snapshot, with_lineage
+from ..sources.tables import publish, published, read_snapshot, with_lineage
 
 
 def open_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str, max_files: int | None = None) -> DataFrame:
@@ -40,13 +40,18 @@ def drop_replays(events: DataFrame, key: str, ts: str, late: str = "10 minutes")
 
 
 def merge_into(table: str, keys: list[str], ts: list[str], enrich: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: newer rows win, the result is a new snapshot. A batch that
-    runs again publishes the same version again."""
+    """A foreachBatch function: newer rows win over the latest snapshot, whichever stream made
+    it; the result is the next version. The log names the stream and batch, so a batch that
+    runs again is not taken in twice, and a new checkpoint starts from the table as it is."""
 
     def run(batch: DataFrame, epoch: int) -> None:
-        rows = latest_by_max(enrich(batch) if enrich else batch, keys, ts)
         spark = batch.sparkSession
-        publish(rows if not epoch else merge_newer(read_snapshot(spark, table, version=epoch - 1), rows, keys, ts), table, epoch)
+        source = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}/{epoch}"
+        log = published(spark, table)
+        if not log.filter(F.col("source") == source).isEmpty():
+            return
+        rows = latest_by_max(enrich(batch) if enrich else batch, keys, ts)
+        publish(rows if log.isEmpty() else merge_newer(read_snapshot(spark, table), rows, keys, ts), table, source=source)
 
     return run
 

@@ -5,9 +5,10 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lakestrata.functions.keys import make_batch_id, parse_batch_id
+from lakestrata.functions.keys import batch_time, make_batch_id, parse_batch_id
 from lakestrata.operators import facts, gates, history, rules, state
 from lakestrata.sources import tables
+from lakestrata.streaming import pipelines
 
 
 def ts(df, *columns):
@@ -86,6 +87,36 @@ def test_gates(spark):
     assert gates.row_count_drop(df.limit(0), df).first()["passed"]
 
 
+def test_streams_share_a_table(spark):
+    """Batches of two checkpoints merge with the latest state; a batch that runs again does not."""
+    table, raw, schema = tables.work_path(spark, "t"), tables.work_path(spark, "r"), "id long, at timestamp, v string"
+    rows = ts(spark.sql("SELECT * FROM VALUES (1L,'2026-01-01','a'), (2L,'2026-01-02','b') t(id,at,v)"), "at")
+    rows.write.parquet(f"{raw}/one")
+    ts(spark.sql("SELECT 3L AS id, '2026-01-03' AS at, 'c' AS v"), "at").write.parquet(f"{raw}/two")
+    schema = spark.read.parquet(f"{raw}/one").schema
+    for part in ("one", "two", "one"):  # the third finds nothing new under its checkpoint
+        pipelines.run_merge(pipelines.open_stream(spark, f"{raw}/{part}", schema, "parquet"), table, f"{raw}/checkpoint-{part}", ["id"], ["at"])
+    assert sorted(r["id"] for r in tables.read_snapshot(spark, table).collect()) == [1, 2, 3]
+    log = tables.published(spark, table).orderBy("version").collect()
+    assert [r["version"] for r in log] == [1, 2] and len({r["source"].split("/")[0] for r in log}) == 2 and "None" not in log[0]["source"]
+    assert sorted(r["id"] for r in tables.read_snapshot(spark, table, as_of=log[0]["published"]).collect()) == [1, 2]
+    with pytest.raises(ValueError):
+        tables.read_snapshot(spark, table, version=9)
+
+
+def test_tables(spark):
+    table, schema = tables.work_path(spark, "t"), spark.range(1).schema
+    assert not tables.compact(spark, table, ["id"], 2)
+    assert tables.create_if_missing(spark, table, schema) and not tables.create_if_missing(spark, table, schema)
+    assert tables.read_snapshot(spark, table).count() == 0
+    tables.publish(spark.range(5), table, 7)
+    old = tables.read_snapshot(spark, table)
+    tables.publish(spark.range(9), table, 7)  # readers of the version before keep their files
+    assert old.count() == 5 and tables.read_snapshot(spark, table, version=7).count() == 9
+    assert spark.sql("SELECT '20260501T020304Z-0a1b2c3d' AS b UNION ALL SELECT 'x'").select(batch_time("b").alias("t")).filter("t IS NOT NULL").count() == 1
+    assert [r["g"] for r in spark.range(3).select(gates.gauge(F.col("id") * 15).alias("g")).orderBy("id").collect()] == ["good", "warning", "bad"]
+
+
 def test_load_modes(spark):
     df = spark.sql("SELECT * FROM VALUES ('1'), ('x'), (NULL) t(n)")
     assert tables.load_projection(df, {"n": "int"}, "b").count() == 2
