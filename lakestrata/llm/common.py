@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,15 +19,15 @@ ARROW_ROWS = 1000
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where it is unset (tests, notebooks on one
-    machine) a temporary folder is made once per application; a cluster without that
-    setting gets a folder in the warehouse, which its executors share."""
+    machine) a temporary folder is made once per application; a cluster has to set it."""
     conf = spark.sparkContext.getConf()
     if base := conf.get("spark.checkpoint.dir"):
         return base.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        local = spark.sparkContext.master.startswith("local")
-        _OWN[app] = f"file://{tempfile.mkdtemp(prefix='spark-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        _OWN[app] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return _OWN[app]
 
 

@@ -115,3 +115,29 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None) -> DataF
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op2_sql() -> str:
+    """The same in SQL, over the same notices."""
+    rows, sources = [], [(label, phrase, True) for phrase, label in BASE.items()] + [(label, text, False) for label, text in NOTICES]
+    quoted = lambda x: "NULL" if x is None else f"'{x}'"
+    for number, (label, text, is_base) in enumerate(sources):
+        own = _python_words(text)
+        size = min(K, len(own))
+        rows += [f"({number}, '{label}', {is_base}, {len(own)}, {size}, {at}, {', '.join(map(quoted, own[at : at + size] + [None] * (K - size)))})" for at in range(len(own) - size + 1)]
+    return f"""
+WITH known(notice, label, is_base, nw, size, place, t1, t2, t3) AS (VALUES {', '.join(rows)}),
+tok AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+grams AS (SELECT rid, i - 1 AS pos, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3 FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM tok)),
+votes AS (SELECT DISTINCT rid, notice, label, is_base, nw, size, place, pos - place AS d FROM grams JOIN known ON w1 = t1 AND (t2 IS NULL OR t2 = w2) AND (t3 IS NULL OR t3 = w3)),
+lines AS (SELECT *, d - lag(d) OVER (PARTITION BY rid, notice ORDER BY d) AS gap FROM (SELECT DISTINCT rid, notice, is_base, d FROM votes)),
+runs AS (SELECT rid, notice, d, sum(CASE WHEN gap IS NULL OR gap > CASE WHEN is_base THEN 0 ELSE {MAX_GAP} END THEN 1 ELSE 0 END) OVER (PARTITION BY rid, notice ORDER BY d) AS run FROM lines),
+places AS (SELECT v.*, run FROM votes v JOIN runs USING (rid, notice, d)),
+words AS (SELECT DISTINCT rid, notice, run, unnest(range(place, place + size)) AS p FROM places),
+covers AS (SELECT rid, notice, run, count(*) AS n FROM words GROUP BY ALL),
+spans AS (SELECT rid, notice, run, label, is_base, n / nw AS cover, min(d + place) AS start FROM places JOIN covers USING (rid, notice, run) GROUP BY ALL),
+found AS (SELECT rid, count(*) FILTER (is_base) AS n_base, min(start) FILTER (is_base) AS first_word, max(start) FILTER (is_base) AS last_word, max(cover) AS score,
+  list_sort(list_distinct(list(label) FILTER (is_base))) AS b, list_sort(list_distinct(list(label) FILTER (is_base OR cover >= {MIN_COVER}))) AS l FROM spans GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(array_to_string(b, ','), '') AS base_labels, coalesce(array_to_string(l, ','), '') AS labels, coalesce(score, 0.0) AS score FROM tok LEFT JOIN found USING (rid)
+"""

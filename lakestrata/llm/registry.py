@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bagminhash import op8_bagminhash
 from .bpe import op10_bpe
-from .licenses import op2_licenses
+from .licenses import op2_licenses, op2_sql
 from .onebit import op9_nearest
 from .packing import op7_packing
 from .passages import op6_passages
@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest": op9_nearest,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op3_warc": OP3_SQL}
+ORACLES: dict[str, str] = {"op2_licenses": op2_sql(), "op3_warc": OP3_SQL}

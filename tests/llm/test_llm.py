@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import oracle
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -15,6 +16,7 @@ from lakestrata.llm.common import fresh_path
 from lakestrata.llm.tokens import byte_level_encoder, load_tokenizer, word_encoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, source string, node string"
 RNG = np.random.default_rng(3)
 VOCABULARY = ["".join(RNG.choice(list("abcdefghiklmnoprstu"), RNG.integers(3, 9))) for _ in range(3000)]
@@ -71,6 +73,10 @@ def test_op2(docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_op2_sql(spark):
+    assert oracle.difference(licenses.op2_licenses(spark, SF), licenses.op2_sql(), SF) == ""
+
+
 def test_op3(spark):
     long = "ä" * 80
     rows = [(5, "u", long, 1), (2, "u\n2", long, 1), (9, None, None, 1), (7, "u", "short", 1), (8, "u", "short", 1), (None, "u", long, 1), (1, "u", "z" * 200_000, 1)]
@@ -103,6 +109,81 @@ def test_op4(docs, none):
     assert syncmers.edited_fingerprints(none).count() == 0
 
 
+def plain_fingerprint(text):
+    """Closed syncmers by their definition, one k-mer at a time."""
+    mask, base = (1 << 64) - 1, int(syncmers._B)
+
+    def mixed(x):
+        return int(syncmers.mix(np.array([x], np.uint64))[0])
+
+    def value(part):
+        total = 0
+        for c in part:
+            total = (total * base + mixed(ord(c) + 1)) & mask
+        return total
+
+    found = set()
+    for i in range(len(text) - syncmers.K + 1):
+        inner = [mixed(value(text[i + j : i + j + syncmers.S])) for j in range(syncmers.K - syncmers.S + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            found.add(mixed(value(text[i : i + syncmers.K])) >> 32)
+    if text and not found:
+        found = {int.from_bytes(hashlib.sha256(text.encode("utf-32-le")).digest()[:4], "big")}
+    return sorted(found)[: syncmers.SKETCH]
+
+
+def test_op4_fingerprints(spark):
+    """Fingerprints and both likenesses against the definition; null, empty, tied, repeated."""
+    texts = [prose(60, 1), prose(60, 1), prose(90, 2) + " é日本 " + prose(20, 3), "", None, "short", "a" * 40, prose(150, 4)]
+    rows = [(i if i < 7 else 3, t, "s", "n") for i, t in enumerate(texts)]
+    ordered = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (-r[0], r[1]))
+
+    def alike(a, b):
+        union = sorted({*a, *b})[: syncmers.SKETCH]
+        return float(a == b) if not a or not b else len({*a} & {*b} & {*union}) / len(union)
+
+    want = []
+    for i, (doc_id, text) in enumerate(ordered):
+        following = ordered[(i + 1) % len(ordered)][1]
+        cut = len(text) // 3
+        own, edited, other = (plain_fingerprint(t) for t in (text, text[: len(text) - cut] + following[:cut], following))
+        want.append((doc_id, "".join(f"{x:08x}" for x in own), "".join(f"{x:08x}" for x in edited), alike(own, edited), alike(own, other)))
+    got = syncmers.edited_fingerprints(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "fingerprint", "edited_fingerprint", "near_edited", "near_next").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_op5_parts(spark):
+    """Ratios by counting, the dual's optimum by its duality gap, held-out labels unseen."""
+    rng = np.random.default_rng(12)
+    labels = rng.integers(0, 2, 60)
+    rows = [np.unique(np.concatenate([rng.integers(0, 50, 12), rng.integers(100 * y, 100 * y + 40, 4)])) for y in labels]
+    ratios = quality.log_ratios(rows, labels)
+    counts = [[1 + sum(i in r for r, y in zip(rows, labels, strict=True) if y == c) for i in range(200)] for c in (0, 1)]
+    sums = [sum(c) + quality.DIMENSIONS - 200 for c in counts]
+    assert np.allclose(ratios[:200], [np.log(b / sums[1] / (a / sums[0])) for a, b in zip(*counts, strict=True)])
+    weights = quality.dual_coordinate_descent(rows, ratios, labels)
+    w = np.divide(weights, ratios, out=np.zeros_like(weights), where=ratios != 0)
+    cost = quality.COST * len(labels) / (2 * np.bincount(labels, minlength=2))[labels]
+    x = np.zeros((60, 200))
+    for i, r in enumerate(rows):
+        x[i, r] = ratios[r] / np.linalg.norm(ratios[r])
+    sign = np.where(labels == 1, 1.0, -1.0)
+    primal = lambda v: v @ v / 2 + (cost * np.maximum(0, 1 - sign * (x @ v))).sum()
+    v, best = np.zeros(200), np.inf
+    for step in range(1, 4000):  # plain subgradient descent
+        active = sign * (x @ v) < 1
+        v = v - (v - (cost * sign * active) @ x) / (step + 5)
+        best = min(best, primal(v))
+    assert primal(w[:200]) <= 1.02 * best
+    rows = [(i, prose(40, i) if i % 3 else prose(30, i).upper(), "s", "n") for i in range(200)] + [(None, "x", "s", "n"), (300, None, "s", "n"), (301, "", "s", "n"), (302, prose(9000, 5), "s", "n"), (1, prose(40, 1), "s", "n")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    marks = docs.filter("doc_id < 200").select("doc_id", (F.col("doc_id") % 3 != 0).cast("int").alias("quality")).distinct()
+    flipped = marks.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    both = marks.unionByName(marks.filter("doc_id = 5").withColumn("quality", F.lit(0)))  # disagrees: teaches nothing
+    scores = [[r["s"] for r in docs.select(quality.score(spark, quality.fit(docs, m), F.col("text")).alias("s")).collect()] for m in (marks, flipped, marks.filter("doc_id != 5"), both)]
+    assert scores[0] == scores[1] and scores[2] == scores[3] and all(0 <= s <= 1 for s in scores[0]) and scores[0][201] == scores[0][202]
+
+
 def test_op5(spark, none):
     rows = [(i, prose(40, i) if i % 3 else " ".join(w.upper() + "!!" for w in prose(30, i).split()), "s", "n") for i in range(600)]
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -114,26 +195,55 @@ def test_op5(spark, none):
 
 
 def test_op6(spark, none):
-    passage = prose(70, 77)
-    rows = [(i, f"{prose(60, 100 + i)} {passage} {prose(40, 200 + i)}" if i < 4 else prose(120, 300 + i), "s", "n") for i in range(8)]
-    docs = spark.createDataFrame([*rows, (None, None, None, None), (20, "", "s", "n")], SCHEMA)
-    marked = passages.repeated(docs)
-    assert {r["key"] for r in marked.collect()} == {0, 1, 2, 3} and {r["class_key"] for r in marked.collect()} == {0}
-    got = {r["doc_id"]: r["text"] for r in passages.clean(docs).collect()}
-    words = passage.split()
-    inner = " ".join(words[22:44])  # whole sentences
-    assert inner in got[0] and all(inner not in got[i] for i in (1, 2, 3)) and all(got[i] == rows[i][1] for i in range(4, 8)) and len(got) == 10
+    """Passages of 51 words at any offset, with and without punctuation, are removed whole; the
+    first stays, and so do texts without one. Columns may have the names used inside."""
+    rng, rows, planted = np.random.default_rng(1), [], []
+    for g in range(16):
+        planted.append(prose(51, 500 + g) if g % 2 else prose(51, 500 + g).replace(".", ""))
+        rows += [(len(rows) + k, f"{prose(int(rng.integers(0, 90)), 1000 + 3 * g + k)} {planted[-1]} {prose(int(rng.integers(0, 90)), 2000 + 3 * g + k)}".strip(), g, "c") for k in range(3)]
+    rows += [(len(rows) + i, prose(150, 3000 + i), -1, "c") for i in range(10)] + [(None, None, -1, None), (90, "", -1, "c"), (91, prose(60, 3100) + " " + prose(60, 3100), -2, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int, row string")
+    got = {r["doc_id"]: r for r in passages.clean(docs).collect()}
+    words = lambda t: [w.strip(".") for w in (t or "").split()]
+    for doc_id, text, g, row in rows:
+        if g == -1 or (g >= 0 and doc_id % 3 == 0):
+            assert got[doc_id]["text"] == text and got[doc_id]["key"] == g and got[doc_id]["row"] == row
+        elif g >= 0:
+            left = words(got[doc_id]["text"]) if doc_id in got else []
+            assert 51 <= len(words(text)) - len(left) <= 56 and not {*words(planted[g])} & {*left} - {w for x in (text.replace(planted[g], ""),) for w in words(x)}
+    assert words(got[91]["text"]) == words(prose(60, 3100))  # a passage repeated in one text
     assert passages.clean(none).count() == 0
 
 
+def test_op6_brute_force(spark):
+    """Every run of 51 words that stands earlier is covered by a cut."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    cuts = {}
+    for r in passages.repeated(docs).collect():
+        cuts.setdefault(r["key"], []).extend((c["first"], c["end"]) for c in r["cuts"])
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    w, seen, repeats, covered = passages.Words([t.encode() for _, t in rows]), set(), 0, 0
+    for i, (doc_id, _) in enumerate(rows):
+        own = w.hashes[w.first[i] : w.last[i]]
+        runs = [own[k : k + 51].tobytes() for k in range(len(own) - 50)]
+        again, cut = np.zeros(len(own), bool), np.zeros(len(own), bool)
+        for k, run in enumerate(runs):
+            again[k : k + 51] |= run in seen
+        for a, b in cuts.get(doc_id, []):
+            cut[a:b] = True
+        seen.update(runs)
+        repeats, covered = repeats + again.sum(), covered + (again & cut).sum()
+    assert repeats > 500 and covered >= 0.99 * repeats
+
+
 def test_op6_frequent_line(spark):
-    """Paragraphs that share a long line, and near copies of them: every copy is found."""
+    """Paragraphs that share a long line, and near copies of them: every link is found."""
     rng, line = np.random.default_rng(61), " ".join(VOCABULARY[:18]) + "."
     tails = [rng.choice(VOCABULARY, 8).tolist() for _ in range(60)]
     rows = [(i, f"{line} {' '.join(w)}.", "s", "n") for i, w in enumerate(tails)]
     rows += [(100 + i, f"{line} {' '.join([*w[:7], f'edit{i}'])}.", "s", "n") for i, w in enumerate(tails)]
-    got = {r["key"]: r["class_key"] for r in passages.repeated(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == {i: i % 100 for i, *_ in rows}
+    got = {r["key"]: r["start"]["key"] for r in passages.repeated_places(spark.createDataFrame(rows, SCHEMA)).filter("not seed").collect()}
+    assert got == {100 + i: i for i in range(60)}
 
 
 def unpacked(pieces, docs, path):
@@ -317,8 +427,36 @@ def test_op10(docs, none):
     assert bpe.encode_digests(none, BYTE).count() == 0
 
 
+def test_pipeline_stages(spark):
+    """Near-duplicates of the supplied documents against all pairs, the stages' columns with
+    names used inside, null, empty, long and repeated rows, and empty tables."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        owner, items, weights, counts = bagminhash.multisets([(r["text"] or "").encode()])
+        if counts[0]:
+            sets[r["doc_id"]] = {(x, i) for x, n in zip(items.tolist(), weights.tolist(), strict=True) for i in range(n)}
+    root = brute_classes(sets, bagminhash.SIMILARITY)
+    kept = {r["doc_id"] for r in stages["near_duplicates"](spark, docs, SF).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()} - {k for k, v in root.items() if k != v}
+    odd = [(1, prose(200, 1), "a", "b"), (1, prose(200, 1), "a", "b"), (2, None, None, None), (3, "", "a", "b"), (None, prose(200, 1), "a", "b"), (4, prose(9000, 2), "a", "b"), (5, prose(200, 1), "a", "b")]
+    for names in (("key", "content"), ("row", "cuts"), ("stays", "likely"), ("_place", "node")):
+        table = spark.createDataFrame(odd, f"doc_id long, text string, {names[0]} string, {names[1]} string")
+        got = stages["near_duplicates"](spark, table, SF)
+        assert got.columns == table.columns and sorted(map(str, (r[0] for r in got.collect()))) == ["1", "2", "3", "4", "None"]
+        if names[0] == "key":
+            got = stages["passages"](spark, table, SF)
+            assert got.columns == table.columns and sorted(map(str, (r[0] for r in got.collect()))) == ["2", "3", "4", "None"]
+            unpacked(stages["packing"](spark, table, SF).collect(), table.collect(), WORD)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
-    pieces = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert pieces.count() > 0 and len(corpus_pipeline.STAGES) == 4
+    pieces = corpus_pipeline.run(spark, SF)
+    assert pieces.count() > 0 and len(corpus_pipeline.STAGES) == 4 and {r[0] for r in pieces.select("doc_id").collect()} < {r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
