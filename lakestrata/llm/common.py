@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
-ARROW_ROWS = 1000
+ARROW_ROWS = 400
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -92,7 +93,7 @@ def write_atomically(uri: str, write: Callable) -> None:
 def batched(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts in column take about limit bytes at most (or
     one row), so that long texts do not multiply memory. After the last of them a worker
-    that stays for other tasks gives what Arrow has freed back to the system."""
+    that stays for other tasks gives freed memory back to the system."""
     import numpy as np
 
     for batch in batches:
@@ -106,6 +107,8 @@ def batched(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20
             yield batch.slice(at, end - at)
             at = end
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
 
 
 def release(spark: SparkSession) -> None:
