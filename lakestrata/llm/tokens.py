@@ -16,7 +16,7 @@ import pyarrow.compute  # noqa: F401  as pa.compute
 
 #: Chunks that a worker's cache may hold after a slice (about 150 bytes each), and how many
 #: of the last used ones stay when there are more.
-CACHE_ENTRIES, CACHE_KEPT = 200_000, 100_000
+CACHE_ENTRIES, CACHE_KEPT = 400_000, 200_000
 #: Bytes of text that are encoded together.
 SLICE = 2 << 20
 #: Chunks with which a sentence ends, marks behind it included.
