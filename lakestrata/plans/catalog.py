@@ -448,14 +448,19 @@ def clustering_depth(spark, sf):
     return gates.clustering_depth(spark.read.parquet(path), "o_orderdate")
 
 
-@query("file_audit")
+@query("file_audit", f"""WITH {LINES}, {RATES} SELECT 'clickstream' AS source, 'validated' AS status, 'ok' AS reason, count(*) AS n_rows FROM events
+UNION ALL SELECT 'orders', 'validated', 'ok', count(*) FROM lines
+UNION ALL SELECT 'currency_rates', 'quarantine', 'missing_columns: _source,base_currency', count(*) FROM rates
+UNION ALL SELECT 'unknown', 'quarantine', 'unknown_source', NULL""")
 def file_audit(spark, sf):
     root = tables.work_path(spark, "raw")
     clicks = A.clicks(spark, sf).select("event_id", F.col("cookie").alias("session_id"), "customer_id", "event_type", "page_url", "event_ts", "device", F.lit("agent").alias("user_agent"))
     clicks.write.option("ignoreNullFields", "false").json(f"{root}/clickstream/day=1")
     A.order_lines(spark, sf).select("order_id", "customer_id", "product_id", "quantity", "price", "status", "created_at", "updated_at").write.parquet(f"{root}/orders/day=1")
-    A.rates(spark, sf).select("rate_date", "target_currency", "rate").coalesce(1).write.option("header", "true").csv(f"{root}/currency_rates/day=1")
-    return audit.outcomes(audit.audit_files(spark, root).filter("n_bytes > 0"))
+    A.rates(spark, sf).select("rate_date", "target_currency", "rate").write.option("header", "true").csv(f"{root}/currency_rates/day=1")
+    A.load(spark, sf, "nation").write.parquet(f"{root}/nation")
+    found = audit.audit_files(spark, root).filter("reason NOT IN ('empty_file', 'zero_rows')")  # Spark may write files without rows
+    return found.groupBy("source", "status", "reason").agg(F.sum("n_rows").alias("n_rows"))
 
 
 # --- streams ------------------------------------------------------------------------------

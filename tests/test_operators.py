@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakestrata.functions.keys import batch_time, make_batch_id, parse_batch_id
-from lakestrata.operators import facts, gates, history, rules, state
+from lakestrata.operators import audit, facts, gates, history, rules, state
 from lakestrata.sources import tables
 from lakestrata.streaming import pipelines
 
@@ -122,3 +122,38 @@ def test_load_modes(spark):
     assert tables.load_projection(df, {"n": "int"}, "b").count() == 2
     with pytest.raises(Exception):
         tables.load_projection(df, {"n": "int"}, "b", "abort").collect()
+
+
+def test_file_audit(spark, tmp_path):
+    """Each outcome in turn; quoted line breaks, blank lines and odd names of folders."""
+    import pandas as pd
+
+    def put(name, text):
+        file = tmp_path / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(text.encode())
+
+    put("products/day=1 2/a.csv", 'product_id, "product_name",category,price,sku,updated_at\r\n1,"two\nlines",c,1,s,2024-01-01\r\n\r\n2,x,c,1,s,2024-01-01\r\n')
+    put("products/b.csv", "product_id,product_name,category,price,sku,updated_at\n")
+    put("products/c.csv", "product_id,extra\n1,2\n")
+    put("wishlist/a.json", '\n{"wishlist_event_id": 1, "customer_id": 2, "product_id": 3, "added_at": null, "source": "s", "more": {"x": 1}}\n{}\n')
+    put("wishlist/b.json", '{"wishlist_event_id": 1')
+    put("wishlist/c.json", "")
+    put("wishlist/d.json", " \n\n")
+    put("else/a.csv", "a\n1\n")
+    put("customers/a.parquet", "PAR1")
+    (tmp_path / "orders").mkdir()
+    pd.DataFrame({c: [1] for c in audit.CONTRACTS["orders"][1]}).to_parquet(tmp_path / "orders/a.parquet")
+    got = {tuple(r["path"].split("/")[-1:]) + (r["source"],): (r["status"], r["reason"].split(": ")[0], r["n_rows"], r["warnings"]) for r in audit.audit_files(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("a.csv", "products"): ("validated", "ok", 2, ""),
+        ("b.csv", "products"): ("quarantine", "zero_rows", 0, ""),
+        ("c.csv", "products"): ("quarantine", "missing_columns", 1, ""),
+        ("a.json", "wishlist"): ("warn", "passed_with_warnings", 2, "unexpected_columns: more"),
+        ("b.json", "wishlist"): ("quarantine", "unreadable_jsonl", 1, ""),
+        ("c.json", "wishlist"): ("quarantine", "empty_file", None, ""),
+        ("d.json", "wishlist"): ("quarantine", "zero_rows", 0, ""),
+        ("a.csv", "unknown"): ("quarantine", "unknown_source", None, ""),
+        ("a.parquet", "customers"): ("quarantine", "unreadable_parquet", None, ""),
+        ("a.parquet", "orders"): ("validated", "ok", 1, ""),
+    }
