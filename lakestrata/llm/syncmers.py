@@ -2,10 +2,12 @@
 anchor if the smallest of its inner s-mers, by hash, is its first or its last. Whether it
 is depends on the k-mer alone, so equal passages have equal anchors in any text. A
 fingerprint is the SKETCH smallest anchor hashes; the share of common ones among the
-smallest of both estimates how alike the anchor sets are.
+smallest of both estimates how alike the anchor sets are. Positions of all anchors, not of
+the sketch alone, are matched between a text and its edited form: what most common anchors
+are moved by, and the share of the text's distinct anchors that stand in that line.
 
 Defined results. Null or empty text: the empty fingerprint, like (1) only another empty
-one. A text without an anchor (all shorter than K, some shorter than 2K - S): one hash of
+one, offset null and share 0. A text without an anchor (all shorter than K, some shorter than 2K - S): one hash of
 the whole text. Order for "next": descending doc_id, null last, equal ids by text; after
 the last comes the first, and a lone document is its own next. Very long texts are taken
 in overlapping blocks of BLOCK code points. Empty table: no rows. Other columns are not
@@ -65,9 +67,10 @@ def anchors(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (mix(hashes) >> np.uint64(32)).astype(np.uint32)
 
 
-def sketches(texts: list[np.ndarray]) -> list[np.ndarray]:
-    """Sorted fingerprints of several texts, worked out together in blocks."""
-    out: list[np.ndarray] = []
+def anchored(texts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Positions, ascending, and hashes of the anchors of several texts, worked out together
+    in blocks."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     group: list[np.ndarray] = []
 
     def flush() -> None:
@@ -78,26 +81,44 @@ def sketches(texts: list[np.ndarray]) -> list[np.ndarray]:
         whole = at + K <= ends[np.searchsorted(ends, at, "right")]  # not across two texts
         at, hashes = at[whole], hashes[whole]
         cuts = np.searchsorted(at, ends)
-        for lo, hi in zip([0, *cuts[:-1]], cuts, strict=True):
-            out.append(np.unique(hashes[lo:hi])[:SKETCH])
+        for first, lo, hi in zip([0, *ends[:-1]], [0, *cuts[:-1]], cuts, strict=True):
+            out.append((at[lo:hi] - first, hashes[lo:hi]))
         group.clear()
 
     for codes in texts:
         if len(codes) > BLOCK:
             flush()
-            parts = [np.unique(anchors(codes[i : i + BLOCK + K - 1])[1])[:SKETCH] for i in range(0, len(codes), BLOCK)]
-            out.append(np.unique(np.concatenate(parts))[:SKETCH])
+            parts = [(i, *anchors(codes[i : i + BLOCK + K - 1])) for i in range(0, len(codes), BLOCK)]
+            out.append((np.concatenate([i + at for i, at, _ in parts]), np.concatenate([h for _, _, h in parts])))
             continue
         group.append(codes)
         if sum(map(len, group)) > BLOCK:
             flush()
     flush()
-    for i, (codes, sketch) in enumerate(zip(texts, out, strict=True)):
-        if len(codes) and not len(sketch):
-            out[i] = np.frombuffer(hashlib.sha256(codes.tobytes()).digest()[:4], ">u4").astype(np.uint32)
     return out
 
 
+def sketch_of(codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The sorted fingerprint of a text with these anchor hashes."""
+    if len(codes) and not len(hashes):
+        return np.frombuffer(hashlib.sha256(codes.tobytes()).digest()[:4], ">u4").astype(np.uint32)
+    return np.unique(hashes)[:SKETCH]
+
+
+def aligned(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int | None, float]:
+    """Positional matching of two texts' anchors, each at its first place: the offset (place
+    in b less place in a) that most common anchors have, the nearest to 0 of several, and
+    the share of a's anchors that stand at it. Without common anchors: null and 0."""
+    one, first = np.unique(a[1], return_index=True)
+    other, second = np.unique(b[1], return_index=True)
+    common, x, y = np.intersect1d(one, other, assume_unique=True, return_indices=True)
+    if not len(common):
+        return None, 0.0
+    offsets, votes = np.unique(b[0][second[y]] - a[0][first[x]], return_counts=True)
+    best = min(zip(-votes, np.abs(offsets), offsets, strict=True))
+    return int(best[2]), float(-best[0] / len(one))
+
+
 def to_string(sketch: np.ndarray) -> str:
     return sketch.astype(">u4").tobytes().hex()
 
@@ -116,7 +137,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batched(batches, "text"):
             codes = [code_points(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(c) for c in codes], pa.int64()), pa.array([to_string(s) for s in sketches(codes)], pa.string())], ["doc_id", "n_chars", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(c) for c in codes], pa.int64()), pa.array([to_string(sketch_of(c, h)) for c, (_, h) in zip(codes, anchored(codes), strict=True)], pa.string())], ["doc_id", "n_chars", "fingerprint"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
@@ -146,32 +167,31 @@ def with_next(docs: DataFrame) -> DataFrame:
     return own.unionByName(carried).repartition(n, "range").sortWithinPartitions("range", "carried", F.desc("key"), "text")
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, offset_edited long, aligned_edited double"
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited form; see RESULT and the module."""
     names = [x.split()[0] for x in RESULT.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # range, doc_id, text, code points, sketch of the row before
+        held = None  # range, doc_id, text, code points, anchors, sketch of the row before
         for batch in batched(batches, "text", 4 << 20):
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("range", "carried", "doc_id", "text")), strict=True))
             codes = [code_points(r[3]) for r in rows]
-            own = sketches(codes)
             pairs = []
-            for (number, is_carried, doc_id, text), code, sketch in zip(rows, codes, own, strict=True):
-                now = (number, doc_id, text, code, sketch)
+            for (number, is_carried, doc_id, text), code, own in zip(rows, codes, anchored(codes), strict=True):
+                now = (number, doc_id, text, code, own, sketch_of(code, own[1]))
                 if held and held[0] == number:
                     pairs.append((held, now))
                 held = None if is_carried else now
             cut = [len(a[3]) // 3 for a, _ in pairs]
             edits = [np.concatenate([a[3][: len(a[3]) - r], b[3][:r]]) for (a, b), r in zip(pairs, cut, strict=True)]
             out = []
-            for (a, b), r, sketch in zip(pairs, cut, sketches(edits), strict=True):
-                text = a[2][: len(a[2]) - r] + b[2][:r]
-                out.append((a[1], len(a[3]), hashlib.sha256(text.encode()).hexdigest(), to_string(a[4]), to_string(sketch), likeness(a[4], sketch), likeness(a[4], b[4])))
+            for (a, b), r, edit, found in zip(pairs, cut, edits, anchored(edits), strict=True):
+                text, sketch = a[2][: len(a[2]) - r] + b[2][:r], sketch_of(edit, found[1])
+                out.append((a[1], len(a[3]), hashlib.sha256(text.encode()).hexdigest(), to_string(a[5]), to_string(sketch), likeness(a[5], sketch), likeness(a[5], b[5]), *aligned(a[4], found)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 

@@ -152,6 +152,36 @@ def test_op4_fingerprints(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_op4_positions(spark, monkeypatch):
+    """Anchors and their places match in blocks of any size; passages moved, cut and repeated."""
+    texts = [prose(400, 6), "", "ab", "a" * 50, prose(30, 7) + " " + prose(400, 6), prose(500, 8)]
+    codes = [syncmers.code_points(t) for t in texts]
+    alone = [syncmers.anchors(c) for c in codes]
+    for block in (1 << 19, 300):
+        monkeypatch.setattr(syncmers, "BLOCK", block)
+        for (at, hashes), (want_at, want) in zip(syncmers.anchored(codes), alone, strict=True):
+            assert at.tolist() == want_at.tolist() and hashes.tolist() == want.tolist()
+
+    def plain(a, b):
+        places = [{}, {}]
+        for seen, (at, hashes) in zip(places, (a, b), strict=True):
+            for p, h in zip(at.tolist(), hashes.tolist(), strict=True):
+                seen.setdefault(h, p)
+        votes = {}
+        for h in places[0].keys() & places[1].keys():
+            votes[places[1][h] - places[0][h]] = votes.get(places[1][h] - places[0][h], 0) + 1
+        best = min(votes, key=lambda d: (-votes[d], abs(d), d), default=None)
+        return best, votes[best] / len(places[0]) if votes else 0.0
+
+    for a in alone:
+        for b in alone:
+            assert syncmers.aligned(a, b) == plain(a, b)
+    assert syncmers.aligned(alone[0], alone[4]) == (len(prose(30, 7)) + 1, 1.0) and syncmers.aligned(alone[0], alone[5])[1] < 0.1
+    rows = [(i, t, "s", "n") for i, t in enumerate([*texts, None])]
+    got = {r["doc_id"]: r for r in syncmers.edited_fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0]["offset_edited"] == 0 and 0.6 < got[0]["aligned_edited"] < 0.75 and got[6]["offset_edited"] is None and got[6]["aligned_edited"] == 0
+
+
 def test_op5_parts(spark):
     """Ratios by counting, the dual's optimum by its duality gap, held-out labels unseen."""
     rng = np.random.default_rng(12)
