@@ -1,5 +1,5 @@
 """Operator 5: a quality classifier by naive-Bayes-scaled support vectors. Indicators of
-hashed n-grams (words; runs of one to three word shapes, with repeats marked) are scaled
+hashed n-grams (words and pairs of words; runs of one to three word shapes, with repeats marked) are scaled
 by the log ratio of their smoothed shares in the two classes; a linear hinge-loss model
 over them, rows at unit length, is fitted by dual coordinate descent. Margins become
 probabilities by a logistic curve fitted on rows that the model has not seen.
@@ -50,6 +50,7 @@ def features(texts: list[bytes]) -> list[np.ndarray]:
     kept = np.cumsum(new)
     shape = span_hashes(EXACT[kind[new]], kept[starts] - 1, kept[ends - 1])
     same_text = text_of[1:] == text_of[:-1]
+    pair = mix((word[:-1] + _SEED) * _SEED + word[1:])[same_text]
     repeat = np.zeros(len(word), np.uint64)
     repeat[1:] = (exact[1:] == exact[:-1]) & same_text
     one = mix(shape * np.uint64(2) + repeat)
@@ -57,8 +58,8 @@ def features(texts: list[bytes]) -> list[np.ndarray]:
     same_three = same_text[1:] & same_text[:-1]
     three = mix((one[:-2] * _SEED + one[1:-1]) * _SEED + one[2:])[same_three]
     n = len(at)
-    grams = np.concatenate([word, one, two, three])
-    owner = np.concatenate([text_of, text_of, text_of[1:][same_text], text_of[2:][same_three]])
+    grams = np.concatenate([word, pair, one, two, three])
+    owner = np.concatenate([text_of, text_of[1:][same_text], text_of, text_of[1:][same_text], text_of[2:][same_three]])
     order = np.argsort(owner, kind="stable")
     index = (grams[order] >> np.uint64(46)).astype(np.int32)  # 18 bits
     return np.split(index, np.cumsum(np.bincount(owner, minlength=n))[:-1])
