@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bagminhash import op8_bagminhash
 from .bpe import op10_bpe
+from .collocations import op13_collocations, op13_sql
 from .licenses import op2_licenses, op2_sql
 from .onebit import op9_nearest
 from .packing import op7_packing
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bagminhash": op8_bagminhash,
     "op9_nearest": op9_nearest,
     "op10_bpe": op10_bpe,
+    "op13_collocations": op13_collocations,
 }
-ORACLES: dict[str, str] = {"op2_licenses": op2_sql(), "op3_warc": OP3_SQL}
+ORACLES: dict[str, str] = {"op2_licenses": op2_sql(), "op3_warc": OP3_SQL, "op13_collocations": op13_sql()}
