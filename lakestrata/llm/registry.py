@@ -14,6 +14,7 @@ from .onebit import op9_nearest
 from .packing import op7_packing
 from .passages import op6_passages
 from .quality import op5_quality
+from .runs import op11_runs
 from .syncmers import op4_syncmers
 from .token_files import op1_token_files
 from .warc import OP3_SQL, op3_warc
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bagminhash": op8_bagminhash,
     "op9_nearest": op9_nearest,
     "op10_bpe": op10_bpe,
+    "op11_runs": op11_runs,
     "op13_collocations": op13_collocations,
 }
 ORACLES: dict[str, str] = {"op2_licenses": op2_sql(), "op3_warc": OP3_SQL, "op13_collocations": op13_sql()}
