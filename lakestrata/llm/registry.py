@@ -13,6 +13,7 @@ from .licenses import op2_licenses, op2_sql
 from .onebit import op9_nearest
 from .packing import op7_packing
 from .passages import op6_passages
+from .pii import op12_personal_data
 from .quality import op5_quality
 from .runs import op11_runs
 from .syncmers import op4_syncmers
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest": op9_nearest,
     "op10_bpe": op10_bpe,
     "op11_runs": op11_runs,
+    "op12_personal_data": op12_personal_data,
     "op13_collocations": op13_collocations,
 }
 ORACLES: dict[str, str] = {"op2_licenses": op2_sql(), "op3_warc": OP3_SQL, "op13_collocations": op13_sql()}
