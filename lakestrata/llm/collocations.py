@@ -207,7 +207,7 @@ def _numbered(shard: pa.Table, words: pa.Table) -> tuple[Index, np.ndarray, int]
     head that another shard counts; words that are not frequent end a piece."""
     local, numbers = words["local"].to_numpy(), words["number"].to_numpy()
     order = np.argsort(local)
-    new = np.zeros(len(shard["words"][0]) + 1, np.int64)
+    new = np.zeros(shard["n_words"][0].as_py() + 1, np.int64)
     new[local[order]] = np.arange(1, len(local) + 1)
     return Index(new[np.frombuffer(shard["ids"][0].as_buffer(), np.int32)]), np.concatenate([[0], numbers[order]]), shard["known"][0].as_py()
 
@@ -255,7 +255,8 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, shard_words: int = SHAR
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     words = materialise(counted.filter(F.col("n") >= min_count).withColumn("number", F.monotonically_increasing_id() + 1), "words")
     local = materialise(own.select("shard", "lang", "word", "local").join(words, ["lang", "word"]).select("shard", "local", "number"), "local-words")
-    indexed = made.select("shard", "words", "ids", "known").groupBy("shard").cogroup(local.groupBy("shard"))
+    texts = made.select("shard", F.size("words").alias("n_words"), "ids", "known").groupBy("shard")
+    indexed = texts.cogroup(local.groupBy("shard"))
     two = pa.schema([("shard", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int64())])
     in_shards = materialise(indexed.applyInArrow(_where_both(_pairs, two), "shard long, w1 long, w2 long, n long"), "shard-pairs")
     pairs = materialise(in_shards.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count), "pairs")
@@ -268,7 +269,7 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, shard_words: int = SHAR
         return _triples(shard, of_shard.filter(is_word), of_shard.filter(pa.compute.invert(is_word)))
 
     three = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("w3", pa.int64()), ("n", pa.int64())])
-    per_shard = made.select("shard", "words", "ids", "known").groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_where_both(triples, three), "w1 long, w2 long, w3 long, n long")
+    per_shard = texts.cogroup(told.groupBy("shard")).applyInArrow(_where_both(triples, three), "w1 long, w2 long, w3 long, n long")
     found = materialise(per_shard.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count), "triples")
     return totals, words, pairs, found
 
