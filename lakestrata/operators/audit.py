@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from urllib.parse import quote
 
 import pandas as pd
@@ -108,10 +109,20 @@ def audit_files(spark: SparkSession, root: str, partitions: int = 32) -> DataFra
     )
 
 
-def outcomes(audit: DataFrame) -> DataFrame:
-    return audit.groupBy("source", "status").agg(F.count("*").alias("n_files"))
+def outcomes(audit: DataFrame, *by: str) -> DataFrame:
+    """Files by source and outcome (and by other columns, such as a manifest's run_date)."""
+    return audit.groupBy(*by, "source", "status").agg(F.count("*").alias("n_files"))
 
 
-def manifest(audit: DataFrame) -> DataFrame:
-    """Audit rows with their time and run date, for appending by date."""
-    return audit.select(F.current_timestamp().alias("audited_at"), F.current_date().alias("run_date"), "*")
+def append_manifest(audit: DataFrame, root: str, at: datetime | None = None) -> str:
+    """Append the audit's rows to the manifest below root, in the folder of the run's date,
+    which is when the audit ran and not the date of the files; returns the manifest's path."""
+    now = at or datetime.now(UTC)
+    path = f"{root.rstrip('/')}/_manifests"
+    rows = audit.select(F.lit(now).cast("timestamp").alias("audited_at"), "*", F.lit(now.date()).alias("run_date"))
+    rows.write.mode("append").partitionBy("run_date").parquet(path)
+    return path
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).withColumn("run_date", F.col("run_date").cast("date"))

@@ -20,6 +20,24 @@ def sessionize(events: DataFrame, cookie: str, ts: str, tie: str, gap_minutes: i
     return events.withColumn("_apart", apart).withColumn("session_seq", seq).drop("_apart").withColumn("session_key", hashed_key(cookie, "session_seq"))
 
 
+def sessionize_in_parts(events: DataFrame, cookie: str, ts: str, tie: str, gap_minutes: int = 30, part: str = "hour") -> DataFrame:
+    """The same where a few cookies, or null, hold most events: sessions are first counted
+    within the parts of time of a cookie, which are dealt to tasks each for itself; one row
+    for each part then says how many came before and whether its first goes on from there."""
+    line = Window.partitionBy(cookie, "_part").orderBy(ts, tie)
+    second = F.unix_seconds(F.col(ts).cast("timestamp"))
+    apart = F.coalesce(second - F.lag(second).over(line) > gap_minutes * 60, F.lit(True))
+    own = events.withColumn("_part", F.date_trunc(part, F.col(ts).cast("timestamp"))).withColumn("_apart", F.when(apart, 1).otherwise(0))
+    own = own.withColumn("_seq", F.sum("_apart").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    row = own.groupBy(F.col(cookie).alias("_cookie"), F.col("_part").alias("_of")).agg(F.min(second).alias("_from"), F.max(second).alias("_to"), F.sum("_apart").alias("_n"))
+    of_cookie = Window.partitionBy("_cookie").orderBy("_of")
+    row = row.withColumn("_goes_on", F.when(F.col("_from") - F.lag("_to").over(of_cookie) <= gap_minutes * 60, 1).otherwise(0))
+    before = F.coalesce(F.sum("_n").over(of_cookie.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("_goes_on").over(of_cookie.rowsBetween(Window.unboundedPreceding, 0))
+    row = row.select("_cookie", "_of", before.alias("_before"))
+    met = own.join(row, F.col(cookie).eqNullSafe(F.col("_cookie")) & F.col("_part").eqNullSafe(F.col("_of")))
+    return met.withColumn("session_seq", F.col("_before") + F.col("_seq")).select(*events.columns, "session_seq").withColumn("session_key", hashed_key(cookie, "session_seq"))
+
+
 def refresh_sessions(known: DataFrame, touched: DataFrame, cookie: str) -> DataFrame:
     """Sessions after late events: all sessions of touched cookies are replaced."""
     return known.join(touched.select(cookie).distinct(), cookie, "left_anti").unionByName(touched)
@@ -27,19 +45,17 @@ def refresh_sessions(known: DataFrame, touched: DataFrame, cookie: str) -> DataF
 
 def session_fact(events: DataFrame, ts: str, tie: str, purchase: str = "purchase") -> DataFrame:
     """A row per session_key from sessionized events with columns event_id, customer_id,
-    event_type, page_url, device."""
-    place = F.struct(ts, tie)
-    return events.groupBy("session_key").agg(
-        F.min("event_id").alias("first_event_id"),
-        F.min(ts).alias("session_start"),
-        F.max(ts).alias("session_end"),
-        F.count("*").alias("event_count"),
-        F.count_distinct("event_type").alias("event_types"),
-        F.max_by("customer_id", F.when(F.col("customer_id").isNotNull(), place)).alias("customer_id"),
-        F.max(F.col("event_type") == purchase).alias("converted"),
-        F.min_by("page_url", place).alias("first_page"),
-        F.max_by("page_url", place).alias("last_page"),
-        F.min_by("device", place).alias("device"),
+    event_type, page_url, device. Names are fixed values. What stood first and last in a
+    session is one smallest and one greatest row; the customer is the last that is known."""
+    click = F.struct(ts, tie, "page_url", "device")
+    known = F.when(F.col("customer_id").isNotNull(), F.struct(ts, tie, "customer_id"))
+    per = events.groupBy("session_key").agg(
+        F.min(click).alias("_first"), F.max(click).alias("_last"), F.max(known).alias("_known"), F.min("event_id").alias("first_event_id"),
+        F.count("*").alias("event_count"), F.count_distinct("event_type").alias("distinct_event_types"), F.bool_or(F.col("event_type") == purchase).alias("converted"),
+    )
+    return per.select(
+        "session_key", "first_event_id", F.col(f"_first.{ts}").alias("session_start"), F.col(f"_last.{ts}").alias("session_end"), "event_count", "distinct_event_types", F.col("_known.customer_id").alias("attributed_customer_id"),
+        "converted", F.col("_first.page_url").alias("first_page_url"), F.col("_last.page_url").alias("last_page_url"), F.col("_first.device").alias("device"),
     )
 
 
@@ -51,18 +67,20 @@ def order_fact(orders: DataFrame, dim_customer: DataFrame | None, dim_product: D
     return as_of_join(fact, dim_product, "product_id", "product_sk", extra=["category"])
 
 
+# Names of the milestones and of the days between them.
 MILESTONES = ("created_at", "paid_at", "shipped_at", "delivered_at")
+SPANS = {
+    "days_placed_to_paid": ("created_at", "paid_at"),
+    "days_paid_to_shipped": ("paid_at", "shipped_at"),
+    "days_shipped_to_delivered": ("shipped_at", "delivered_at"),
+    "days_placed_to_delivered": ("created_at", "delivered_at"),
+}
 
 
 def lifecycle(orders: DataFrame) -> DataFrame:
     """Accumulating snapshot: milestones and days between them."""
-    return orders.select(
-        hashed_key("order_id").alias("order_sk"), "order_id", "status", *MILESTONES, "cancelled_at", "updated_at",
-        days_between("created_at", "paid_at").alias("placed_to_paid_days"),
-        days_between("paid_at", "shipped_at").alias("paid_to_shipped_days"),
-        days_between("shipped_at", "delivered_at").alias("shipped_to_delivered_days"),
-        days_between("created_at", "delivered_at").alias("placed_to_delivered_days"),
-    )
+    days = [days_between(start, end).alias(name) for name, (start, end) in SPANS.items()]
+    return orders.select(hashed_key("order_id").alias("order_sk"), "order_id", "status", *MILESTONES, "cancelled_at", "updated_at", *days)
 
 
 def wishlist_fact(wishes: DataFrame, dim_customer: DataFrame, dim_product: DataFrame) -> DataFrame:

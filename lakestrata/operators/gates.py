@@ -3,9 +3,11 @@ a check is the frame of its violations."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def orphan_rate(df: DataFrame, keys: list[str], limit: float = 1.0) -> DataFrame:
     """Share of rows, in percent, in which any key is null; 0 for no rows."""
@@ -101,23 +103,15 @@ def run_kpis(runs: DataFrame, start: str, end: Column, hours: int = 24) -> DataF
     pipeline, state, duration_s; a null state counts as unknown, not as success."""
     recent = runs.filter((F.col(start) > end - F.expr(f"INTERVAL {hours} HOURS")) & (F.col(start) <= end))
     ok = F.when(F.coalesce("state", F.lit("unknown")) == "success", 100.0).otherwise(0.0)
-    return recent.groupBy("pipeline").agg(F.count("*").alias("runs"), F.round(F.avg(ok), 6).alias("success_pct"), F.round(F.median("duration_s"), 6).alias("median_s"))
-
+    counted = recent.groupBy("pipeline").agg(F.count("*").alias("runs"), F.round(F.avg(ok), 6).alias("success_pct"))
+    medians = exact_quantiles(recent, ["pipeline"], "duration_s", {"median_s": 0.5}).select(F.col("pipeline").alias("_of"), "median_s")
+    return counted.join(medians, F.col("pipeline").eqNullSafe(F.col("_of")), "left").select("pipeline", "runs", "success_pct", F.round("median_s", 6).alias("median_s"))
 
-def latest_rows(df: DataFrame, k: int, *order: Column) -> DataFrame:
-    return df.orderBy(*order).limit(k)
 
+def runs_by_state(runs: DataFrame) -> DataFrame:
+    """Runs by pipeline and state; a null state is unknown."""
+    return runs.groupBy("pipeline", F.coalesce("state", F.lit("unknown")).alias("state")).agg(F.count("*").alias("n"))
 
-def clustering_depth(df: DataFrame, column: str) -> DataFrame:
-    """How many files a value lies in, over the files' ranges: average and largest depth.
-    File ranges are summed as a line of openings and closings, not joined pair by pair."""
-    files = df.select(F.col(column), F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.min(column).alias("lo"), F.max(column).alias("hi")).filter("lo is not null")
-    marks = files.select(F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(0).alias("kind"), F.lit(1).alias("step")), F.struct(F.col("hi").alias("at"), F.lit(1).alias("kind"), F.lit(-1).alias("step")))).alias("m")).select("m.*")
-    depth = F.sum("step").over(Window.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    opened = marks.withColumn("depth", depth).filter("kind = 0")
-    return opened.agg(F.count("*").alias("n_files"), F.round(F.avg("depth"), 4).alias("avg_depth"), F.max("depth").alias("max_depth")).withColumn("needs_rewrite", F.col("avg_depth") > 4.0)
 
-
-def recluster(df: DataFrame, columns: list[str], files: int) -> DataFrame:
-    """df in ranges of columns, sorted within: a compaction's rows, to be published."""
-    return df.repartitionByRange(files, *columns).sortWithinPartitions(*columns)
+def latest_rows(df: DataFrame, k: int, *order: Column) -> DataFrame:
+    return df.orderBy(*order).limit(k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,23 +29,40 @@ def dimension_schema(source: T.StructType, nk: str, attributes: list[str], sk: s
     return T.StructType([*fields, T.StructField("effective_from", T.TimestampType(), False), T.StructField("effective_to", T.TimestampType(), False), T.StructField("is_current", T.BooleanType(), False)])
 
 
-def merge_snapshot(dim: DataFrame, source: DataFrame, nk: str, tracked: list[str], carried: list[str], sk: str, ts: str = "updated_at") -> DataFrame:
-    """dim after a snapshot of the source, one row per nk: unknown keys come in; where a
-    tracked column changed the current version closes and a new one opens; all else stays,
-    changes of carried columns alone too. Source rows not newer than the current version
-    are ignored. One join; a row of it yields one or two versions."""
+def _with_snapshot(dim: DataFrame, source: DataFrame, nk: str, tracked: list[str], carried: list[str], sk: str, ts: str) -> DataFrame:
+    """Current versions beside the source's rows: _cur, _new, and _fate of the source row."""
     current = dim.filter("is_current").select(F.col(nk).alias("_nk"), F.struct(*dim.columns).alias("_cur"))
-    attributes = tracked + carried
-    new = source.select(F.col(nk).alias("_nk"), F.struct(version_key(nk, ts).alias(sk), nk, *attributes, F.col(ts).alias("effective_from"), F.lit(OPEN_END).cast("timestamp").alias("effective_to"), F.lit(True).alias("is_current")).alias("_new"))
+    new = source.select(F.col(nk).alias("_nk"), F.struct(version_key(nk, ts).alias(sk), nk, *tracked, *carried, F.col(ts).alias("effective_from"), F.lit(OPEN_END).cast("timestamp").alias("effective_to"), F.lit(True).alias("is_current")).alias("_new"))
     both = current.join(new, "_nk", "full_outer")
     changed = ~F.struct(*[F.col(f"_new.{c}") for c in tracked]).eqNullSafe(F.struct(*[F.col(f"_cur.{c}") for c in tracked]))
-    replaces = F.col("_cur").isNotNull() & F.col("_new").isNotNull() & changed & (F.col("_new.effective_from") > F.col("_cur.effective_from"))
+    newer = F.coalesce(F.col("_new.effective_from") > F.col("_cur.effective_from"), F.lit(False))
+    fate = F.when(F.col("_new").isNull(), "none").when(F.col("_cur").isNull(), "new").when(~newer, "ignored").when(changed, "changed").otherwise("unchanged")
+    return both.withColumn("_fate", fate)
+
+
+def _versions_after(dim: DataFrame, both: DataFrame) -> DataFrame:
     version = lambda side: F.struct(*[F.col(f"{side}.{c}").alias(c) for c in dim.columns])
     closed = F.struct(*[(F.col("_new.effective_from") if c == "effective_to" else F.lit(False) if c == "is_current" else F.col(f"_cur.{c}")).alias(c) for c in dim.columns])
-    rows = F.when(replaces, F.array(closed, version("_new"))).when(F.col("_cur").isNull(), F.array(version("_new"))).otherwise(F.array(version("_cur")))
+    rows = F.when(F.col("_fate") == "changed", F.array(closed, version("_new"))).when(F.col("_fate") == "new", F.array(version("_new"))).otherwise(F.array(version("_cur")))
     return dim.filter("not is_current").unionByName(both.select(F.inline(rows)))
 
 
+def merge_snapshot(dim: DataFrame, source: DataFrame, nk: str, tracked: list[str], carried: list[str], sk: str, ts: str = "updated_at") -> DataFrame:
+    """dim after a snapshot of the source, one row per nk: unknown keys come in; where a
+    tracked column changed the current version closes and a new one opens; all else stays,
+    changes of carried columns alone too. Source rows not newer than the current version
+    are ignored. One join; a row of it yields one or two versions."""
+    return _versions_after(dim, _with_snapshot(dim, source, nk, tracked, carried, sk, ts))
+
+
+def observed_snapshot(dim: DataFrame, source: DataFrame, nk: str, tracked: list[str], carried: list[str], sk: str, ts: str = "updated_at", name: str = "snapshot") -> tuple[DataFrame, Observation]:
+    """merge_snapshot(), and an observation of how many source rows were n_new, n_changed,
+    n_unchanged and n_ignored (not newer than the current version)."""
+    both, seen = _with_snapshot(dim, source, nk, tracked, carried, sk, ts), Observation(name)
+    counted = both.observe(seen, *[F.count_if(F.col("_fate") == fate).alias(f"n_{fate}") for fate in ("new", "changed", "unchanged", "ignored")])
+    return _versions_after(dim, counted), seen
+
+
 def stage_changes(dim: DataFrame, source: DataFrame, nk: str, tracked: list[str]) -> DataFrame:
     """source with action: new, changed or unchanged against the current versions."""
     current = dim.filter("is_current").select(F.col(nk).alias("_nk"), F.struct(*tracked).alias("_t"))
@@ -76,10 +93,47 @@ def as_of_union(fact: DataFrame, dim: DataFrame, nk: str, sk: str, ts: str = "cr
     return run.select("_fact.*", *[F.when(valid & F.col("_nk").isNotNull(), F.col(f"_dim.{c}")).alias(c) for c in cols])
 
 
+def as_of_buckets(fact: DataFrame, dim: DataFrame, nk: str, sk: str, ts: str = "created_at", extra: list[str] | None = None, bucket: str = "day", salts: int = 8) -> DataFrame:
+    """The same where a few keys hold most facts: a key's facts are dealt to buckets of time and,
+    within these, to salts, so that a hot key is spread over tasks. What reaches a bucket of
+    the versions is those that start in it and the last one before it, which is carried over
+    by a window of one row for each key and bucket. Versions of a key must not overlap."""
+    cols = [sk, *(extra or [])]
+    of = lambda c: F.date_trunc(bucket, c)
+    version = F.struct(F.col("effective_from").alias("_from"), F.col("effective_to").alias("_to"), *[F.col(f"`{c}`") for c in cols]).alias("_dim")
+    versions = dim.filter(F.col(nk).isNotNull()).select(F.col(nk).alias("_nk"), of("effective_from").alias("_bucket"), version)
+    facts = fact.select(F.col(nk).alias("_nk"), of(F.col(ts)).alias("_bucket"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns if not isinstance(fact.schema[c].dataType, T.MapType)]), F.lit(salts)).alias("_salt"), F.col(ts).alias("_at"), F.struct(*[F.col(f"`{c}`") for c in fact.columns]).alias("_fact"))
+    asked = facts.filter("_nk is not null and _bucket is not null").select("_nk", "_bucket").distinct()
+    ends = versions.groupBy("_nk", "_bucket").agg(F.max_by("_dim", F.col("_dim._from")).alias("_last"))
+    line = Window.partitionBy("_nk").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    both = asked.withColumn("_asked", F.lit(True)).join(ends, ["_nk", "_bucket"], "full_outer")
+    carried = both.withColumn("_dim", F.last("_last", True).over(line)).filter("_asked and _dim is not null").select("_nk", "_bucket", "_dim")
+    own = versions.join(asked, ["_nk", "_bucket"], "left_semi")
+    reach = own.unionByName(carried).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("_salt", F.col("_salt").cast("long"))
+    rows = facts.withColumn("_kind", F.lit(1)).unionByName(reach.select("_nk", "_bucket", "_salt", "_dim", F.col("_dim._from").alias("_at"), F.lit(0).alias("_kind")), allowMissingColumns=True)
+    run = Window.partitionBy("_nk", "_bucket", "_salt").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    # a key that is null meets nothing, and is not gathered either
+    found = rows.filter("_nk is not null").withColumn("_dim", F.last("_dim", True).over(run)).filter("_kind = 1")
+    valid = (F.col("_at") >= F.col("_dim._from")) & (F.col("_at") < F.col("_dim._to"))
+    met = found.select("_fact.*", *[F.when(valid, F.col(f"_dim.`{c}`")).alias(c) for c in cols])
+    return met.unionByName(fact.filter(F.col(nk).isNull()), allowMissingColumns=True)
+
+
 def overlaps(dim: DataFrame, nk: str, sk: str) -> DataFrame:
-    """Pairs of neighbouring versions of a key that overlap."""
+    """All pairs of versions of a key that overlap: nk, sk of the earlier and other_sk of the
+    later one, by (effective_from, sk). Versions that the latest end so far does not reach
+    open a new chain; only versions of one chain are compared. Versions without any time
+    between from and to overlap none."""
     line = Window.partitionBy(nk).orderBy("effective_from", sk)
-    return dim.withColumn("next_sk", F.lead(sk).over(line)).withColumn("next_from", F.lead("effective_from").over(line)).filter("next_from < effective_to").select(nk, sk, "next_sk")
+    open_ones = dim.filter("effective_from < effective_to").select(nk, sk, "effective_from", "effective_to")
+    reach = F.max("effective_to").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    placed = open_ones.withColumn("_place", F.row_number().over(line)).withColumn("_new", F.when(F.coalesce(reach <= F.col("effective_from"), F.lit(True)), 1).otherwise(0))
+    chains = placed.withColumn("_chain", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    # the first of a chain that no other version joins has no pair
+    several = chains.withColumn("_n", F.count("*").over(Window.partitionBy(nk, "_chain"))).filter("_n > 1").drop("_n", "_new")
+    a = several.select(nk, "_chain", sk, F.col("effective_to").alias("_until"), F.col("_place").alias("_first"))
+    b = several.select(nk, "_chain", F.col(sk).alias("other_sk"), F.col("effective_from").alias("_at"), "_place")
+    return a.join(b, [nk, "_chain"]).filter("_first < _place and _at < _until").select(nk, sk, "other_sk")
 
 
 def several_current(dim: DataFrame, nk: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 REASON = "_quarantine_reason"
@@ -123,3 +123,28 @@ def dispose(quarantine: DataFrame, decisions: DataFrame, fixed: DataFrame, key:
     substitutes = fixed.join(met.filter("action = 'fix'").select(key), key, "left_semi")
     good, bad = split_quarantine(replay.unionByName(substitutes), rules)
     return {"released": good, "still_bad": bad, "waiting": quarantine.join(action, key, "left_anti"), "audit": decisions.join(quarantine.select(key).distinct(), key, "left_semi")}
+
+
+#: Fixed value: the folder, beside a quarantined file, of its repaired form.
+FIXED = "_fixed"
+
+
+def repaired_path(path: Column) -> Column:
+    """Where the repaired form of a file lies: <parent>/_fixed/<name>."""
+    return F.regexp_replace(path, "/([^/]+)$", f"/{FIXED}/$1")
+
+
+def dispose_files(quarantine: DataFrame, decisions: DataFrame, repaired: DataFrame, rules: list[Rule], file: str = "_source_file") -> dict[str, DataFrame]:
+    """dispose() by file: decisions (file, action, ...) are on files; quarantine and repaired have
+    the file of each row. A fix takes the rows that lie at the repaired path of the file, all
+    of them, and no others; a file of which no repaired form lies there yet is waiting."""
+    action = decisions.select(F.col(file).alias("_file"), "action").dropDuplicates(["_file"])
+    there = repaired.select(F.col(file).alias("_there")).distinct()
+    ready = action.join(there, repaired_path(F.col("_file")) == F.col("_there"), "left").filter((F.col("action") != "fix") | F.col("_there").isNotNull())
+    met = quarantine.drop(REASON).join(ready, F.col(file) == F.col("_file"))
+    replay = met.filter("action = 'replay'").select([c for c in quarantine.columns if c != REASON])
+    fixes = ready.filter("action = 'fix'").select("_there")
+    substitutes = repaired.join(fixes, F.col(file) == F.col("_there"), "left_semi")
+    good, bad = split_quarantine(replay.unionByName(substitutes), rules)
+    waiting = quarantine.join(ready, F.col(file) == F.col("_file"), "left_anti")
+    return {"released": good, "still_bad": bad, "waiting": waiting, "audit": decisions.join(quarantine.select(file).distinct(), file, "left_semi")}

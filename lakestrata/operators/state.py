@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -37,17 +37,37 @@ def _sides(target: DataFrame, source: DataFrame, keys: list[str]) -> tuple[DataF
     return t.join(s, keys, "full_outer"), rest
 
 
-def merge_newer(target: DataFrame, source: DataFrame, keys: list[str], ts: str | list[str] = "updated_at") -> DataFrame:
-    """target with source's rows: new keys come in, known ones are replaced where source is
-    strictly newer; equal, older or null times keep the target. Several ts columns compare
-    in order. Keys must be unique in each; rows with null keys match nothing."""
+def _newer(target: DataFrame, source: DataFrame, keys: list[str], ts: str | list[str]) -> tuple[DataFrame, list[str]]:
     both, rest = _sides(target, source, keys)
     order = [ts] if isinstance(ts, str) else ts
     newer = F.struct(*[F.col(f"_s.{c}") for c in order]) > F.struct(*[F.col(f"_t.{c}") for c in order])
     known = F.col(f"_s.{order[0]}").isNotNull() & F.col(f"_t.{order[0]}").isNotNull()
     take = F.col("_in_t").isNull() | (F.col("_in_s").isNotNull() & known & newer)
-    pick = F.when(take, F.col("_s")).otherwise(F.col("_t"))
-    return both.select(*keys, pick.alias("_row")).select(*keys, *[F.col(f"_row.{c}") for c in rest]).select(target.columns)
+    return both.withColumn("_take", F.coalesce(take, F.lit(False))), rest
+
+
+def _picked(both: DataFrame, keys: list[str], rest: list[str], columns: list[str]) -> DataFrame:
+    pick = F.when(F.col("_take"), F.col("_s")).otherwise(F.col("_t"))
+    return both.select(*keys, pick.alias("_row")).select(*keys, *[F.col(f"_row.{c}") for c in rest]).select(columns)
+
+
+def merge_newer(target: DataFrame, source: DataFrame, keys: list[str], ts: str | list[str] = "updated_at") -> DataFrame:
+    """target with source's rows: new keys come in, known ones are replaced where source is
+    strictly newer; equal, older or null times keep the target. Several ts columns compare
+    in order. Keys must be unique in each; rows with null keys match nothing."""
+    both, rest = _newer(target, source, keys, ts)
+    return _picked(both, keys, rest, target.columns)
+
+
+def observed_merge(target: DataFrame, source: DataFrame, keys: list[str], ts: str | list[str] = "updated_at", name: str = "merge") -> tuple[DataFrame, Observation]:
+    """merge_newer(), and an observation of what became of the rows: n_inserted, n_updated,
+    n_ignored (a source row not newer than the target's) and n_kept (no source row). Its
+    figures are there once an action has run over the rows, without a pass of its own."""
+    both, rest = _newer(target, source, keys, ts)
+    old, new, take = F.col("_in_t").isNotNull(), F.col("_in_s").isNotNull(), F.col("_take")
+    seen = Observation(name)
+    counted = both.observe(seen, F.count_if(~old).alias("n_inserted"), F.count_if(old & take).alias("n_updated"), F.count_if(old & new & ~take).alias("n_ignored"), F.count_if(~new).alias("n_kept"))
+    return _picked(counted, keys, rest, target.columns), seen
 
 
 def merge_mutable(target: DataFrame, source: DataFrame, keys: list[str], mutable: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import STAMP
 from ..operators import audit, facts, gates, rules, state
 from ..operators import history as H
+from ..operators.quantiles import exact_quantiles
 from ..sources import tables
 from ..streaming import pipelines
 from . import adapters as A
@@ -46,9 +47,9 @@ SESSIONS = """clicks AS (SELECT event_id, user_id AS cookie, CASE WHEN event_id
 marked AS (SELECT *, coalesce(floor(epoch(ts)) - floor(epoch(lag(ts) OVER w)) > 1800, TRUE) AS apart FROM clicks WINDOW w AS (PARTITION BY cookie ORDER BY ts, event_id)),
 sess AS (SELECT *, sha256(concat_ws('|', CAST(cookie AS VARCHAR), CAST(CAST(seq AS BIGINT) AS VARCHAR))) AS session_key FROM
   (SELECT *, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY cookie ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS seq FROM marked))"""
-FACT_SESSION = f"""{SESSIONS}, fs AS (SELECT session_key, min(event_id) AS first_event_id, min(ts) AS s0, max(ts) AS s1, count(*) AS event_count, count(DISTINCT event_type) AS event_types,
-  last(customer_id ORDER BY ts, event_id) FILTER (customer_id IS NOT NULL) AS customer_id, bool_or(event_type = 'purchase') AS converted,
-  first(props ORDER BY ts, event_id) AS first_page, last(props ORDER BY ts, event_id) AS last_page, first(event_type ORDER BY ts, event_id) AS device FROM sess GROUP BY session_key)"""
+FACT_SESSION = f"""{SESSIONS}, fs AS (SELECT session_key, min(event_id) AS first_event_id, min(ts) AS s0, max(ts) AS s1, count(*) AS event_count, count(DISTINCT event_type) AS distinct_event_types,
+  last(customer_id ORDER BY ts, event_id) FILTER (customer_id IS NOT NULL) AS attributed_customer_id, bool_or(event_type = 'purchase') AS converted,
+  first(props ORDER BY ts, event_id) AS first_page_url, last(props ORDER BY ts, event_id) AS last_page_url, first(event_type ORDER BY ts, event_id) AS device FROM sess GROUP BY session_key)"""
 
 
 def _stamp(c: str) -> str:
@@ -105,8 +106,8 @@ def rules_null_policy(spark, sf):
     return both[0].unionByName(both[1]).groupBy("policy").agg(F.count("*").alias("n"))
 
 
-@query("quarantine_disposition", f"""WITH {LINES}, q AS (SELECT DISTINCT order_id, {SQL_REASON} AS r FROM lines WHERE {SQL_REASON} <> ''), k AS (SELECT DISTINCT order_id, CAST(split_part(order_id, '-', 1) AS BIGINT) % 4 AS m FROM q)
-SELECT 'waiting' AS part, count(*) AS n FROM k WHERE m = 3 UNION ALL SELECT 'audit', count(*) FROM k WHERE m < 3 UNION ALL SELECT 'fixed', count(*) FROM k WHERE m = 2""")
+@query("quarantine_disposition", f"""WITH {LINES}, q AS (SELECT order_id, CAST(split_part(order_id, '-', 1) AS BIGINT) % 4 AS m FROM lines WHERE {SQL_REASON} <> '' GROUP BY order_id)
+SELECT 'waiting' AS part, order_id FROM q WHERE m = 3 UNION ALL SELECT 'audit', order_id FROM q WHERE m < 3 UNION ALL SELECT 'released', order_id FROM q WHERE m = 2 UNION ALL SELECT 'still_bad', order_id FROM q WHERE m = 1""")
 def quarantine_disposition(spark, sf):
     bad = rules.split_quarantine(A.order_lines(spark, sf), LINE_RULES)[1]
     keyed = bad.dropDuplicates(["order_id"])
@@ -115,7 +116,8 @@ def quarantine_disposition(spark, sf):
     decisions = keyed.select("order_id", action.alias("action"), F.lit("op").alias("operator"), F.lit("reviewed").alias("reason"), F.current_timestamp().alias("at")).filter("action is not null")
     fixed = keyed.drop(rules.REASON).withColumn("quantity", F.lit(1)).withColumn("updated_at", F.col("created_at"))
     found = rules.dispose(keyed, decisions, fixed, "order_id", LINE_RULES)
-    return found["waiting"].select(F.lit("waiting").alias("part")).unionByName(found["audit"].select(F.lit("audit").alias("part"))).unionByName(found["released"].select(F.lit("fixed").alias("part"))).groupBy("part").agg(F.count("*").alias("n"))
+    parts = [df.select(F.lit(name).alias("part"), "order_id") for name, df in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 # --- current state ------------------------------------------------------------------------
@@ -235,6 +237,15 @@ def scd2_invariants(spark, sf):
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
+@query("overlapping_versions", f"""WITH {CUSTOMER}, d AS (SELECT customer_sk, customer_id, effective_from AS a, CASE WHEN customer_id % 3 = 0 AND NOT is_current THEN effective_to + CAST(customer_id % 5 AS INT) * INTERVAL 200 DAY ELSE effective_to END AS b FROM dim_customer)
+SELECT x.customer_id, x.customer_sk, y.customer_sk AS other_sk FROM d x JOIN d y ON x.customer_id = y.customer_id AND (x.a, x.customer_sk) < (y.a, y.customer_sk) AND y.a < x.b AND x.a < y.b""")
+def overlapping_versions(spark, sf):
+    """A third of the customers have versions that end up to 800 days too late."""
+    late = F.timestamp_add("DAY", (F.col("customer_id") % 5 * 200).cast("int"), F.col("effective_to"))
+    dim = A.customer_dim(spark, sf).withColumn("effective_to", F.when((F.col("customer_id") % 3 == 0) & ~F.col("is_current"), late).otherwise(F.col("effective_to")))
+    return H.overlaps(dim, "customer_id", "customer_sk")
+
+
 SQL_PIT = "SELECT d.order_id, d.l_suppkey, {stamp} AS created_at, x.{sk}{extra} FROM lines d LEFT JOIN {dim} x ON x.{nk} = d.{nk} AND created_at >= effective_from AND created_at < effective_to"
 
 
@@ -284,17 +295,17 @@ def revenue_reconcile(spark, sf):
 
 @query("lifecycle", """WITH m AS (SELECT *, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate + CAST(o_orderkey % 5 * 7 AS INT) * INTERVAL 1 HOUR END AS paid FROM orders),
 n AS (SELECT *, CASE WHEN o_orderkey % 7 <> 0 THEN paid + CAST(o_orderkey % 7 * 7 AS INT) * INTERVAL 1 HOUR END AS shipped FROM m), l AS (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN shipped + CAST(o_orderkey % 3 * 7 AS INT) * INTERVAL 1 HOUR END AS delivered FROM n)
-SELECT CAST(o_orderkey AS VARCHAR) AS order_id, round((epoch(paid) - epoch(o_orderdate)) / 86400.0, 6) AS placed_to_paid_days, round((epoch(shipped) - epoch(paid)) / 86400.0, 6) AS paid_to_shipped_days,
-round((epoch(delivered) - epoch(shipped)) / 86400.0, 6) AS shipped_to_delivered_days, round((epoch(delivered) - epoch(o_orderdate)) / 86400.0, 6) AS placed_to_delivered_days FROM l""")
+SELECT CAST(o_orderkey AS VARCHAR) AS order_id, round((epoch(paid) - epoch(o_orderdate)) / 86400.0, 6) AS days_placed_to_paid, round((epoch(shipped) - epoch(paid)) / 86400.0, 6) AS days_paid_to_shipped,
+round((epoch(delivered) - epoch(shipped)) / 86400.0, 6) AS days_shipped_to_delivered, round((epoch(delivered) - epoch(o_orderdate)) / 86400.0, 6) AS days_placed_to_delivered FROM l""")
 def lifecycle(spark, sf):
-    days = [c for c in ("placed_to_paid_days", "paid_to_shipped_days", "shipped_to_delivered_days", "placed_to_delivered_days")]
-    return facts.lifecycle(A.milestone_orders(spark, sf)).select("order_id", *[F.round(c, 6).alias(c) for c in days])
+    return facts.lifecycle(A.milestone_orders(spark, sf)).select("order_id", *[F.round(c, 6).alias(c) for c in facts.SPANS])
 
 
-@query("cycle_percentiles", """WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 5) * 7 / 24.0 END AS d FROM orders) SELECT month, round(quantile_cont(d, 0.5), 6) AS p50_days FROM m GROUP BY month""")
+@query("cycle_percentiles", """WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 5) * 7 / 24.0 END AS d FROM orders) SELECT month, round(quantile_cont(d, 0.5), 6) AS p50_days, round(quantile_cont(d, 0.95), 6) AS p95_days FROM m WHERE d IS NOT NULL GROUP BY month""")
 def cycle_percentiles(spark, sf):
     life = facts.lifecycle(A.milestone_orders(spark, sf))
-    return life.groupBy(F.date_format("created_at", "yyyy-MM").alias("month")).agg(F.round(F.percentile("placed_to_paid_days", 0.5), 6).alias("p50_days"))
+    months = life.select(F.date_format("created_at", "yyyy-MM").alias("month"), "days_placed_to_paid")
+    return exact_quantiles(months, ["month"], "days_placed_to_paid", {"p50_days": 0.5, "p95_days": 0.95}).withColumns({c: F.round(c, 6) for c in ("p50_days", "p95_days")})
 
 
 @query("lifecycle_merge", "SELECT count(*) AS n, count(*) FILTER (o_orderkey % 5 <> 0) AS n_paid, count(*) FILTER (o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0) AS n_shipped FROM orders")
@@ -324,7 +335,7 @@ def sessions(spark, sf):
     return _sessions(spark, sf).select("event_id", "cookie", "session_seq", "session_key")
 
 
-@query("session_fact", f"WITH {FACT_SESSION} SELECT session_key, first_event_id, {_stamp('s0')} AS session_start, {_stamp('s1')} AS session_end, event_count, event_types, customer_id, converted, first_page, last_page, device FROM fs")
+@query("session_fact", f"WITH {FACT_SESSION} SELECT session_key, first_event_id, {_stamp('s0')} AS session_start, {_stamp('s1')} AS session_end, event_count, distinct_event_types, attributed_customer_id, converted, first_page_url, last_page_url, device FROM fs")
 def session_fact(spark, sf):
     return facts.session_fact(_sessions(spark, sf), "event_ts", "event_id").withColumns({c: F.date_format(c, STAMP) for c in ("session_start", "session_end")})
 
@@ -335,12 +346,12 @@ def session_conversion(spark, sf):
     return fact.groupBy(F.date_format("session_start", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("converted"), 1.0).otherwise(0.0)), 6).alias("converted_share"))
 
 
-@query("session_orphan", f"""WITH {FACT_SESSION}, c AS (SELECT * FROM fs WHERE customer_id IS NOT NULL), x AS (SELECT c.*, k.c_custkey FROM c LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0) k ON c_custkey = customer_id)
+@query("session_orphan", f"""WITH {FACT_SESSION}, c AS (SELECT * FROM fs WHERE attributed_customer_id IS NOT NULL), x AS (SELECT c.*, k.c_custkey FROM c LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0) k ON c_custkey = attributed_customer_id)
 SELECT count(*) AS n, count(*) FILTER (c_custkey IS NULL) AS n_orphans, round(count(*) FILTER (c_custkey IS NULL) * 100.0 / count(*), 4) AS orphan_pct, n_orphans * 100.0 / n <= 1.0 AS passed FROM x""")
 def session_orphan(spark, sf):
-    fact = facts.session_fact(_sessions(spark, sf), "event_ts", "event_id").filter("customer_id is not null")
+    fact = facts.session_fact(_sessions(spark, sf), "event_ts", "event_id").filter("attributed_customer_id is not null")
     known = A.load(spark, sf, "customer").filter("c_custkey % 10 != 0").select("c_custkey")
-    return gates.orphan_rate(fact.join(known, F.col("customer_id") == F.col("c_custkey"), "left"), ["c_custkey"])
+    return gates.orphan_rate(fact.join(known, F.col("attributed_customer_id") == F.col("c_custkey"), "left"), ["c_custkey"])
 
 
 @query("wishlist_fact", f"""WITH {CUSTOMER}, {PRODUCT}, w AS (SELECT CAST(event_id AS VARCHAR) AS id, user_id AS customer_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS product_id, ts AS added FROM events WHERE event_type = 'click')
@@ -441,13 +452,6 @@ def latest_runs(spark, sf):
     return gates.latest_rows(A.runs(spark, sf), 15, F.desc("start_time"), F.desc("event_id")).select("event_id", text_time("start_time"))
 
 
-@query("clustering_depth")
-def clustering_depth(spark, sf):
-    path = tables.work_path(spark, "clustered")
-    gates.recluster(A.load(spark, sf, "orders"), ["o_orderdate", "o_orderstatus"], 8).write.parquet(path)
-    return gates.clustering_depth(spark.read.parquet(path), "o_orderdate")
-
-
 @query("file_audit", f"""WITH {LINES}, {RATES} SELECT 'clickstream' AS source, 'validated' AS status, 'ok' AS reason, count(*) AS n_rows FROM events
 UNION ALL SELECT 'orders', 'validated', 'ok', count(*) FROM lines
 UNION ALL SELECT 'currency_rates', 'quarantine', 'missing_columns: _source,base_currency', count(*) FROM rates
@@ -577,14 +581,6 @@ def append_lineage(spark, sf):
     return spark.read.parquet(path).groupBy("_batch_id", "event_type", F.date_format("_ingestion_timestamp", STAMP).alias("_ingestion_timestamp")).agg(F.count("*").alias("n"))
 
 
-@query("compacted", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
-def compacted(spark, sf):
-    table = tables.work_path(spark, "compacted")
-    tables.publish(A.load(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus").repartition(16), table)
-    tables.compact(spark, table, ["o_orderdate", "o_orderstatus"], 4)
-    return tables.read_snapshot(spark, table).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-
-
 @query("sessions_late", f"WITH {SESSIONS} SELECT event_id, cookie, CAST(seq AS BIGINT) AS session_seq, session_key FROM sess")
 def sessions_late(spark, sf):
     """Sessions of the events that came in time, then those of cookies with late ones anew."""

@@ -94,13 +94,19 @@ def load_projection(df: DataFrame, types: dict[str, str], batch_id: str, on_erro
 LOG = "version long, path string, source string, published timestamp"
 
 
+def missing_path(error: AnalysisException) -> bool:
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def published(spark: SparkSession, table: str) -> DataFrame:
     """The log: a row for each snapshot, with its version, folder and source. Empty for a
     table that has none yet."""
     try:
         return spark.read.schema(LOG).parquet(f"{table}/_log")
-    except AnalysisException:
-        return empty(spark, T._parse_datatype_string(LOG))
+    except AnalysisException as error:
+        if not missing_path(error):  # a log that cannot be read is no empty one
+            raise
+        return spark.createDataFrame([], LOG)
 
 
 def publish(df: DataFrame, table: str, version: int | None = None, source: str = "") -> int:
@@ -136,9 +142,6 @@ def create_if_missing(spark: SparkSession, table: str, schema: T.StructType) ->
     return True
 
 
-def compact(spark: SparkSession, table: str, columns: list[str], files: int) -> bool:
-    """Publish the current rows anew, in ranges of columns; no snapshot, nothing to do."""
-    if published(spark, table).isEmpty():
-        return False
-    publish(read_snapshot(spark, table).repartitionByRange(files, *columns).sortWithinPartitions(*columns), table, source="compaction")
-    return True
+def copy_table(spark: SparkSession, source: str, target: str) -> int:
+    """Publish the current rows of a table as the next version of another, columns and all."""
+    return publish(read_snapshot(spark, source), target, source=f"copy of {source}")

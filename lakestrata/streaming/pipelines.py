@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.state import latest_by_max, merge_newer
+from ..sources import schemas
 from ..sources.tables import publish, published, read_snapshot, with_lineage
 
 
@@ -28,6 +30,43 @@ def ingest(spark: SparkSession, raw: str, bronze: str, checkpoint: str, schema:
     return sum(p["numInputRows"] for p in query.recentProgress)
 
 
+def ingest_evolving(spark: SparkSession, raw: str, bronze: str, checkpoint: str, store: str, fmt: str, batch_id: str, max_files: int | None = None) -> int:
+    """ingest() without a given schema. The types of each micro-batch's files are inferred and
+    merged into the schema store; where a file has a column that the stream lacks, the stream
+    stops before the batch is written and starts anew with the column. Each batch is a folder
+    of its own, which a batch that runs again replaces. Returns the rows that came in."""
+    if schemas.latest(spark, store) is None and schemas.record(spark, store, schemas.inferred(spark, raw, fmt))[0] is None:
+        return 0
+    taken: dict[int, int] = {}
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        files = [r[0] for r in batch.select("_source_file").distinct().collect()]  # of one trigger
+        if not files:
+            return
+        _, grown = schemas.record(spark, store, schemas.inferred(spark, files, fmt))
+        if grown:
+            raise schemas.SchemaChanged(store)
+        path = f"{bronze}/epoch={epoch}"
+        batch.write.mode("overwrite").parquet(path)
+        taken[epoch] = spark.read.parquet(path).count()
+
+    while True:
+        before = schemas.latest(spark, store)
+        rows = with_lineage(open_stream(spark, raw, before, fmt, max_files), batch_id)
+        query = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        try:
+            query.awaitTermination()
+            return sum(taken.values())
+        except StreamingQueryException:
+            if schemas.latest(spark, store).fieldNames() == before.fieldNames():  # it stopped for another reason
+                raise
+
+
+def read_evolved(spark: SparkSession, bronze: str) -> DataFrame:
+    """What ingest_evolving() has written; null in columns that came after a row."""
+    return spark.read.option("mergeSchema", "true").parquet(bronze).drop("epoch")
+
+
 def session_windows(events: DataFrame, cookie: str, ts: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions by session_window with a watermark; whole seconds, as in the batch operator.
     In append mode a session is given out once the watermark has passed its end."""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakestrata.functions.keys import batch_time, make_batch_id, parse_batch_id
-from lakestrata.operators import audit, facts, gates, history, rules, state
+from lakestrata.operators import audit, clustering, facts, gates, history, rules, state
 from lakestrata.sources import tables
 from lakestrata.streaming import pipelines
 
@@ -106,7 +106,7 @@ def test_streams_share_a_table(spark):
 
 def test_tables(spark):
     table, schema = tables.work_path(spark, "t"), spark.range(1).schema
-    assert not tables.compact(spark, table, ["id"], 2)
+    assert not clustering.rewrite(spark, table, clustering.Clustering(("id",)))
     assert tables.create_if_missing(spark, table, schema) and not tables.create_if_missing(spark, table, schema)
     assert tables.read_snapshot(spark, table).count() == 0
     tables.publish(spark.range(5), table, 7)

@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-from lakestrata.plans import catalog
+from lakestrata.plans import catalog, upkeep  # noqa: F401, the second adds its queries
 
 SF = "/root/testdata/sf0.001"
 
