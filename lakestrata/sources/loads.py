@@ -66,15 +66,16 @@ def load(spark: SparkSession, table: str, folder: str, types: dict[str, str], ba
     return ledger(spark, table).filter(F.col("batch_id") == batch_id)
 
 
-def _folders(spark: SparkSession, table: str) -> list[str]:
-    return [r["folder"] for r in ledger(spark, table).select("folder").distinct().collect()]  # a row for each load
+def _folders(rows: DataFrame) -> list[str]:
+    return [r["folder"] for r in rows.select("folder").distinct().collect()]  # a row for each load
 
 
 def loaded(spark: SparkSession, table: str) -> DataFrame:
     """All rows that loads have taken in."""
-    return spark.read.parquet(*[f"{f}/rows" for f in _folders(spark, table)])
+    return spark.read.parquet(*[f"{f}/rows" for f in _folders(ledger(spark, table))])
 
 
-def rejected(spark: SparkSession, table: str) -> DataFrame:
-    """All rows that they have not, as they were read."""
-    return spark.read.option("basePath", table).parquet(*[f"{f}/judged" for f in _folders(spark, table)]).filter(F.col("_bad").cast("boolean")).drop("_bad", "load")
+def rejected(spark: SparkSession, table: str) -> DataFrame | None:
+    """All rows that they have not, as they were read, with their files; None if there are none."""
+    folders = _folders(ledger(spark, table).filter("n_rejected > 0"))
+    return spark.read.parquet(*[f"{f}/judged/_bad=true" for f in folders]) if folders else None
