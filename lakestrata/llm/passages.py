@@ -11,14 +11,15 @@ words from each anchor. A word is an anchor if the hash of the three words from
 the least of REACH such in a row, which depends on those words alone. A passage of over 50
 words holds a whole seed wherever it stands; equal seeds are one class.
 
-Of each class the first occurrence, by doc_id and place, stays. Later ones that touch, or
-lie at most REACH apart at the same distance from the first document's, make a run; a run
-is extended word by word to both sides as far as the text agrees with that of the first
-occurrence, runs at most WORDS words apart are joined, and those of at least MIN_PASSAGE
-words are removed. So no removal rests on a hash of one paragraph alone.
-
-Defined results. Null or empty text: nothing to remove. Passages below MIN_PASSAGE words
-are left alone. Null doc_id: takes part, first in order. Repeated doc_ids with one text:
+Of each class the first occurrence, by doc_id and place, stays. Later ones that touch make a
+run, which is extended word by word to both sides as far as the text agrees with that of
+the first occurrence: from one seed to the next in a passage, too. Runs at most WORDS words
+apart are one passage; the runs of passages with min_passage repeated words are removed,
+and no word between them. In an alike paragraph its own words go with it.
+
+Defined results. Null or empty text: nothing to remove. Passages below min_passage words (a
+parameter, MIN_PASSAGE unless given) are left alone. In scripts without blanks (Chinese,
+Japanese, Thai, Lao) each character is a word. Null doc_id: takes part, first in order. Repeated doc_ids with one text:
 one document; the same holds for their removals. Copies of a whole text: all but the first
 go. A passage repeated in one text: all but the first go. Very long texts are taken whole.
 Empty table: no rows. Other columns, whatever their names, pass through clean().
@@ -39,7 +40,7 @@ from .bagminhash import band_keys
 from .common import batched, fresh_path, materialise, release, table
 from .linking import PLAIN, classes, tune_bands, with_likely
 from .syncmers import mix
-from .textvec import FOLDED, WORD, join, span_hashes, spans
+from .textvec import FOLDED, join, sentence_ends, span_hashes, word_spans
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -66,7 +67,7 @@ class Words:
 
     def __init__(self, texts: list[bytes]):
         self.data, at = join(texts)
-        self.starts, self.ends = spans(self.data, WORD)
+        self.starts, self.ends = word_spans(self.data)
         self.hashes = span_hashes(FOLDED[self.data], self.starts, self.ends)
         self.text_of = np.searchsorted(at, self.starts, "right")
         counts = np.bincount(self.text_of, minlength=len(texts))
@@ -79,7 +80,7 @@ def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(w.hashes)
     if not n:
         return (np.empty(0, np.int64),) * 3
-    stops = np.concatenate([[0], np.cumsum(_SENTENCE_END[w.data])])
+    stops = np.concatenate([[0], np.cumsum(sentence_ends(w.data, _SENTENCE_END))])
     cut = np.zeros(n + 1, bool)  # a sentence starts at this word
     cut[0] = cut[n] = True
     cut[1:n] = stops[w.starts[1:]] > stops[w.ends[:-1]]
@@ -278,24 +279,20 @@ def repeated_places(docs: DataFrame) -> DataFrame:
 
 
 def runs_of(places: list[dict]) -> list[list]:
-    """Runs of one text's repeats: [first word, end word, last place, places at the edges].
-    Edges: the outermost place of either kind, to the left and to the right. Paragraphs that
-    are alike but not equal may be shifted against each other; seeds are not."""
+    """Runs of one text's repeats that overlap or touch: [first word, end word, places at the
+    edges]. Edges: the outermost place of either kind, to the left and to the right. Paragraphs
+    that are alike but not equal may be shifted against each other; seeds are not."""
     out: list[list] = []
     for p in sorted(places, key=lambda p: (p["first"], -p["end"])):
-        if out:
-            run, start = out[-1], p["start"]
-            there = run[2]["start"]
-            chained = (start["key"], start["content"], p["first"] - start["first"]) == (there["key"], there["content"], run[2]["first"] - there["first"])
-            if p["first"] <= run[1] + (REACH if chained else 0):
-                run[3].setdefault((True, p["seed"]), p)
-                right = run[3].setdefault((False, p["seed"]), p)
-                if p["end"] > right["end"]:
-                    run[3][False, p["seed"]] = p
-                if p["end"] > run[1]:
-                    run[1], run[2] = p["end"], p
-                continue
-        out.append([p["first"], p["end"], p, {(True, p["seed"]): p, (False, p["seed"]): p}])
+        if out and p["first"] <= out[-1][1]:
+            run = out[-1]
+            run[2].setdefault((True, p["seed"]), p)
+            right = run[2].setdefault((False, p["seed"]), p)
+            if p["end"] > right["end"]:
+                run[2][False, p["seed"]] = p
+            run[1] = max(run[1], p["end"])
+        else:
+            out.append([p["first"], p["end"], {(True, p["seed"]): p, (False, p["seed"]): p}])
     return out
 
 
@@ -307,18 +304,26 @@ def agreeing(x: bytes, y: bytes) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def merged(regions: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Regions (first word, end word), joined over gaps of WORDS words; the long ones."""
-    out: list[list[int]] = []
+def merged(regions: list[tuple[int, int]], min_passage: int) -> list[tuple[int, int]]:
+    """Regions (first word, end word), those that overlap or touch joined. Regions at most WORDS
+    words apart are one passage; passages with min_passage repeated words stay. The words
+    between regions are nobody's repeats, so they are no part of what is cut."""
+    whole: list[list[int]] = []
     for first, end in sorted(regions):
-        if out and first <= out[-1][1] + WORDS:
-            out[-1][1] = max(out[-1][1], end)
+        if whole and first <= whole[-1][1]:
+            whole[-1][1] = max(whole[-1][1], end)
+        else:
+            whole.append([first, end])
+    passages: list[list[list[int]]] = []
+    for region in whole:
+        if passages and region[0] <= passages[-1][-1][1] + WORDS:
+            passages[-1].append(region)
         else:
-            out.append([first, end])
-    return [(a, b) for a, b in out if b - a >= MIN_PASSAGE]
+            passages.append([region])
+    return [(a, b) for own in passages if sum(b - a for a, b in own) >= min_passage for a, b in own]
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFrame:
     """key, content, cuts (array of first and end word, sorted) and first_keys (of the first
     documents) of each text with passages that stand earlier, stored."""
     places = repeated_places(docs)
@@ -329,7 +334,7 @@ def repeated(docs: DataFrame) -> DataFrame:
         for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
             rows = []
             for key, content, own in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "places")), strict=True):
-                for lo, hi, _, outermost in runs_of(own):
+                for lo, hi, outermost in runs_of(own):
                     for (left, _), p in outermost.items():
                         at = "first" if left else "end"
                         rows.append((key, content, lo, hi, left, p[at], {"key": p["start"]["key"], "content": p["start"]["content"], "at": p["start"][at]}))
@@ -369,7 +374,7 @@ def repeated(docs: DataFrame) -> DataFrame:
         for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
             rows = []
             for key, content, own in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "regions")), strict=True):
-                if cuts := merged([(r["first"], r["end"]) for r in own]):
+                if cuts := merged([(r["first"], r["end"]) for r in own], min_passage):
                     keys = sorted({k for r in own if any(a <= r["first"] and r["end"] <= b for a, b in cuts) for k in r["first_keys"]})
                     rows.append((key, content, [{"first": a, "end": b} for a, b in cuts], keys))
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int64())]
@@ -383,7 +388,7 @@ def cut_words(text: str, cuts: list) -> str:
     """text without the words of cuts, each with what follows it up to the next word."""
     data = text.encode()
     array, _ = join([data])
-    starts, _ = spans(array, WORD)
+    starts, _ = word_spans(array)
     starts = np.append(starts, len(data))
     kept, at = [], 0
     for cut in cuts:
@@ -395,10 +400,10 @@ def cut_words(text: str, cuts: list) -> str:
     return b"".join(kept).decode()
 
 
-def clean(docs: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFrame:
     """The rows of docs, all columns, with repeated passages taken out of text and n_chars,
     where docs has it, brought up to date. Texts that lose all their words go."""
-    cuts = repeated(docs).drop("first_keys")
+    cuts = repeated(docs, min_passage).drop("first_keys")
 
     @F.pandas_udf("string")
     def apply(text: pd.Series, places: pd.Series) -> pd.Series:

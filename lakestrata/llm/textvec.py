@@ -46,6 +46,47 @@ def spans(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def _wide(data: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Of scripts that are written without blanks: the first bytes of their characters (Chinese
+    characters, kana, Thai and Lao), and of their punctuation; None if there are none."""
+    if not len(data) or data.max() < 0xE0:
+        return None
+    after = np.append(data[1:], 0)
+    third = np.append(data[2:], [0, 0])[: len(data)]
+    mark = (data == 0xE3) & (after == 0x80) & ((third < 0x83) | ((third >= 0x88) & (third < 0xA0)))
+    mark |= (data == 0xEF) & (after == 0xBC) & np.isin(third, [0x81, 0x88, 0x89, 0x8C, 0x8E, 0x9A, 0x9B, 0x9F])
+    letter = (data >= 0xE3) & (data <= 0xE9) | (data == 0xE0) & (after >= 0xB8) & (after <= 0xBB)
+    return np.flatnonzero(letter & ~mark), np.flatnonzero(mark)
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words: runs of letters and digits; in scripts without blanks each
+    character is a word."""
+    if (wide := _wide(data)) is None:
+        return spans(data, WORD)
+    letters, marks = wide
+    inside = WORD[data]
+    for i in range(3):
+        inside[marks + i] = False
+    alone = np.zeros(len(data) + 3, bool)  # a word begins, or one has ended
+    alone[letters] = alone[letters + 3] = True
+    before = np.concatenate([[False], inside[:-1]])
+    begins = inside & (~before | alone[: len(data)])
+    ends = np.flatnonzero(before & (~inside | begins))
+    return np.flatnonzero(begins), np.append(ends, len(data)) if inside[-1] else ends
+
+
+def sentence_ends(data: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Where a sentence ends: bytes that marks[] has, and the full stops of scripts without
+    blanks."""
+    found = marks[data]
+    if (wide := _wide(data)) is not None:
+        at = wide[1]
+        full = np.isin(data[at + 2], [0x81, 0x8E, 0x9F]) & (data[at] == 0xEF) | (data[at + 2] == 0x82) & (data[at] == 0xE3)
+        found[at[full]] = True
+    return found
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each span of an array of 64-bit values: differences of one running sum."""
     if not len(starts):
@@ -57,7 +98,7 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, A-Z folded, and the number of words of each text."""
     data, at = join(texts)
-    starts, ends = spans(data, WORD)
+    starts, ends = word_spans(data)
     counts = np.diff(np.searchsorted(starts, at), prepend=0)
     return span_hashes(FOLDED[data], starts, ends), counts
 

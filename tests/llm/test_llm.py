@@ -266,6 +266,47 @@ def test_op6_brute_force(spark):
     assert repeats > 500 and covered >= 0.99 * repeats
 
 
+def test_op6_keeps_own_words(spark):
+    """Forms filled in with words of their own, as many in each: the shared parts go, each word
+    between them stays. Shorter passages are left alone, or cut where that is asked for."""
+    rows = []
+    for g in range(40):
+        head, tail = prose(70, 7000 + g).replace(".", ""), prose(70, 7100 + g).replace(".", "")
+        rows += [(2 * g + k, f"{head} {' '.join(f'own{g}x{k}n{i}' for i in range((3, 8, 14, 20, 28)[g % 5]))} {tail}", "s", "n") for k in (0, 1)]
+    short = [(100 + i, f"{prose(40, 7301 + i)} {prose(20, 7300)} {prose(40, 7310 + i)}", "s", "n") for i in range(2)]
+    docs = spark.createDataFrame(rows + short, SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in passages.clean(docs).collect()}
+    for doc_id, text, *_ in rows:
+        own = [w for w in text.split() if w.startswith("own")]
+        assert got[doc_id].split() == (own if doc_id % 2 else text.split())
+    assert [got[100], got[101]] == [short[0][1], short[1][1]]
+    assert passages.merged([(0, 20), (23, 43), (60, 90)], 40) == [(0, 20), (23, 43)] and passages.merged([(0, 20), (20, 30)], 30) == [(0, 30)]
+
+
+HAN = ["".join(chr(0x4E00 + int(c)) for c in np.random.default_rng(n).integers(0, 3000, 25)) + "。" for n in range(80)]
+
+
+def test_without_blanks(spark):
+    """Chinese text: each character is a word, so one changed character among 600 makes a near copy,
+    and a shared passage is cut."""
+    a, b = "".join(HAN[:24]), "".join(HAN[24:48])
+    rows = [(1, a, "s", "n"), (2, a.replace(HAN[3][5], "龥", 1), "s", "n"), (3, b, "s", "n"), (4, "".join(HAN[48:54] + HAN[24:30] + HAN[54:60]), "s", "n")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(docs).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4}
+    left = {r["doc_id"]: r["text"] for r in passages.clean(docs).collect()}
+    assert left[1] == a and left[3] == b and left[4] == "".join(HAN[48:60]) and len(left.get(2, "")) < 30
+
+
+def test_word_spans():
+    from lakestrata.llm.textvec import word_spans
+
+    for text in ("ab c-d\n", "é日本 x日y。z", "。", "日", "กขx", "a、b！c", "한국 어", "", "日" * 5):
+        data = np.frombuffer(text.encode(), np.uint8)
+        got = [text.encode()[a:b].decode() for a, b in zip(*word_spans(data), strict=True)]
+        assert got == re.findall(r"[\u3005-\u3007\u3040-\u30ff\u4e00-\u9fff\u0e00-\u0eff]|[0-9A-Za-z\u0080-\u0dff\uac00-\ud7a3]+", text)
+
+
 def test_op6_frequent_line(spark):
     """Paragraphs that share a long line, and near copies of them: every link is found."""
     rng, line = np.random.default_rng(61), " ".join(VOCABULARY[:18]) + "."
