@@ -44,6 +44,12 @@ class Clustering:
             raise ValueError(f"not a clustering: {self}")
 
 
+def layout(table: str, files: int = 16) -> Clustering:
+    """The layout of a served table; of one column it is the plain order of that column."""
+    columns = LAYOUTS[table]
+    return Clustering(columns, "zorder" if len(columns) > 1 else "range", files)
+
+
 def ordinal(df: DataFrame, column: str) -> Column:
     """A number in the order of a column: numbers and times as they are, texts by their first
     seven bytes, so that longer common heads are one value. Null stays null."""

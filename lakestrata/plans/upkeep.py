@@ -13,7 +13,7 @@ from ..operators import history as H
 from ..sources import loads, partitioned, schemas, tables
 from ..streaming import pipelines
 from . import adapters as A
-from .catalog import CUSTOMER_CHANGES, CUT, LINE_RULES, LINES, ORACLES, RATES, SESSIONS, SQL_REASON, SQL_SIDES, _dim, _merge_sides, query, text_time
+from .catalog import CUSTOMER, CUSTOMER_CHANGES, CUT, LINE_RULES, LINES, ORACLES, RATES, SESSIONS, SQL_REASON, SQL_SIDES, _dim, _merge_sides, query, text_time
 
 
 # --- layouts --------------------------------------------------------------------------------
@@ -58,6 +58,23 @@ def compacted(spark, sf):
     return tables.read_snapshot(spark, table)
 
 
+@query("layout_choice", f"""WITH {CUSTOMER}, w AS (SELECT event_id FROM events WHERE event_type = 'click')
+SELECT 'dim_customer' AS table_name, 'range by customer_id' AS layout, (SELECT count(*) FROM dim_customer) AS n_rows, (SELECT count(*) FROM dim_customer) AS n_before UNION ALL SELECT 'fact_customer_wishlist_product', 'zorder by customer_sk,product_sk', (SELECT count(*) FROM w), (SELECT count(*) FROM w)""")
+def layout_choice(spark, sf):
+    """Each served table rewritten in the layout that is fixed for it, which its log tells."""
+    dim = A.customer_dim(spark, sf)
+    served = {"dim_customer": dim, "fact_customer_wishlist_product": facts.wishlist_fact(A.wishes(spark, sf), dim, A.product_dim(spark, sf))}
+    found = []
+    for name, df in served.items():
+        table = tables.work_path(spark, name)
+        tables.publish(df, table)
+        clustering.rewrite(spark, table, clustering.layout(name, 4))
+        told = tables.published(spark, table).agg(F.max_by("source", "version").alias("layout"))
+        counts = [tables.read_snapshot(spark, table, version=v).agg(F.count("*").alias(c)) for v, c in ((2, "n_rows"), (1, "n_before"))]
+        found.append(told.crossJoin(counts[0]).crossJoin(counts[1]).withColumn("table_name", F.lit(name)))
+    return found[0].unionByName(found[1])
+
+
 # --- schemas, loads, tables --------------------------------------------------------------------
 EVENT_RUNS = "SELECT *, CAST(event_id % 3 AS INT) AS run FROM events"
 
@@ -67,7 +84,8 @@ def schema_store(spark, sf):
     """Three runs of a stream over JSON files: the second brings a column, the third another type
     of a known one. Old rows are null in the column, values of the other type too."""
     events = A.load(spark, sf, "events").withColumn("run", (F.col("event_id") % 3).cast("int"))
-    raw, bronze, checkpoint, store = (tables.work_path(spark, n) for n in ("raw", "bronze", "checkpoint", "schemas"))
+    root = tables.work_path(spark, "lake")
+    raw, bronze, checkpoint, store = f"{root}/raw", tables.layer_root(root, "bronze", "events"), tables.checkpoint_path(root, "bronze", "events"), f"{root}/_schemas"
     for run, columns in enumerate((["event_id", "user_id", "run"], ["event_id", "user_id", "run", "value"], ["event_id", F.concat(F.lit("u"), "user_id").alias("user_id"), "run", "value"])):
         events.filter(F.col("run") == run).select(*columns).coalesce(2).write.json(f"{raw}/run{run}")
         pipelines.ingest_evolving(spark, raw, bronze, checkpoint, store, "json", f"b{run}")
@@ -146,6 +164,31 @@ def empty_quarantine(spark, sf):
     return found.unionByName(none)
 
 
+@query("quarantine_append", """SELECT CASE WHEN o_totalprice > 200000 THEN 'too_dear' ELSE 'not_open' END AS reason, count(*) AS n, count(*) FILTER (o_totalprice <= 200000) AS n_priority, CASE WHEN o_totalprice > 200000 THEN 'b1' ELSE 'b2' END AS batch
+FROM orders WHERE o_totalprice > 200000 OR o_orderstatus <> 'O' GROUP BY ALL""")
+def quarantine_append(spark, sf):
+    """Two batches of quarantined rows in one place; the second has a column more, which is null in
+    the first."""
+    orders, path = A.load(spark, sf, "orders"), tables.work_path(spark, "quarantine")
+    dear, rest = orders.filter("o_totalprice > 200000"), orders.filter("o_totalprice <= 200000")
+    for batch, df, rule in (("b1", dear.drop("o_orderpriority"), rules.Rule("too_dear", "o_totalprice <= 200000")), ("b2", rest, rules.Rule("not_open", "o_orderstatus = 'O'"))):
+        bad = rules.split_quarantine(df, [rule])[1]
+        tables.append(tables.with_lineage(bad, batch, None), path, ["_batch_id"])
+    found = spark.read.option("mergeSchema", "true").parquet(path)
+    return found.groupBy(F.col(rules.REASON).alias("reason"), F.col("_batch_id").alias("batch")).agg(F.count("*").alias("n"), F.count("o_orderpriority").alias("n_priority"))
+
+
+@query("mart_refresh", ORACLES["daily_revenue"])
+def mart_refresh(spark, sf):
+    """The mart without its last year, whose days are then computed and put in anew."""
+    fact = facts.order_fact(A.dedup(A.good_lines(spark, sf)), None, A.product_dim(spark, sf))
+    late = F.year("created_at") >= 1996
+    stale = facts.daily_revenue(fact.withColumn("total_amount", F.when(late, 0).otherwise(F.col("total_amount")).cast("decimal(18,2)")))
+    mart = facts.refresh_days(stale, facts.daily_revenue(fact.filter(late)))
+    euros = lambda c: F.col(c).cast("double").alias(c)
+    return mart.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "category", "order_count", euros("revenue"), F.round(F.col("revenue").cast("double") / F.col("order_count"), 4).alias("avg_order"), euros("cancelled_revenue"), "cancelled_count")
+
+
 # --- hot keys ------------------------------------------------------------------------------------
 @query("pit_product_buckets", ORACLES["pit_product"])
 def pit_product_buckets(spark, sf):
