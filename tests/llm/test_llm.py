@@ -526,8 +526,47 @@ def test_pipeline_stages(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0, name
 
 
+def test_quality_stage(spark):
+    """Null, empty, long, repeated and tied rows, null ids, clashing columns: what stays is what
+    the model's own scores of the plain texts say."""
+    import corpus_pipeline
+
+    stage, labels = dict(corpus_pipeline.STAGES)["quality"], spark.read.parquet(f"{SF}/labels.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.lit("x").alias("score"), F.lit(1).alias("quality"), F.lit(None).cast("int").alias("grams"))
+    odd = spark.createDataFrame([(900_001, None), (900_002, ""), (None, prose(80, 1)), (900_003, prose(9000, 2)), (900_004, "$$$ ### %%%"), (900_004, "$$$ ### %%%")], "doc_id long, text string")
+    table = docs.unionByName(odd, allowMissingColumns=True).unionByName(docs.filter("doc_id % 7 = 0"))
+    model = quality.fit(table, labels)
+    rows = table.collect()
+    scores = model.scores([(r["text"] or "").encode() for r in rows])
+    key = lambda r: tuple(map(str, r))
+    got = stage(spark, table, SF)
+    assert got.columns == table.columns and sorted(map(key, got.collect())) == sorted(key(r) for r, x in zip(rows, scores, strict=True) if x >= quality.THRESHOLD)
+
+
 def test_pipeline(spark):
+    """Stage by stage: what is rejected goes and the rest is as it was, of texts with passages
+    words are left out and none moved, packing holds each id once; run() gives the same."""
     import corpus_pipeline
 
-    pieces = corpus_pipeline.run(spark, SF)
-    assert pieces.count() > 0 and len(corpus_pipeline.STAGES) == 4 and {r[0] for r in pieces.select("doc_id").collect()} < {r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    docs, steps = spark.read.parquet(f"{SF}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        steps[name] = (docs, docs := corpus_pipeline.materialise(stage(spark, docs, SF), f"test-{name}"))
+    for name in ("quality", "near_duplicates"):
+        before, after = steps[name]
+        assert after.columns == before.columns and after.join(before, before.columns, "left_anti").count() == 0 and 0 < after.count() < before.count()
+    before, after = (sorted((r["doc_id"], r["text"] or "", r["n_chars"]) for r in df.collect()) for df in steps["passages"])
+    left, lost = {i: (t, n) for i, t, n in after}, 0
+    words = {i: re.findall("[0-9A-Za-z\x80-\U0010ffff]+", t) for i, t, _ in before}
+    for i, own in words.items():
+        text, n = left.get(i, ("", 0))
+        assert n == len(text)
+        kept, at = re.findall("[0-9A-Za-z\x80-\U0010ffff]+", text), 0
+        for w in kept:  # what is left stands in the same order
+            at = own.index(w, at) + 1
+        lost += len(own) - len(kept)
+    assert set(left) <= set(words) and lost > 0
+    pieces = steps["packing"][1].collect()
+    unpacked(pieces, steps["passages"][1].collect(), WORD)
+    again = corpus_pipeline.run(spark, SF).collect()
+    plain = lambda rows: sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
+    assert plain(again) == plain(pieces) and len(corpus_pipeline.STAGES) == 4
