@@ -75,6 +75,24 @@ def layout_choice(spark, sf):
     return found[0].unionByName(found[1])
 
 
+@query("vacuumed", """SELECT 'snapshots' AS what, 2 AS n_removed, 1 AS n_versions, count(*) AS n_rows FROM orders UNION ALL SELECT 'parts', 1, 2, count(DISTINCT o_custkey) FROM orders""")
+def vacuumed(spark, sf):
+    """Folders of replaced versions go, once they are old enough; the current rows stay. Of a table
+    in parts a folder goes when all its parts have been replaced."""
+    orders, whole, parted = A.load(spark, sf, "orders"), tables.work_path(spark, "whole"), tables.work_path(spark, "parted")
+    for n in (3, 2, 1):
+        tables.publish(orders.filter(f"o_orderkey % {n} = 0"), whole)
+    latest = state.latest_by_max(orders.select("o_custkey", "o_orderdate", "o_orderkey"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    later = lambda days: latest.withColumn("o_orderdate", F.timestamp_add("DAY", F.lit(days), F.col("o_orderdate")))
+    partitioned.merge_parts(spark, parted, latest, ["o_custkey"], ["o_orderdate"], parts=4)
+    partitioned.merge_parts(spark, parted, later(1), ["o_custkey"], ["o_orderdate"], parts=4)
+    partitioned.merge_parts(spark, parted, later(2).filter(partitioned.part_of(["o_custkey"], 4) == 1), ["o_custkey"], ["o_orderdate"], parts=4)
+    assert tables.vacuum(spark, whole) == [] and partitioned.vacuum(spark, parted) == []  # a week has not passed
+    gone = len(tables.vacuum(spark, whole, hours=0)), len(partitioned.vacuum(spark, parted, hours=0))
+    counts = lambda what, n, versions, rows: versions.agg(F.lit(what).alias("what"), F.lit(n).alias("n_removed"), F.count_distinct("version").cast("int").alias("n_versions")).crossJoin(rows.agg(F.count("*").alias("n_rows")))
+    return counts("snapshots", gone[0], tables.published(spark, whole), tables.read_snapshot(spark, whole)).unionByName(counts("parts", gone[1], partitioned.log(spark, parted), partitioned.read_parts(spark, parted)))
+
+
 # --- schemas, loads, tables --------------------------------------------------------------------
 EVENT_RUNS = "SELECT *, CAST(event_id % 3 AS INT) AS run FROM events"
 

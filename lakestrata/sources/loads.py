@@ -6,11 +6,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import missing_path
+from .tables import read_log
 
 LEDGER = "path string, size long, modified timestamp, batch_id string, folder string, n_loaded long, n_rejected long, status string, loaded_at timestamp"
 FILE = "_source_file"
@@ -21,12 +20,7 @@ class LoadAborted(RuntimeError):
 
 
 def ledger(spark: SparkSession, table: str) -> DataFrame:
-    try:
-        return spark.read.schema(LEDGER).parquet(f"{table}/_ledger")
-    except AnalysisException as error:
-        if not missing_path(error):
-            raise
-        return spark.createDataFrame([], LEDGER)
+    return read_log(spark, f"{table}/_ledger", LEDGER)
 
 
 def new_files(spark: SparkSession, table: str, folder: str) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime, timedelta
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.state import latest_by_max, merge_newer
-from .tables import missing_path
+from .tables import REMOVED, RETAIN_HOURS, read_log, remove_folders
 
 LOG = "version long, part int, path string, source string, published timestamp"
 PART = "_part"
@@ -22,12 +22,10 @@ class KeysNotUnique(ValueError):
 
 
 def log(spark: SparkSession, table: str) -> DataFrame:
-    try:
-        return spark.read.schema(LOG).parquet(f"{table}/_parts")
-    except AnalysisException as error:
-        if not missing_path(error):
-            raise
-        return spark.createDataFrame([], LOG)
+    """A row for each part of each version that wrote it, of those that are still there."""
+    gone = read_log(spark, f"{table}/_removed", REMOVED)
+    folder = F.regexp_replace("path", f"/{PART}=[0-9]+$", "")
+    return read_log(spark, f"{table}/_parts", LOG).withColumn("_folder", folder).join(gone.withColumnRenamed("path", "_folder"), "_folder", "left_anti").drop("_folder")
 
 
 def part_of(keys: list[str], parts: int) -> Column:
@@ -95,3 +93,15 @@ def merge_stream(table: str, keys: list[str], ts: list[str], parts: int = 64, en
             merge_parts(spark, table, latest_by_max(rows, keys, ts), keys, ts, parts, source)
 
     return run
+
+
+def vacuum(spark: SparkSession, table: str, hours: float = RETAIN_HOURS, now: datetime | None = None) -> list[str]:
+    """Delete the folders of versions of which every part was replaced more than hours ago.
+    Returns the names of what was deleted."""
+    before = (now or datetime.now(UTC)) - timedelta(hours=hours)
+    line = Window.partitionBy("part").orderBy("version", "published")
+    ends = log(spark, table).withColumn("_until", F.unix_micros(F.lead("published").over(line)))
+    folder = F.regexp_replace("path", f"/{PART}=[0-9]+$", "").alias("folder")
+    found = ends.groupBy(folder).agg(F.max(F.coalesce("_until", F.lit(2**62))).alias("until")).collect()  # a row for each version
+    replaced = [r["folder"] for r in found if r["until"] <= before.timestamp() * 1e6]
+    return remove_folders(spark, table, replaced, "version=", {r["folder"] for r in found} - set(replaced), before)

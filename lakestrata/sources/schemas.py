@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import missing_path
+from .tables import missing_path, read_log
 
 STORE = "version long, schema string, recorded timestamp, changes array<struct<column:string,change:string,known:string,found:string>>"
 
@@ -37,12 +37,7 @@ def merged(known: T.StructType | None, found: T.StructType) -> tuple[T.StructTyp
 
 def versions(spark: SparkSession, store: str) -> DataFrame:
     """The log of a store; see STORE. Empty before the first version."""
-    try:
-        return spark.read.schema(STORE).parquet(store)
-    except AnalysisException as error:
-        if not missing_path(error):
-            raise
-        return spark.createDataFrame([], STORE)
+    return read_log(spark, store, STORE)
 
 
 def changes(spark: SparkSession, store: str) -> DataFrame:

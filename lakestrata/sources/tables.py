@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from datetime import date, datetime
+from datetime import UTC, date, datetime, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,21 +92,29 @@ def load_projection(df: DataFrame, types: dict[str, str], batch_id: str, on_erro
 
 
 LOG = "version long, path string, source string, published timestamp"
+REMOVED = "path string"
+#: Fixed value: hours for which a version that has been replaced can still be read.
+RETAIN_HOURS = 168
 
 
 def missing_path(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
 
-def published(spark: SparkSession, table: str) -> DataFrame:
-    """The log: a row for each snapshot, with its version, folder and source. Empty for a
-    table that has none yet."""
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A log of small Parquet files; empty where there is none yet."""
     try:
-        return spark.read.schema(LOG).parquet(f"{table}/_log")
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if not missing_path(error):  # a log that cannot be read is no empty one
             raise
-        return spark.createDataFrame([], LOG)
+        return spark.createDataFrame([], schema)
+
+
+def published(spark: SparkSession, table: str) -> DataFrame:
+    """The log: a row for each snapshot that is still there, with its version, folder and
+    source. Empty for a table that has none yet."""
+    return read_log(spark, f"{table}/_log", LOG).join(read_log(spark, f"{table}/_removed", REMOVED), "path", "left_anti").select("version", "path", "source", "published")
 
 
 def publish(df: DataFrame, table: str, version: int | None = None, source: str = "") -> int:
@@ -145,3 +153,32 @@ def create_if_missing(spark: SparkSession, table: str, schema: T.StructType) ->
 def copy_table(spark: SparkSession, source: str, target: str) -> int:
     """Publish the current rows of a table as the next version of another, columns and all."""
     return publish(read_snapshot(spark, source), target, source=f"copy of {source}")
+
+
+def remove_folders(spark: SparkSession, table: str, folders: list[str], prefix: str, named: set[str], before: datetime) -> list[str]:
+    """Note folders of a table as removed, so that no reader asks for them, then delete them and
+    those with prefix that no log names and that were last written before a time: leftovers of
+    writes, or of removals, that broke off. Returns what was deleted."""
+    from pyarrow import fs
+
+    if folders:
+        spark.createDataFrame([(f,) for f in folders], REMOVED).coalesce(1).write.mode("append").parquet(f"{table}/_removed")
+    store, root = fs.FileSystem.from_uri(table if "://" in table else f"file://{table.removeprefix('file:')}")
+    gone, last = [], {f.rpartition("/")[2] for f in named}
+    drop = {f.rpartition("/")[2] for f in folders}
+    for found in store.get_file_info(fs.FileSelector(root)):
+        old = found.mtime is None or found.mtime <= before
+        if found.type == fs.FileType.Directory and found.base_name.startswith(prefix) and (found.base_name in drop or (found.base_name not in last and old)):
+            store.delete_dir(found.path)
+            gone.append(found.base_name)
+    return sorted(gone)
+
+
+def vacuum(spark: SparkSession, table: str, hours: float = RETAIN_HOURS, now: datetime | None = None) -> list[str]:
+    """Delete the folders of versions that were replaced more than hours ago; the current one
+    stays whatever its age. Returns the names of what was deleted: a row of the log for each
+    version comes to the driver."""
+    before = (now or datetime.now(UTC)) - timedelta(hours=hours)
+    log = published(spark, table).orderBy("version", "published").select("path", F.unix_micros("published").alias("at")).collect()
+    replaced = [a["path"] for a, b in zip(log, log[1:]) if b["at"] <= before.timestamp() * 1e6]
+    return remove_folders(spark, table, replaced, "snapshot=", {r["path"] for r in log} - set(replaced), before)

@@ -199,6 +199,23 @@ def test_parts(spark):
     assert partitioned.read_parts(spark, table).filter("v = 'late'").count() == 1
 
 
+def test_vacuum(spark):
+    """Retention, leftovers that no log names, versions that are gone, and empty tables."""
+    table = tables.work_path(spark, "t")
+    tables.create_if_missing(spark, table, spark.range(1).schema)
+    assert tables.vacuum(spark, table, hours=0) == []
+    for n in (3, 4, 5):
+        tables.publish(spark.range(n), table)
+    first = tables.published(spark, table).filter("version = 2").first()["published"]
+    spark.range(2).write.parquet(f"{table}/snapshot=9-leftover")
+    at = first.replace(tzinfo=UTC) if first.tzinfo is None else first
+    assert tables.vacuum(spark, table, hours=1, now=at) == []
+    assert [f[:10] for f in tables.vacuum(spark, table, hours=0)] == ["snapshot=1", "snapshot=2", "snapshot=3", "snapshot=9"]
+    assert tables.read_snapshot(spark, table).count() == 5 and tables.publish(spark.range(6), table) == 5
+    with pytest.raises(ValueError):
+        tables.read_snapshot(spark, table, version=2)
+
+
 def test_observed(spark):
     t = spark.createDataFrame([(1, "a", 1), (2, "b", 5), (3, "c", None), (None, "n", 1)], "id int, v string, at int")
     s = spark.createDataFrame([(1, "x", 2), (2, "x", 4), (3, "x", 9), (4, "x", 1), (None, "m", 9)], "id int, v string, at int")
