@@ -127,6 +127,7 @@ class SquareCatcher:
     def append(self, words: np.ndarray, last: bool = False) -> None:
         self.words = np.concatenate([self.words, words])
         hashes = mix(words.astype(np.uint64)) | np.uint64(1)
+        whole = len(words) == len(self.words)  # whether hashes are those of all words so far
         k = 0
         while True:
             if k == len(self.levels):
@@ -135,7 +136,7 @@ class SquareCatcher:
                     break
                 self.levels.append(Level(k))
                 self.rows.append(np.empty(0, np.uint64))
-                hashes = self._again(k)  # all words so far are new to it
+                hashes, whole = hashes if whole else self._again(k), True  # all words are new to it
             self.found += [np.column_stack([e, np.full(len(e), k)]) for e in self.levels[k].take(hashes, last)]
             half = 1 << k
             both = np.concatenate([self.rows[k], hashes])
@@ -188,7 +189,15 @@ class SquareCatcher:
 
 
 # --- documents -------------------------------------------------------------------------------
-def numbered(text: bytes, known: dict[bytes, int]) -> np.ndarray:
+class Numbers(dict):
+    """Numbers of words, given out as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def numbered(text: bytes, known: Numbers) -> np.ndarray:
     """The words of a text by number, split SLICE bytes at a time; new words join known."""
     parts, at = [], 0
     while at < len(text):
@@ -196,7 +205,7 @@ def numbered(text: bytes, known: dict[bytes, int]) -> np.ndarray:
         while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
             end += 1
         words = text[at:end].split()
-        parts.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
+        parts.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
         at = end
     return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
@@ -225,17 +234,17 @@ def collapse(docs: DataFrame, places: Callable[[int | None, int], np.ndarray | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batched(batches, "text", SLICE):
-            known: dict[bytes, int] = {}
+            known = Numbers()
             ids, own = batch.column("doc_id").to_pylist(), []
             for doc_id, text in zip(ids, batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 words = numbered(text, known)
                 at = places(doc_id, len(words)) if places else None
                 own.append(words if at is None else words[at])
             catcher = SquareCatcher(max(map(len, own)) // MIN_EXPONENT)
-            for i, words in enumerate(own):
-                for j in range(0, len(words), APPEND):
-                    catcher.append(words[j : j + APPEND])
-                catcher.append(np.array([-1 - i]))
+            # texts side by side, cut by numbers of their own
+            line = np.concatenate([x for i, words in enumerate(own) for x in (words, [-1 - i])])
+            for j in range(0, len(line), APPEND):
+                catcher.append(line[j : j + APPEND])
             starts = np.cumsum([0] + [len(w) + 1 for w in own])
             of: list[list[dict]] = [[] for _ in own]
             keep = [np.ones(len(w), bool) for w in own]

@@ -83,10 +83,10 @@ def test_long_periods(w):
 
 def test_numbered(monkeypatch):
     text = ("é x\t\x0b日本 " * 50).encode()
-    want = R.numbered(text, {})
+    want = R.numbered(text, R.Numbers())
     for size in (1, 5, 37):
         monkeypatch.setattr(R, "SLICE", size)
-        assert R.numbered(text, {}).tolist() == want.tolist()
+        assert R.numbered(text, R.Numbers()).tolist() == want.tolist()
 
 
 def test_brute_force(spark):
