@@ -102,7 +102,7 @@ def as_of_buckets(fact: DataFrame, dim: DataFrame, nk: str, sk: str, ts: str = "
     of = lambda c: F.date_trunc(bucket, c)
     version = F.struct(F.col("effective_from").alias("_from"), F.col("effective_to").alias("_to"), *[F.col(f"`{c}`") for c in cols]).alias("_dim")
     versions = dim.filter(F.col(nk).isNotNull()).select(F.col(nk).alias("_nk"), of("effective_from").alias("_bucket"), version)
-    facts = fact.select(F.col(nk).alias("_nk"), of(F.col(ts)).alias("_bucket"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns if not isinstance(fact.schema[c].dataType, T.MapType)]), F.lit(salts)).alias("_salt"), F.col(ts).alias("_at"), F.struct(*[F.col(f"`{c}`") for c in fact.columns]).alias("_fact"))
+    facts = fact.select(F.col(nk).alias("_nk"), of(F.col(ts)).alias("_bucket"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns if isinstance(fact.schema[c].dataType, T.AtomicType)]), F.lit(salts)).alias("_salt"), F.col(ts).alias("_at"), F.struct(*[F.col(f"`{c}`") for c in fact.columns]).alias("_fact"))
     asked = facts.filter("_nk is not null and _bucket is not null").select("_nk", "_bucket").distinct()
     ends = versions.groupBy("_nk", "_bucket").agg(F.max_by("_dim", F.col("_dim._from")).alias("_last"))
     line = Window.partitionBy("_nk").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

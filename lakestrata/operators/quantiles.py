@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +22,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str,
     names = [f"_by{i}" for i in range(len(by))]
     counted = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_n"))
     ranges = counted.groupBy(*names).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    same = lambda x, y: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in names]
-    every = lambda conditions: conditions[0] if len(conditions) == 1 else every([conditions[0] & conditions[1], *conditions[2:]])
-    on = lambda x, y, *more: every([*same(x, y), *more, F.lit(True)])
+    on = lambda x, y, *more: reduce(and_, [*(F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in names), *more], F.lit(True))
     width = (F.col("_hi") - F.col("_lo")) / cells
     cell = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(cells - 1))).otherwise(0).cast("int")
     placed = counted.alias("a").join(ranges.alias("b"), on("a", "b")).select("a.*", cell.alias("_cell"))
