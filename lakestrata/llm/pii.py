@@ -69,9 +69,10 @@ CLASSES = 4 + len(_others) + 6
 Span = tuple[int, int, int]  # kind, start, end
 
 
-def classes_of(text: str) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return CLASS[np.minimum(codes, 128)]
+def classes_of(text: str, step: int = 1 << 20) -> np.ndarray:
+    """Class of each character, one byte for each; step characters at a time."""
+    codes = lambda i: np.frombuffer(text[i : i + step].encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.concatenate([CLASS[:0], *(CLASS[np.minimum(codes(i), 128)] for i in range(0, len(text), step))])
 
 
 # --- base spans ----------------------------------------------------------------------------
