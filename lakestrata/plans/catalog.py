@@ -13,7 +13,7 @@ from ..functions.keys import STAMP
 from ..operators import audit, facts, gates, rules, state
 from ..operators import history as H
 from ..operators.quantiles import exact_quantiles
-from ..sources import tables
+from ..sources import partitioned, tables
 from ..streaming import pipelines
 from . import adapters as A
 
@@ -639,8 +639,8 @@ def stream_enrich_merge(spark, sf):
     for part in (0, 1):
         raw, checkpoint = tables.work_path(spark, "raw"), tables.work_path(spark, "checkpoint")
         feed.filter(F.col("o_orderkey") % 2 == part).write.parquet(raw)
-        pipelines.run_merge(pipelines.open_stream(spark, raw, feed.schema, "parquet"), table, checkpoint, ["customer_id"], ["at", "o_orderkey"], enrich)
-    return tables.read_snapshot(spark, table).select("customer_id", "o_orderkey", "customer_sk")
+        pipelines.run_merge(pipelines.open_stream(spark, raw, feed.schema, "parquet"), table, checkpoint, ["customer_id"], ["at", "o_orderkey"], enrich, parts=8)
+    return partitioned.read_parts(spark, table).select("customer_id", "o_orderkey", "customer_sk")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

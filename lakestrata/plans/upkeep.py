@@ -231,8 +231,7 @@ def stream_merge_partitioned(spark, sf):
     events = A.load(spark, sf, "events").select("user_id", "ts", "event_id")
     raw, table, checkpoint = (tables.work_path(spark, n) for n in ("raw", "state", "checkpoint"))
     events.repartition(3, "event_id").write.parquet(raw)
-    merge = partitioned.merge_stream(table, ["user_id"], ["ts", "event_id"], parts=8)
-    pipelines.open_stream(spark, raw, events.schema, "parquet", 1).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    pipelines.run_merge(pipelines.open_stream(spark, raw, events.schema, "parquet", 1), table, checkpoint, ["user_id"], ["ts", "event_id"], parts=8)
     return partitioned.read_parts(spark, table).select("user_id", text_time("ts"), "event_id")
 
 

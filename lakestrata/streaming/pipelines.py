@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..operators.state import latest_by_max, merge_newer
 from ..sources import schemas
+from ..sources.partitioned import merge_stream
 from ..sources.tables import publish, published, read_snapshot, with_lineage
 
 
@@ -95,5 +96,8 @@ def merge_into(table: str, keys: list[str], ts: list[str], enrich: Callable[[Dat
     return run
 
 
-def run_merge(stream: DataFrame, table: str, checkpoint: str, keys: list[str], ts: list[str], enrich: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    stream.writeStream.foreachBatch(merge_into(table, keys, ts, enrich)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run_merge(stream: DataFrame, table: str, checkpoint: str, keys: list[str], ts: list[str], enrich: Callable[[DataFrame], DataFrame] | None = None, parts: int | None = None) -> None:
+    """Merge what has come in: into snapshots, each written whole, or, with parts, into a table in
+    so many parts (sources/partitioned.py), of which a batch reads and writes those it touches."""
+    merge = merge_stream(table, keys, ts, parts, enrich) if parts else merge_into(table, keys, ts, enrich)
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
