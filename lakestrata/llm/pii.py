@@ -24,8 +24,10 @@ and text are not read.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -34,7 +36,7 @@ import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, table
+from .common import batched, materialise, table
 from .tagger import Tagger
 
 KINDS = ("email", "ip", "card", "phone")
@@ -164,35 +166,49 @@ def made_up(kind: int, rng: np.random.Generator) -> str:
     return f"+{1 + int(rng.integers(9))} ({digits(3)}) {digits(3)}-{digits(4)}"
 
 
-_WINDOW = "kind int, left string, span string, right string"
+_WINDOW = "kind int, hash binary, left string, span string, right string"
+
+
+def _smallest(rows: list[tuple], n: int) -> list[tuple]:
+    """The n rows of the smallest hashes of each kind; equal rows count once."""
+    own: dict[int, list[tuple]] = {}
+    for row in sorted(set(rows)):
+        own.setdefault(row[0], []).append(row)
+    return [row for kind in own.values() for row in kind[:n]]
 
 
 def labelled(docs: DataFrame, per_kind: int = FIT_WINDOWS) -> DataFrame:
-    """Base spans in what surrounds them, and, as kind -1, places with a digit or sign that no
-    base span touches; of each kind the per_kind windows of the smallest hash."""
+    """kind, left, span, right: base spans in what surrounds them, and, as kind -1, places with a
+    digit or sign that no base span touches; of each kind the per_kind windows of the smallest
+    hash. One pass: a task hands on no more than per_kind windows of a kind."""
+
+    def windows(text: str) -> Iterator[tuple]:
+        spans = base_spans(text)
+        for k, a, b in spans:
+            if b - a <= WIDTH // 2:
+                yield k, text[max(0, a - WIDTH) : a], text[a:b], text[b : b + WIDTH]
+        ends, last = [b for _, _, b in spans], -WIDTH
+        for m in _TRIGGER.finditer(text):
+            at = m.start()
+            i = bisect.bisect_left(ends, at - WIDTH)
+            if at >= last + WIDTH and (i == len(spans) or spans[i][1] > at + WIDTH):
+                yield -1, text[max(0, at - WIDTH) : at], text[at : at + 1], text[at + 1 : at + WIDTH]
+                last = at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batched(batches, "text"):
-            rows = []
             for text in batch.column("text").to_pylist():
-                spans = base_spans(text)
-                rows += [(k, text[max(0, a - WIDTH) : a], text[a:b], text[b : b + WIDTH]) for k, a, b in spans if b - a <= WIDTH // 2]
-                ends = [b for _, _, b in spans]
-                last = -WIDTH
-                for m in _TRIGGER.finditer(text):
-                    at = m.start()
-                    i = bisect.bisect_left(ends, at - WIDTH)
-                    if at >= last + WIDTH and (i == len(spans) or spans[i][1] > at + WIDTH):
-                        rows.append((-1, text[max(0, at - WIDTH) : at], text[at : at + 1], text[at + 1 : at + WIDTH]))
-                        last = at
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.string()) for i in range(4)], ["kind", "left", "span", "right"])
-
-    marked = docs.filter(F.col("text").rlike(r"[0-9@]")).select("text").mapInArrow(run, _WINDOW).withColumn("hash", F.xxhash64("left", "span", "right"))
-    kinds = [marked.filter(F.col("kind") == k).orderBy("hash", "left", "span", "right").limit(per_kind).drop("hash") for k in range(-1, len(KINDS))]
-    found = kinds[0]
-    for k in kinds[1:]:
-        found = found.unionByName(k)
-    return found
+                rows += [(k, hashlib.sha256("\n".join(parts).encode("utf-8", "surrogatepass")).digest(), *parts) for k, *parts in windows(text)]
+            if len(rows) > 20 * per_kind:
+                rows = _smallest(rows, per_kind)
+        rows = _smallest(rows, per_kind)
+        kinds = [pa.int32(), pa.binary(), pa.string(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["kind", "hash", "left", "span", "right"])
+
+    found = materialise(docs.filter(F.col("text").rlike(r"[0-9@]")).select("text").mapInArrow(run, _WINDOW), "windows").distinct()
+    kinds = [found.filter(F.col("kind") == k).orderBy("hash").limit(per_kind).drop("hash") for k in range(-1, len(KINDS))]
+    return reduce(DataFrame.unionByName, kinds)
 
 
 def training_set(windows: list[tuple[int, str, str, str]], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:

@@ -109,6 +109,17 @@ def model(spark):
     return P.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
 
 
+def test_labelled_windows(spark):
+    """The same windows however the rows lie; each base span that stands in one is its own."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    docs = docs.unionByName(spark.createDataFrame([(" ".join(SAMPLES),), (None,)], "text string"))
+    one, five = (sorted(map(tuple, P.labelled(docs.repartition(n), 7).collect())) for n in (1, 5))
+    assert one == five and {k for k, *_ in one} == {-1, 0, 1, 2, 3} and max(sum(r[0] == k for r in one) for k in range(-1, 4)) <= 7
+    for kind, left, span, right in one:
+        found = P.base_spans(left + span + right)
+        assert (kind, len(left), len(left) + len(span)) in found or kind == -1
+
+
 def test_unseen_spans(spark, model):
     """Rewritten spans of other seeds in clean texts: found; clean texts: left alone."""
     rng = np.random.default_rng(99)
