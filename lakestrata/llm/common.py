@@ -90,7 +90,7 @@ def write_atomically(uri: str, write: Callable) -> None:
     store.move(own, path)
 
 
-def batched(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def batched(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts in column take about limit bytes at most (or
     one row), so that long texts do not multiply memory. After the last of them a worker
     that stays for other tasks gives freed memory back to the system."""

@@ -30,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -405,9 +404,9 @@ def clean(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFrame:
     where docs has it, brought up to date. Texts that lose all their words go."""
     cuts = repeated(docs, min_passage).drop("first_keys")
 
-    @F.pandas_udf("string")
-    def apply(text: pd.Series, places: pd.Series) -> pd.Series:
-        return pd.Series([cut_words(t, p) for t, p in zip(text, places, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def apply(text: pa.Array, places: pa.Array) -> pa.Array:
+        return pa.array([cut_words(t or "", p) for t, p in zip(text.to_pylist(), places.to_pylist(), strict=True)], pa.string())
 
     # the user's columns travel in one struct, so that no name clashes
     keyed = with_likely(docs.select(_doc_key().alias("key"), _content().alias("content"), F.struct("*").alias("row")), cuts, "content")

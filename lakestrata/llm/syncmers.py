@@ -20,7 +20,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -151,9 +150,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     n = 2 * partitions(spark)
     cuts = np.array(sorted(set(keyed.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n))), dtype=np.float64)
 
-    @F.pandas_udf("int")
-    def range_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, key.to_numpy().astype(np.float64), "left"))
+    @F.arrow_udf("int")
+    def range_of(key: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, key.to_numpy(zero_copy_only=False).astype(np.float64), "left").astype(np.int32))
 
     ranges = keyed.select("key").withColumn("range", range_of("key")).groupBy("range").agg(F.max("key").alias("key")).orderBy("range").collect()
     if not ranges:
