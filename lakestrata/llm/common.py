@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
-ARROW_ROWS = 400
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_ROWS, ARROW_MB = 400, 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,10 +65,12 @@ def in_ranges(docs: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python ARROW_ROWS at a time, unless the session asks for fewer: a
-    batch of the default 10,000 texts can take more memory than the work on it."""
+    """Whole texts, and sets of their shingles, go to Python ARROW_ROWS or ARROW_MB at a time,
+    unless the session asks for fewer rows: a batch of the default 10,000 rows or 64 MB can take
+    more memory than the work on it."""
     if int(spark.conf.get(_ARROW)) > ARROW_ROWS or int(spark.conf.get(_ARROW)) <= 0:
         spark.conf.set(_ARROW, str(ARROW_ROWS))
+        spark.conf.set(_ARROW_BYTES, f"{ARROW_MB}m")
 
 
 def filesystem(uri: str):
