@@ -10,6 +10,8 @@ from ..functions.keys import version_key
 
 #: Fixed value: the end of the current version.
 OPEN_END = "9999-12-31 23:59:59"
+#: as_of_buckets: a key is hot with a share of the facts over one in this many for each shuffle partition.
+HOT_SHARES = 4
 
 
 def history(changes: DataFrame, nk: str, tracked: list[str], carried: list[str], sk: str, ts: str = "updated_at") -> DataFrame:
@@ -81,42 +83,69 @@ def as_of_join(fact: DataFrame, dim: DataFrame, nk: str, sk: str, ts: str = "cre
     return met.select(*[fact[c] for c in fact.columns], *cols)
 
 
+def _sides(fact: DataFrame, dim: DataFrame, nk: str, ts: str, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(facts, versions) as _in_force() takes them, by _nk; versions of no key are left out."""
+    facts = fact.select(F.col(nk).alias("_nk"), F.col(ts).alias("_at"), *[F.col(f"`{c}`").alias(f"_f{i}") for i, c in enumerate(fact.columns)])
+    version = F.struct(F.col("effective_from").alias("_from"), F.col("effective_to").alias("_to"), *[F.col(f"`{c}`") for c in cols])
+    return facts, dim.filter(F.col(nk).isNotNull()).select(F.col(nk).alias("_nk"), version.alias("_dim"))
+
+
+def _in_force(facts: DataFrame, versions: DataFrame, group: list[str], columns: list[str], cols: list[str]) -> DataFrame:
+    """Facts (group, _at and a column _f0, _f1, ... for each of columns) with cols of the version
+    (group, _dim) in force: both in one sorted run for each group. Facts have plain columns, not a
+    struct of them, so that those that nobody asks for are not shuffled. Versions that lie by
+    _nk already, as history() leaves them, are not shuffled anew where the group is _nk."""
+    by = lambda df: df.repartition("_nk") if group == ["_nk"] else df
+    known = by(versions).withColumn("_at", F.col("_dim._from")).withColumn("_kind", F.lit(0))
+    rows = by(facts).withColumn("_kind", F.lit(1)).unionByName(known, allowMissingColumns=True)
+    run = Window.partitionBy(*group).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("_dim", F.last("_dim", True).over(run)).filter("_kind = 1")
+    valid = (F.col("_at") >= F.col("_dim._from")) & (F.col("_at") < F.col("_dim._to"))
+    return found.select(*[F.col(f"_f{i}").alias(c) for i, c in enumerate(columns)], *[F.when(valid, F.col(f"_dim.`{c}`")).alias(c) for c in cols])
+
+
 def as_of_union(fact: DataFrame, dim: DataFrame, nk: str, sk: str, ts: str = "created_at", extra: list[str] | None = None) -> DataFrame:
     """The same for keys with very many versions: fact and dimension rows in one sorted run
     per key, so work is linear in both. Versions of a key must not overlap."""
     cols = [sk, *(extra or [])]
-    facts = fact.select(F.col(nk).alias("_nk"), F.col(ts).alias("_at"), F.lit(1).alias("_kind"), F.struct(*fact.columns).alias("_fact"))
-    versions = dim.select(F.col(nk).alias("_nk"), F.col("effective_from").alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col("effective_to").alias("_to"), *cols).alias("_dim"))
-    line = Window.partitionBy("_nk").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    run = facts.unionByName(versions, allowMissingColumns=True).withColumn("_dim", F.last("_dim", True).over(line)).filter("_kind = 1")
-    valid = F.col("_at") < F.col("_dim._to")
-    return run.select("_fact.*", *[F.when(valid & F.col("_nk").isNotNull(), F.col(f"_dim.{c}")).alias(c) for c in cols])
+    facts, versions = _sides(fact, dim, nk, ts, cols)
+    return _in_force(facts, versions, ["_nk"], fact.columns, cols)
 
 
-def as_of_buckets(fact: DataFrame, dim: DataFrame, nk: str, sk: str, ts: str = "created_at", extra: list[str] | None = None, bucket: str = "day", salts: int = 8) -> DataFrame:
-    """The same where a few keys hold most facts: a key's facts are dealt to buckets of time and,
-    within these, to salts, so that a hot key is spread over tasks. What reaches a bucket of
+def as_of_buckets(fact: DataFrame, dim: DataFrame, nk: str, sk: str, ts: str = "created_at", extra: list[str] | None = None, bucket: str = "day", salts: int = 8, told_by: list[str] | None = None) -> DataFrame:
+    """The same where a few keys hold most facts: a hot key's facts are dealt to buckets of time
+    and a large bucket's to salts, so that the key is spread over tasks. What reaches a bucket of
     the versions is those that start in it and the last one before it, which is carried over
-    by a window of one row for each key and bucket. Versions of a key must not overlap."""
+    by a window of one row for each key and bucket. All other keys are one sorted run each, and
+    neither their facts nor their versions are copied. Hot keys, and large buckets, are those
+    of over 1 / (HOT_SHARES * shuffle partitions) of the facts, so there are no more than that
+    many, and they are broadcast. told_by: columns that tell facts apart, by which they go to
+    salts; all plain ones, if not given, which are then read and shuffled even where nobody
+    else asks for them. Versions of a key must not overlap."""
     cols = [sk, *(extra or [])]
     of = lambda c: F.date_trunc(bucket, c)
-    version = F.struct(F.col("effective_from").alias("_from"), F.col("effective_to").alias("_to"), *[F.col(f"`{c}`") for c in cols]).alias("_dim")
-    versions = dim.filter(F.col(nk).isNotNull()).select(F.col(nk).alias("_nk"), of("effective_from").alias("_bucket"), version)
-    facts = fact.select(F.col(nk).alias("_nk"), of(F.col(ts)).alias("_bucket"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns if isinstance(fact.schema[c].dataType, T.AtomicType)]), F.lit(salts)).alias("_salt"), F.col(ts).alias("_at"), F.struct(*[F.col(f"`{c}`") for c in fact.columns]).alias("_fact"))
-    asked = facts.filter("_nk is not null and _bucket is not null").select("_nk", "_bucket").distinct()
-    ends = versions.groupBy("_nk", "_bucket").agg(F.max_by("_dim", F.col("_dim._from")).alias("_last"))
+    shares = HOT_SHARES * int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    facts, versions = _sides(fact.filter(F.col(nk).isNotNull()), dim, nk, ts, cols)
+    counted = facts.groupBy("_nk").agg(F.count("*").alias("_n"))
+    share = counted.agg((F.sum("_n") / shares).alias("_share"))
+    hot = F.broadcast(counted.crossJoin(F.broadcast(share)).filter("_n > _share").select("_nk", "_share"))
+    others = _in_force(facts.join(hot, "_nk", "left_anti"), versions.join(hot, "_nk", "left_anti"), ["_nk"], fact.columns, cols)
+
+    placed = facts.withColumn("_bucket", of("_at"))
+    asked = placed.filter("_bucket is not null").join(hot, "_nk").groupBy("_nk", "_bucket").agg(F.least(F.lit(salts), F.ceil(F.count("*") / F.max("_share"))).cast("long").alias("_salts"))
+    started = versions.withColumn("_bucket", of("_dim._from")).join(hot, "_nk", "left_semi")
+    ends = started.groupBy("_nk", "_bucket").agg(F.max_by("_dim", F.col("_dim._from")).alias("_last"))
     line = Window.partitionBy("_nk").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    both = asked.withColumn("_asked", F.lit(True)).join(ends, ["_nk", "_bucket"], "full_outer")
-    carried = both.withColumn("_dim", F.last("_last", True).over(line)).filter("_asked and _dim is not null").select("_nk", "_bucket", "_dim")
-    own = versions.join(asked, ["_nk", "_bucket"], "left_semi")
-    reach = own.unionByName(carried).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("_salt", F.col("_salt").cast("long"))
-    rows = facts.withColumn("_kind", F.lit(1)).unionByName(reach.select("_nk", "_bucket", "_salt", "_dim", F.col("_dim._from").alias("_at"), F.lit(0).alias("_kind")), allowMissingColumns=True)
-    run = Window.partitionBy("_nk", "_bucket", "_salt").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.join(ends, ["_nk", "_bucket"], "full_outer")
+    carried = both.withColumn("_dim", F.last("_last", True).over(line)).filter("_salts is not null and _dim is not null").select("_nk", "_bucket", "_dim", "_salts")
+    reach = started.join(asked, ["_nk", "_bucket"]).unionByName(carried).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts")
+    # facts of a hot key without a time meet nothing, but are many perhaps
+    n = F.when(F.col("_bucket").isNull(), F.lit(salts)).otherwise(F.coalesce("_salts", F.lit(1)))
+    deal = F.xxhash64(*[F.col(f"_f{i}") for i, c in enumerate(fact.columns) if (c in told_by if told_by else isinstance(fact.schema[c].dataType, T.AtomicType))])
+    dealt = placed.join(hot, "_nk", "left_semi").join(F.broadcast(asked.filter("_salts > 1")), ["_nk", "_bucket"], "left").withColumn("_salt", F.pmod(deal, n)).drop("_salts")
+    met = _in_force(dealt, reach, ["_nk", "_bucket", "_salt"], fact.columns, cols)
     # a key that is null meets nothing, and is not gathered either
-    found = rows.filter("_nk is not null").withColumn("_dim", F.last("_dim", True).over(run)).filter("_kind = 1")
-    valid = (F.col("_at") >= F.col("_dim._from")) & (F.col("_at") < F.col("_dim._to"))
-    met = found.select("_fact.*", *[F.when(valid, F.col(f"_dim.`{c}`")).alias(c) for c in cols])
-    return met.unionByName(fact.filter(F.col(nk).isNull()), allowMissingColumns=True)
+    return others.unionByName(met).unionByName(fact.filter(F.col(nk).isNull()), allowMissingColumns=True)
 
 
 def overlaps(dim: DataFrame, nk: str, sk: str) -> DataFrame:

@@ -210,7 +210,7 @@ def mart_refresh(spark, sf):
 # --- hot keys ------------------------------------------------------------------------------------
 @query("pit_product_buckets", ORACLES["pit_product"])
 def pit_product_buckets(spark, sf):
-    found = H.as_of_buckets(A.order_lines(spark, sf), A.product_dim(spark, sf), "product_id", "product_sk", extra=["category"], bucket="month")
+    found = H.as_of_buckets(A.order_lines(spark, sf), A.product_dim(spark, sf), "product_id", "product_sk", extra=["category"], bucket="month", told_by=["order_id", "l_suppkey"])
     return found.select("order_id", "l_suppkey", text_time("created_at"), "product_sk", "category")
 
 

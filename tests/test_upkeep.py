@@ -99,6 +99,30 @@ def test_as_of_hot_key(spark):
     assert "_salt" in tasks  # one key's facts are dealt by bucket and salt too
 
 
+def shuffled_rows(spark, df):
+    """Rows that the stages of a run of df write into shuffles."""
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    known = {stages().apply(i).stageId() for i in range(stages().size())}
+    df.write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = stages()
+    return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()) if found.apply(i).stageId() not in known)
+
+
+def test_as_of_buckets_copies_little(spark):
+    """Versions are copied for large buckets of hot keys alone: where there are none, each fact and
+    version is shuffled about once; a hot key's facts still go to several salts."""
+    fact = spark.range(4000).select("id", (F.col("id") % 400).alias("k"), F.timestamp_seconds(F.col("id") * 9000).alias("created_at"))
+    starts = spark.range(4000).select((F.col("id") % 400).alias("k"), F.timestamp_seconds(F.col("id") * 9000 - 20_000).alias("updated_at"), F.col("id").cast("string").alias("v"))
+    dim = history.history(starts, "k", ["v"], [], "sk")
+    found = history.as_of_buckets(fact, dim, "k", "sk", extra=["v"])
+    assert shuffled_rows(spark, found) < 3 * (4000 + 4000)
+    same_rows(found, history.as_of_join(fact, dim, "k", "sk", extra=["v"]))
+    lone = fact.withColumn("k", F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("k"))).withColumn("created_at", F.when(F.col("id") % 3 == 0, F.timestamp_seconds(F.lit(9_000_000))).otherwise(F.col("created_at")))
+    for told_by in (None, ["id"]):
+        same_rows(history.as_of_buckets(lone, dim, "k", "sk", extra=["v"], told_by=told_by), history.as_of_join(lone, dim, "k", "sk", extra=["v"]))
+
+
 def test_sessions_hot_cookie(spark):
     rows = [(i, hot(i), stamp(RNG.randrange(400_000) + RNG.random()) if i % 50 else None, "c") for i in range(1500)]
     rows += [(2000 + i, 7, stamp(86_400 * 2 - 900 + 1800 * i), "c") for i in range(5)]  # goes on over hours and midnight
