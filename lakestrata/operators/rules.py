@@ -137,13 +137,16 @@ def repaired_path(path: Column) -> Column:
 def dispose_files(quarantine: DataFrame, decisions: DataFrame, repaired: DataFrame, rules: list[Rule], file: str = "_source_file") -> dict[str, DataFrame]:
     """dispose() by file: decisions (file, action, ...) are on files; quarantine and repaired have
     the file of each row. A fix takes the rows that lie at the repaired path of the file, all
-    of them, and no others; a file of which no repaired form lies there yet is waiting."""
+    of them, and no others; a file of which no repaired form lies there yet is waiting. The
+    decisions, one row for each decided file, are broadcast, so that the rows of a file, however
+    many, stay in the tasks that read them."""
     action = decisions.select(F.col(file).alias("_file"), "action").dropDuplicates(["_file"])
-    there = repaired.select(F.col(file).alias("_there")).distinct()
-    ready = action.join(there, repaired_path(F.col("_file")) == F.col("_there"), "left").filter((F.col("action") != "fix") | F.col("_there").isNotNull())
+    expected = F.broadcast(action.filter("action = 'fix'").select(repaired_path(F.col("_file")).alias("_there")).distinct())
+    there = repaired.join(expected, F.col(file) == F.col("_there"), "left_semi").select(F.col(file).alias("_there")).distinct()
+    ready = F.broadcast(action.join(F.broadcast(there), repaired_path(F.col("_file")) == F.col("_there"), "left").filter((F.col("action") != "fix") | F.col("_there").isNotNull()))
     met = quarantine.drop(REASON).join(ready, F.col(file) == F.col("_file"))
     replay = met.filter("action = 'replay'").select([c for c in quarantine.columns if c != REASON])
-    fixes = ready.filter("action = 'fix'").select("_there")
+    fixes = F.broadcast(ready.filter("action = 'fix'").select("_there"))
     substitutes = repaired.join(fixes, F.col(file) == F.col("_there"), "left_semi")
     good, bad = split_quarantine(replay.unionByName(substitutes), rules)
     waiting = quarantine.join(ready, F.col(file) == F.col("_file"), "left_anti")

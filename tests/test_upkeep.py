@@ -278,3 +278,19 @@ def test_dispose_files(spark):
     decisions = spark.createDataFrame([("q/a.csv", "replay"), ("q/b.csv", "fix"), ("q/c.csv", "fix"), ("q/zz.csv", "fix")], "_source_file string, action string")
     got = {name: sorted(r["id"] if name != "audit" else r["_source_file"] for r in df.collect()) for name, df in rules.dispose_files(bad, decisions, fixed, rule).items()}
     assert got == {"released": [2, 3, 30], "still_bad": [1, 31], "waiting": [4, 5], "audit": ["q/a.csv", "q/b.csv", "q/c.csv"]}
+
+
+def test_dispose_large_file(spark):
+    """Rows of a file are not gathered: no shuffle has them, whatever the size of the file."""
+    rule = [rules.Rule("positive", "n > 0")]
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, "q/a").when(F.col("id") < 2900, "q/b").otherwise("q/c").alias("_source_file"), "id", (F.col("id") % 3 - 1).alias("n"))
+    bad, fixed = rows.withColumn(rules.REASON, F.lit("positive")), rows.filter("_source_file = 'q/b'").withColumns({"_source_file": F.lit("q/_fixed/b"), "n": F.lit(1).cast("long")})
+    decisions = spark.createDataFrame([("q/a", "replay"), ("q/b", "fix")], "_source_file string, action string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        parts = rules.dispose_files(bad, decisions, fixed, rule)
+        for name, n in (("released", 666 + 900), ("still_bad", 1334), ("waiting", 100)):
+            assert shuffled_rows(spark, parts[name]) < 100 and parts[name].count() == n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
