@@ -9,7 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lakestrata.llm import bagminhash, packing, passages, quality
-from lakestrata.llm.common import materialise, release, small_batches, table
+from lakestrata.llm.common import lighten, materialise, release, small_batches, table
+
+
+def prepare(spark: SparkSession) -> None:
+    """Before a stage: small batches for Python, and executors without the last stage's garbage."""
+    small_batches(spark)
+    lighten(spark)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     are scored, never learnt from. Very long texts are scored whole. No labels: the score is
     one half for all, which is below the threshold, so nothing stays. Empty table: no rows.
     All columns pass through, whatever their names."""
-    small_batches(spark)
+    prepare(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -31,7 +37,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     doc_ids: one row of a class stays; where two texts share the smallest doc_id, that of the
     smaller hash. Very long texts are compared whole. Empty table: no rows. All columns pass
     through, whatever their names."""
-    small_batches(spark)
+    prepare(spark)
     return bagminhash.keep_one(docs)
 
 
@@ -43,7 +49,7 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     go; no word that is not repeated is cut, but for those within an alike paragraph. Very
     long texts are taken whole. Empty table: no rows. n_chars follows the text; all other
     columns pass through, whatever their names."""
-    small_batches(spark)
+    prepare(spark)
     return passages.clean(docs)
 
 
@@ -53,7 +59,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts: the end id alone. Null and repeated doc_ids: a document for each row,
     in order of doc_id and text hash, ties by place. Long texts are cut into pieces. Empty
     table: no rows. Of the columns only doc_id and text are read."""
-    small_batches(spark)
+    prepare(spark)
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))

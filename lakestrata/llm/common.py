@@ -125,3 +125,13 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)
+
+
+def lighten(spark: SparkSession) -> None:
+    """Let the executors' JVMs collect what earlier steps left behind and give the memory back
+    to the system, which they do in a full collection only: beside Python workers a heap that
+    has grown step by step takes more than any one step needs. A task for each core, so that
+    every executor has one."""
+    n = spark.sparkContext.defaultParallelism
+    collected = spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("done"))
+    collected.write.format("noop").mode("overwrite").save()

@@ -570,3 +570,19 @@ def test_pipeline(spark):
     again = corpus_pipeline.run(spark, SF).collect()
     plain = lambda rows: sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
     assert plain(again) == plain(pieces) and len(corpus_pipeline.STAGES) == 4
+
+
+def test_stages_begin_light(spark, monkeypatch):
+    """Before each stage the executors' heaps are collected in full (here the driver's JVM is one),
+    and only then does the stage's own work begin."""
+    import corpus_pipeline
+
+    beans = [b for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName()]
+    count = lambda: sum(b.getCollectionCount() for b in beans)
+    modules = {"quality": ("quality", "keep_good"), "near_duplicates": ("bagminhash", "keep_one"), "passages": ("passages", "clean"), "packing": ("packing", "pack")}
+    for name, stage in corpus_pipeline.STAGES:
+        module, function = modules[name]
+        full, at_work = count(), []
+        monkeypatch.setattr(getattr(corpus_pipeline, module), function, lambda *args: at_work.append(count()))
+        stage(spark, None, SF)
+        assert at_work[0] > full
