@@ -134,6 +134,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = signed(docs)
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct(_doc_key().alias("key"), "content")).alias("rep"), F.first("keys").alias("keys"))
     nodes = materialise(nodes.select("node", "rep.key", "rep.content", "keys"), "nodes")
+    release(spark)
     bands = nodes.select("node", F.explode("keys").alias("key"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
@@ -168,6 +169,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # what goes, and what stays but stands in several rows
     told = found.groupBy(_doc_key().alias("key"), "content").agg(F.bool_and(is_first).alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1")
     told = materialise(told.select("key", "content", "stays"), "told")
+    release(docs.sparkSession)
     # the user's columns travel in one struct, so that no name clashes
     rows = with_likely(docs.select(_doc_key().alias("key"), _content().alias("content"), F.struct("*").alias("row")), told, "content")
     met = rows.filter("likely").join(told, ["key", "content"], "left")

@@ -117,7 +117,8 @@ def batched(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of steps whose results are stored by now. It does
     so when the driver's JVM finds that nothing refers to them: what Python held is let go
-    of first, then what the JVM held through it."""
+    of first, then what the JVM held through it. Then the executors' heaps are collected too,
+    so that a step does not begin on what those before it left."""
     import gc
     import time
 
@@ -125,6 +126,7 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)
+    lighten(spark)
 
 
 def lighten(spark: SparkSession) -> None:

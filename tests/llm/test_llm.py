@@ -586,3 +586,22 @@ def test_stages_begin_light(spark, monkeypatch):
         monkeypatch.setattr(getattr(corpus_pipeline, module), function, lambda *args: at_work.append(count()))
         stage(spark, None, SF)
         assert at_work[0] > full
+
+
+def test_large_steps_begin_light(spark, monkeypatch):
+    """The executors' heaps are collected between the large steps of passages and of
+    near-duplicates too, not only before a stage."""
+    from lakestrata.llm import common
+
+    done, collected = [], common.lighten
+    monkeypatch.setattr(common, "lighten", lambda s: (collected(s), done.append("light")))
+    for module in (passages, bagminhash, linking):
+        kept = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda df, name, kept=kept: (kept(df, name), done.append(name))[0])
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
+    begun = passages._occurrences
+    monkeypatch.setattr(passages, "_occurrences", lambda docs: (begun(docs), done.append("occurrences"))[0])
+    passages.clean(docs)
+    bagminhash.keep_one(docs)
+    for name in ("occurrences", "buckets", "repeated-paragraphs", "repeated-seeds", "contexts", "repeated", "nodes", "told"):
+        assert done[done.index(name) + 1] == "light", name
