@@ -109,23 +109,31 @@ def batched(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19
             end = max(at + 1, int(np.searchsorted(sizes, base + limit, "right")))
             yield batch.slice(at, end - at)
             at = end
+    trim()
+
+
+def trim() -> None:
+    """Give memory that this process has freed back to the system."""
     pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
-        trim(0)
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        give_back(0)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of steps whose results are stored by now. It does
-    so when the driver's JVM finds that nothing refers to them: what Python held is let go
-    of first, then what the JVM held through it. Then the executors' heaps are collected too,
-    so that a step does not begin on what those before it left."""
+    """Let Spark remove the shuffle files and plans of steps whose results are stored by now. It
+    does so when the driver's JVM finds that nothing refers to them: what Python held is let go of
+    first, of which py4j tells the JVM within a second, then what the JVM held through it. One full
+    collection, as each lets the JVM's heap grow in the collections after it. What Python has
+    freed goes back to the system. Then the executors' heaps are collected too, so that a step
+    does not begin on what those before it left."""
     import gc
     import time
 
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    gc.collect()
+    time.sleep(1.2)
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
+    trim()
     lighten(spark)
 
 

@@ -159,9 +159,9 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float, kind: np.
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
 
-    counted = sets.select("items").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counted = sets.select("items").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(CELLS, np.int64)
-    frequency[counted["cell"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    frequency[counted["cell"].to_numpy()] = counted["n"].to_numpy()
     known = spark.sparkContext.broadcast(frequency)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

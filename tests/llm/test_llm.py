@@ -605,3 +605,19 @@ def test_large_steps_begin_light(spark, monkeypatch):
     bagminhash.keep_one(docs)
     for name in ("occurrences", "buckets", "repeated-paragraphs", "repeated-seeds", "contexts", "repeated", "nodes", "told"):
         assert done[done.index(name) + 1] == "light", name
+
+
+def test_release_collects_once(spark, monkeypatch):
+    """release() collects the driver's JVM once, and then what Python has let go of is gone there."""
+    from lakestrata.llm import common
+
+    monkeypatch.setattr(common, "lighten", lambda s: None)
+    jvm = spark.sparkContext._jvm
+    beans = [b for b in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName()]
+    count = lambda: sum(b.getCollectionCount() for b in beans)
+    held = jvm.java.util.ArrayList()
+    known = jvm.java.lang.ref.WeakReference(held)
+    del held
+    full = count()
+    common.release(spark)
+    assert known.get() is None and count() == full + 1
