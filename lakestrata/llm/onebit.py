@@ -8,7 +8,8 @@ by exact distances in double precision.
 
 The index covers every row, in blocks. Only its centre is fitted, on a sample of SAMPLE
 vectors: it affects speed, not which rows are searched. The stated query set is searched
-against all rows, block by block.
+against all rows, block by block: tasks are the cells of a grid of groups of vector blocks by
+groups of query blocks. A task holds its queries (HELD bytes) and sees each vector block once.
 
 Defined results. Vectors that are null, zero or hold null or non-finite components take no
 part. Vectors of another dimension meet only those of their own. Rows with the query's
@@ -20,7 +21,7 @@ vec_id. Empty table: no rows.
 
 from __future__ import annotations
 
-from collections import OrderedDict
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +29,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import materialise, partitions, table
+from .common import materialise, partitions, small_batches, table
 
 NEAREST = 10
 EPSILON = 4.5
 SAMPLE = 4096
 VECTORS_PER_BLOCK, QUERIES_PER_BLOCK = 4096, 256
+#: Bytes of query vectors that a task holds, about.
+HELD = 16 << 20
 SEED = 20
 
 
@@ -57,25 +61,32 @@ def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[n
     return np.packbits(turned > 0, axis=1), length, np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1])
 
 
-BLOCKS = "d int, ids binary, rows binary, vectors binary, codes binary, lengths binary, f binary"
+BLOCKS = "d int, place long, ids binary, rows binary, vectors binary, codes binary, lengths binary, f binary"
+
+
+def kind_of(vectors: DataFrame) -> type:
+    """The numpy type in which blocks hold vectors exactly."""
+    return np.float32 if vectors.schema["embedding"].dataType.elementType == FloatType() else np.float64
 
 
 def build_blocks(vectors: DataFrame, centres: dict[int, list[float]], size: int) -> DataFrame:
     """vectors (vec_id, embedding) as blocks of up to size rows; see BLOCKS. rows numbers
-    the rows of all blocks: the task and a count."""
+    the rows of all blocks: the task and a count. place is the task and a count of its blocks."""
+    kind = kind_of(vectors)
 
-    def block(ids: list[int], numbers: list[int], rows: list[np.ndarray], d: int, centre: np.ndarray, turn: np.ndarray) -> pa.RecordBatch:
+    def block(place: int, ids: list[int], numbers: list[int], rows: list[np.ndarray], d: int, centre: np.ndarray, turn: np.ndarray) -> pa.RecordBatch:
         codes, length, f = encode(np.stack(rows), centre, turn)
         parts = [np.array(ids, np.int64), np.array(numbers, np.int64), np.stack(rows), codes, length, f]
-        return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], ["d", "ids", "rows", "vectors", "codes", "lengths", "f"])
+        return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([place], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], ["d", "place", "ids", "rows", "vectors", "codes", "lengths", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list, list]] = {}
         turns: dict[int, tuple] = {}
-        number = TaskContext.get().partitionId() << 40
+        place = TaskContext.get().partitionId()
+        number = place << 40
         for batch in batches:
             for vec_id, vec in zip(batch.column("vec_id").to_pylist(), batch.column("embedding"), strict=True):
-                row = vec.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                row = vec.values.to_numpy(zero_copy_only=False).astype(kind)
                 d = len(row)
                 if d not in turns:
                     turns[d] = (np.array(centres.get(d, np.zeros(d))), rotation(d))
@@ -85,10 +96,12 @@ def build_blocks(vectors: DataFrame, centres: dict[int, list[float]], size: int)
                 number += 1
                 rows.append(row)
                 if len(ids) == size:
-                    yield block(ids, numbers, rows, d, *turns[d])
+                    yield block(place, ids, numbers, rows, d, *turns[d])
+                    place += 1
                     held.pop(d)
         for d, (ids, numbers, rows) in held.items():
-            yield block(ids, numbers, rows, d, *turns[d])
+            yield block(place, ids, numbers, rows, d, *turns[d])
+            place += 1
 
     return vectors.mapInArrow(run, BLOCKS)
 
@@ -97,30 +110,29 @@ class Searcher:
     """The nearest vectors of one query block, over the vector blocks seen so far."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int):
-        self.ids, self.queries, self.k = ids, queries, k
-        rest = queries - centre
+        self.ids, self.queries, self.k = ids, queries.astype(np.float64), k
+        rest = self.queries - centre
         self.length = np.sqrt((rest * rest).sum(axis=1))
         self.turned = (rest @ turn / np.maximum(self.length, 1e-300)[:, None]).astype(np.float32)
         self.found = [(np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
+        self.known = np.full(len(ids), np.inf)  # squares of the k-th distances
 
-    def search(self, ids: np.ndarray, numbers: np.ndarray, vectors: np.ndarray, codes: np.ndarray, length: np.ndarray, f: np.ndarray) -> int:
+    def search(self, ids: np.ndarray, numbers: np.ndarray, vectors: np.ndarray, signs: np.ndarray, length: np.ndarray, f: np.ndarray) -> int:
         """Takes in a block; returns how many vectors were reranked."""
-        n, d = vectors.shape
-        signs = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
+        d = vectors.shape[1]
         product = (self.turned @ signs.T) / np.sqrt(d) / np.maximum(f, 1e-12)
         error = EPSILON * np.sqrt(np.maximum(1 - f * f, 0) / np.maximum(f * f, 1e-24) / max(d - 1, 1)) + 1e-5
         base = self.length[:, None] ** 2 + length**2
         scale = 2 * self.length[:, None] * length
         low, high = base - scale * (product + error), base - scale * (product - error)
         reranked = 0
-        for q, query_id in enumerate(self.ids):
+        for q in np.flatnonzero((~(low > self.known[:, None] * (1 + 1e-9) + 1e-12)).any(axis=1)):
             scores, known, rows = self.found[q]
-            others = ids != query_id
+            others = ids != self.ids[q]
             bounds = high[q] if others.all() else high[q][others]
             limit = np.partition(bounds, self.k - 1)[self.k - 1] if len(bounds) >= self.k else np.inf
-            if len(scores) == self.k:
-                limit = min(limit, scores[-1] ** 2)
-            chosen = np.flatnonzero((low[q] <= limit * (1 + 1e-9) + 1e-12) & others)
+            limit = min(limit, self.known[q])
+            chosen = np.flatnonzero(~(low[q] > limit * (1 + 1e-9) + 1e-12) & others)
             reranked += len(chosen)
             if not len(chosen):
                 continue
@@ -130,6 +142,8 @@ class Searcher:
             rows = np.concatenate([rows, numbers[chosen]])
             order = np.lexsort((rows, known, scores))[: self.k]
             self.found[q] = (scores[order], known[order], rows[order])
+            if len(order) == self.k:
+                self.known[q] = scores[order[-1]] ** 2
         return reranked
 
     def rows(self) -> pa.RecordBatch:
@@ -138,50 +152,72 @@ class Searcher:
         return pa.RecordBatch.from_arrays([query, known, rows, scores], ["query_id", "vec_id", "row", "score"])
 
 
-def nearest(index: DataFrame, queries: DataFrame, centres: dict[int, list[float]], k: int = NEAREST) -> DataFrame:
-    """query_id, rank, vec_id, score from stored blocks of vectors and of queries."""
+def grid(tasks: int, vectors: int, queries: int, held: int) -> tuple[int, int]:
+    """Groups of vectors and of queries, by their bytes: about one cell a task, no more than
+    held bytes of queries a group, and else as few copies as can be."""
+    by = max(1, math.ceil(queries / held), round(math.sqrt(tasks * queries / max(vectors, 1))))
+    return max(1, tasks // by), by
+
+
+def nearest(index: DataFrame, queries: DataFrame, centres: dict[int, list[float]], k: int = NEAREST, kind: type = np.float64, held: int = HELD) -> DataFrame:
+    """query_id, rank, vec_id, score from stored blocks of vectors and of queries, whose vectors
+    are of the numpy type kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: OrderedDict[bytes, Searcher] = OrderedDict()
-        turns: dict[int, tuple] = {}
+        searchers: list[Searcher] = []
+        of, centre, turn = 0, np.empty(0), np.empty(0)
         for batch in batches:
-            for row in batch.to_pylist():
-                d = row["d"]
-                if d not in turns:
-                    turns[d] = (np.array(centres.get(d, np.zeros(d))), rotation(d))
-                if (key := row["q_ids"] + row["q_vectors"][: 8 * d]) not in held:
-                    held[key] = Searcher(np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"], np.float64).reshape(-1, d), *turns[d], k)
-                held.move_to_end(key)
-                held[key].search(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["rows"], np.int64), np.frombuffer(row["vectors"], np.float64).reshape(-1, d), np.frombuffer(row["codes"], np.uint8).reshape(-1, (d + 7) // 8), np.frombuffer(row["lengths"], np.float64), np.frombuffer(row["f"], np.float64))
-                if len(held) > 64:
-                    yield held.popitem(last=False)[1].rows()
-        for searcher in held.values():
-            yield searcher.rows()
-
-    # blocks of the stated query set against all blocks: each group of vector blocks gets
-    # its own copy of the query blocks, so the groups are searched side by side
-    groups = partitions(index.sparkSession)
-    asked = queries.select("d", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    met = index.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).join(asked, ["d", "group"]).drop("group")
-    found = met.mapInArrow(run, "query_id long, vec_id long, row long, score double")
+            for i, d in enumerate(batch.column("d").to_pylist()):
+                part = lambda name, as_kind, i=i, batch=batch: np.frombuffer(batch.column(name)[i].as_buffer(), as_kind)
+                if d != of:
+                    yield from (x.rows() for x in searchers)
+                    searchers, of, centre, turn = [], d, np.array(centres.get(d, np.zeros(d))), rotation(d)
+                ids, vectors = part("ids", np.int64), part("vectors", kind).reshape(-1, d)
+                if batch.column("asked")[i].as_py():
+                    searchers.append(Searcher(ids.copy(), vectors, centre, turn, k))
+                elif searchers:
+                    signs = np.unpackbits(part("codes", np.uint8).reshape(-1, (d + 7) // 8), axis=1, count=d).astype(np.float32) * 2 - 1
+                    for x in searchers:
+                        x.search(ids, part("rows", np.int64), vectors, signs, part("lengths", np.float64), part("f", np.float64))
+        yield from (x.rows() for x in searchers)
+
+    spark = index.sparkSession
+    small_batches(spark)
+    size = lambda blocks: blocks.agg(F.sum(F.length("ids") * F.col("d"))).first()[0] or 0
+    groups, by = grid(partitions(spark), size(index), size(queries), held)
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    both = index.withColumns({"asked": F.lit(False), "group": F.pmod("place", F.lit(groups)).cast("int")}).withColumn("by", copies(by))
+    asked = queries.select("d", "place", "ids", "vectors", F.lit(True).alias("asked"), F.pmod("place", F.lit(by)).cast("int").alias("by"))
+    both = both.unionByName(asked.withColumn("group", copies(groups)), allowMissingColumns=True)
+    cells = both.repartitionById(groups * by, F.col("group") * by + F.col("by")).sortWithinPartitions("d", F.desc("asked"))
+    found = cells.mapInArrow(run, "query_id long, vec_id long, row long, score double")
     found = found.groupBy("query_id", "row", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = NEAREST) -> DataFrame:
+def fit_centres(vectors: DataFrame) -> dict[int, list[float]]:
+    """The mean vector of each length, over SAMPLE rows. Rows are thinned by the hash of their
+    id before they meet in a task; only the means go to the driver."""
+    hashed = vectors.withColumn("h", F.xxhash64("vec_id"))
+    thin = hashed.filter(F.pmod("h", F.lit(vectors.count() // (2 * SAMPLE) + 1)) == 0)
+    sample = thin.orderBy("h", "vec_id").limit(SAMPLE)
+    means = sample.select(F.size("embedding").alias("d"), F.posexplode("embedding").alias("at", "x")).groupBy("d", "at").agg(F.avg("x").alias("x"))
+    centres: dict[int, list[float]] = {}
+    for d, _, x in means.orderBy("d", "at").collect():
+        centres.setdefault(d, []).append(x if math.isfinite(x) else 0.0)
+    return centres
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, held: int = HELD) -> DataFrame:
     """The k nearest rows of vectors (vec_id, embedding) for each row where is_query holds."""
     spark = vectors.sparkSession
     own = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    sample = own.withColumn("h", F.xxhash64("vec_id")).orderBy("h", "vec_id").limit(SAMPLE).collect()
-    by_size: dict[int, list] = {}
-    for r in sample:
-        by_size.setdefault(len(r["embedding"]), []).append(r["embedding"])
-    centres = {d: np.mean(np.array(rows, np.float64), axis=0).tolist() for d, rows in by_size.items()}
+    centres = fit_centres(own)
     index = materialise(build_blocks(own.repartition(partitions(spark)), centres, VECTORS_PER_BLOCK), "vector-blocks")
     asked = own.filter(is_query).dropDuplicates(["vec_id", "embedding"]).repartition(max(1, partitions(spark) // 8))
     queries = materialise(build_blocks(asked, centres, QUERIES_PER_BLOCK), "query-blocks")
-    return nearest(index, queries, centres, k)
+    return nearest(index, queries, centres, k, kind_of(own), held)
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -487,6 +487,33 @@ def test_op9_repeated_queries(spark):
         assert [(r["vec_id"], r["rank"]) for r in got if r["query_id"] == q] == [(i, n + 1) for n, i in enumerate(want)]
 
 
+def test_op9_grid(spark):
+    """Several groups of queries and blocks of two lengths, null ids and tied copies, against
+    brute force; no copies of the queries are broadcast, and each cell holds few of them."""
+    rng = np.random.default_rng(19)
+    vectors = rng.standard_normal((5000, 8)).astype(np.float32)
+    vectors[4000:] = vectors[:1000]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(None, vectors[0].tolist())] + [(i, [float(i), 1.0]) for i in range(5000, 5300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = onebit.search(df, F.col("vec_id") % 20 == 0, held=4000)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert len(got) == 265
+    for q, own in got.items():
+        ids = np.arange(5000) if q < 5000 else np.arange(5000, 5300)
+        apart = np.sqrt(((vectors.astype(np.float64) - vectors[q].astype(np.float64)) ** 2).sum(axis=1)) if q < 5000 else np.abs(ids - q).astype(float)
+        want = [(int(ids[i]), apart[i]) for i in np.lexsort((ids, apart)) if ids[i] != q][:10]
+        assert own == want
+    for tasks, size, asked in ((600, 10**10, 10**8), (12, 10**7, 10**5), (16, 10**9, 10**9), (4, 10**6, 10**9)):
+        groups, by = onebit.grid(tasks, size, asked, 16 << 20)
+        assert asked / by <= 16 << 20 and groups * by <= max(tasks, by)
+    groups, by = onebit.grid(600, 10**10, 10**8, 16 << 20)  # copies of both sides stay a few times the input
+    assert by * 10**10 + groups * 10**8 < 10 * 10**10
+
+
 def test_op10(docs, none):
     tokenizer = load_tokenizer(BYTE)
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
