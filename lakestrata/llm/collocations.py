@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batched, materialise, table
+from .common import batched, light_batches, materialise, partitions, release, table, trim
 
 DEPTH = 3
 SHARD = 1 << 20
@@ -38,6 +39,9 @@ SHARD = 1 << 20
 GATHERED = 4
 #: Bytes of text that are split into words at once.
 STEP = 1 << 20
+#: Places of phrases that are extended at once (or those of one phrase), and rows that a task
+#: returns at once.
+PLACES, RETURNED = 1 << 17, 1 << 15
 MIN_COUNT = 10
 TOP = 2000
 _BITS = 21
@@ -135,14 +139,16 @@ class Side:
 
 
 def _side(ids: np.ndarray) -> Side:
-    padded = np.concatenate([ids, np.zeros(DEPTH - 1, np.int64)]).astype(np.int64)
+    padded = np.concatenate([ids, np.zeros(DEPTH - 1, np.int32)])
     key = np.zeros(len(ids), np.int64)
     for i in range(DEPTH):
-        key = key << _BITS | padded[i : i + len(ids)]
-    order = np.argsort(key, kind="stable")
-    before = np.where(order > 0, ids[order - 1], 0)
-    goes_to = np.empty(len(ids), np.int64)
-    goes_to[np.argsort(before, kind="stable")] = np.arange(len(ids))
+        key <<= _BITS
+        key |= padded[i : i + len(ids)]
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    del key
+    before = np.where(order > 0, ids[order - 1], np.int32(0))
+    goes_to = np.empty(len(ids), np.int32)
+    goes_to[np.argsort(before, kind="stable")] = np.arange(len(ids), dtype=np.int32)
     return Side(np.concatenate([[0], np.cumsum(np.bincount(ids))]), before, goes_to)
 
 
@@ -154,7 +160,7 @@ class Level:
     at: dict[bool, np.ndarray]
     counts: np.ndarray
 
-    def take(self, which: np.ndarray) -> Level:
+    def take(self, which: np.ndarray | slice) -> Level:
         return Level(self.words[which], {s: a[which] for s, a in self.at.items()}, self.counts[which])
 
 
@@ -163,7 +169,7 @@ class Index:
     DEPTH words have intervals. side True is the text, False the reversed text."""
 
     def __init__(self, ids: np.ndarray):
-        self.ids = np.concatenate([[0], ids, [0]])
+        self.ids = np.concatenate([[0], ids, [0]]).astype(np.int32)
         self.sides: dict[bool, Side] = {}
 
     def side(self, forward: bool) -> Side:
@@ -176,10 +182,23 @@ class Index:
         found = np.flatnonzero(counts)
         found = found[found > 0]
         at = (np.cumsum(counts) - counts)[found]  # the same on both sides
-        return Level(found[:, None], {True: at, False: at}, counts[found])
+        return Level(found[:, None].astype(np.int32), {True: at, False: at}, counts[found])
 
     def extended(self, level: Level, left: bool = True) -> tuple[Level, np.ndarray]:
-        """All phrases of a level with one word more, and the phrase each comes from."""
+        """All phrases of a level with one word more, and the phrase each comes from. Phrases go
+        in slices of about PLACES places, as many as a level has would take several times the
+        memory of the index."""
+        ends, at, made = np.cumsum(level.counts), 0, []
+        while at < len(ends) or not made:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PLACES, "right")))
+            found, own = self._extended(level.take(slice(at, end)), left)
+            made.append((found, own + at))
+            at = end
+        levels, own = zip(*made, strict=True)
+        joined = lambda of: np.concatenate([of(x) for x in levels])
+        return Level(joined(lambda x: x.words), {s: joined(lambda x, s=s: x.at[s]) for s in (True, False)}, joined(lambda x: x.counts)), np.concatenate(own)
+
+    def _extended(self, level: Level, left: bool) -> tuple[Level, np.ndarray]:
         side, starts = self.side(left), level.at[left]
         total = int(level.counts.sum())
         parent = np.repeat(np.arange(len(starts)), level.counts)
@@ -205,72 +224,106 @@ class Index:
 def _numbered(shard: pa.Table, words: pa.Table) -> tuple[Index, np.ndarray, int]:
     """Index of a shard over its frequent words, their corpus numbers, and the words at its
     head that another shard counts; words that are not frequent end a piece."""
-    local, numbers = words["local"].to_numpy(), words["number"].to_numpy()
+    local, numbers = words["local"].to_numpy(), words["w1"].to_numpy()
     order = np.argsort(local)
-    new = np.zeros(shard["n_words"][0].as_py() + 1, np.int64)
+    new = np.zeros(shard["w1"][0].as_py() + 1, np.int32)
     new[local[order]] = np.arange(1, len(local) + 1)
-    return Index(new[np.frombuffer(shard["ids"][0].as_buffer(), np.int32)]), np.concatenate([[0], numbers[order]]), shard["known"][0].as_py()
+    return Index(new[np.frombuffer(shard["ids"][0].as_buffer(), np.int32)]), np.concatenate([[0], numbers[order]]), shard["w2"][0].as_py()
 
 
-def _pairs(shard: pa.Table, words: pa.Table) -> pa.Table:
+def _pairs(shard: pa.Table, words: pa.Table, _: pa.Table) -> pa.Table:
     index, numbers, known = _numbered(shard, words)
     level, _ = index.extended(index.words())
     pairs, counts = level.words, level.counts
     if known == DEPTH - 1 and index.ids[1 : known + 1].all():
         pairs, counts = np.vstack([pairs, index.ids[None, 1 : known + 1]]), np.append(counts, -1)
-    pairs = numbers[pairs]
-    return pa.table({"shard": pa.array(np.full(len(pairs), shard["shard"][0].as_py())), "w1": pa.array(pairs[:, 0]), "w2": pa.array(pairs[:, 1]), "n": pa.array(counts)})
+    return pa.table({"shard": pa.array(np.full(len(pairs), shard["shard"][0].as_py())), "w1": pa.array(numbers[pairs[:, 0]]), "w2": pa.array(numbers[pairs[:, 1]]), "n": pa.array(counts)})
 
 
 def _triples(shard: pa.Table, words: pa.Table, pairs: pa.Table) -> pa.Table:
     index, numbers, _ = _numbered(shard, words)
     order = np.argsort(numbers)
     place = lambda c: order[np.searchsorted(numbers, pairs[c].to_numpy(), sorter=order)]
-    packed = lambda w: w[:, 0] << _BITS | w[:, 1]
-    frequent = packed(np.column_stack([place("w1"), place("w2")]))
+    packed = lambda first, second: first.astype(np.int64) << _BITS | second
+    frequent = np.append(np.sort(packed(place("w1"), place("w2"))), -1)
+
+    def among(words: np.ndarray) -> np.ndarray:
+        pair = packed(words[:, 0], words[:, 1])
+        return frequent[np.searchsorted(frequent[:-1], pair)] == pair
+
     level, _ = index.extended(index.words())
-    level = level.take(np.isin(packed(level.words), frequent))
+    level = level.take(among(level.words))
     more, _ = index.extended(level, left=False)
-    more = more.take(np.isin(packed(more.words[:, 1:]), frequent))
-    found = numbers[more.words]
-    return pa.table({"w1": pa.array(found[:, 0]), "w2": pa.array(found[:, 1]), "w3": pa.array(found[:, 2]), "n": pa.array(more.counts)})
+    more = more.take(among(more.words[:, 1:]))
+    return pa.table({**{f"w{i + 1}": pa.array(numbers[more.words[:, i]]) for i in range(3)}, "n": pa.array(more.counts)})
 
 
-def _where_both(fn: Callable[[pa.Table, pa.Table], pa.Table], shape: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """fn, or no rows for a shard without frequent words."""
+def _by_shard(texts: DataFrame, told: DataFrame, tasks: int, fn: Callable[[pa.Table, pa.Table, pa.Table], pa.Table], shape: str) -> DataFrame:
+    """fn of each shard that has frequent words: its row of texts, and its rows of told, first
+    the words, then the pairs. Shards are dealt to tasks by number, as many to each, and rows
+    reach a task sorted by shard: it holds one shard at a time."""
 
-    def run(shard: pa.Table, told: pa.Table) -> pa.Table:
-        return fn(shard, told) if shard.num_rows and told.num_rows else shape.empty_table()
+    def done(pieces: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(pieces)
+        n = whole.num_rows - whole["local"].null_count
+        if n:
+            yield from fn(whole.slice(0, 1), whole.slice(1, n), whole.slice(n + 1)).to_batches(max_chunksize=RETURNED)
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: list[pa.RecordBatch] = []
+        for batch in batches:
+            shards = batch.column("shard").to_numpy()
+            for a, b in pairwise([0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]):
+                if pieces and pieces[0].column("shard")[0].as_py() != shards[a]:
+                    yield from done(pieces)
+                    pieces = []
+                pieces.append(batch.slice(a, b - a))
+        if pieces:
+            yield from done(pieces)
+        del pieces
+        trim()
+
+    parts = partitions(texts.sparkSession)
+    both = texts.withColumn("local", F.lit(None).cast("int")).unionByName(told.withColumn("ids", F.lit(None).cast("binary")))
+    number = F.shiftright("shard", 32) + F.col("shard").bitwiseAND(F.lit((1 << 32) - 1)) * F.lit(tasks)
+    dealt = both.repartitionById(parts, F.pmod(number, F.lit(parts)).cast("int"))
+    return dealt.sortWithinPartitions("shard", F.isnull("ids"), F.isnull("local")).mapInArrow(run, shape)
 
 
 # --- the corpus -----------------------------------------------------------------------------
 def phrases(docs: DataFrame, min_count: int = MIN_COUNT, shard_words: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(totals, words, pairs, triples), stored: words of each lang, and all words and phrases
     of at least min_count occurrences by corpus numbers of words, with their counts."""
-    made = materialise(shards(docs, shard_words), "shards")
-    own = made.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("shard", "lang", (F.col("local") + 1).alias("local"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    counted = materialise(own.groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    words = materialise(counted.filter(F.col("n") >= min_count).withColumn("number", F.monotonically_increasing_id() + 1), "words")
-    local = materialise(own.select("shard", "lang", "word", "local").join(words, ["lang", "word"]).select("shard", "local", "number"), "local-words")
-    texts = made.select("shard", F.size("words").alias("n_words"), "ids", "known").groupBy("shard")
-    indexed = texts.cogroup(local.groupBy("shard"))
-    two = pa.schema([("shard", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int64())])
-    in_shards = materialise(indexed.applyInArrow(_where_both(_pairs, two), "shard long, w1 long, w2 long, n long"), "shard-pairs")
-    pairs = materialise(in_shards.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count), "pairs")
-    known = in_shards.filter("n > 0").join(pairs.select("w1", "w2"), ["w1", "w2"]).select("shard", "w1", "w2")
-    # words and pairs of a shard in one side of the cogroup: a pair has no local number
-    told = local.select("shard", "local", "number", F.lit(None).cast("long").alias("w1"), F.lit(None).cast("long").alias("w2")).unionByName(known, allowMissingColumns=True)
-
-    def triples(shard: pa.Table, of_shard: pa.Table) -> pa.Table:
-        is_word = pa.compute.is_valid(of_shard["local"])
-        return _triples(shard, of_shard.filter(is_word), of_shard.filter(pa.compute.invert(is_word)))
-
-    three = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("w3", pa.int64()), ("n", pa.int64())])
-    per_shard = texts.cogroup(told.groupBy("shard")).applyInArrow(_where_both(triples, three), "w1 long, w2 long, w3 long, n long")
-    found = materialise(per_shard.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count), "triples")
+
+    def stored(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
+        """materialise, and let go of the step's shuffle files and of what its executors hold."""
+        kept = materialise(df, name, large_rows)
+        release(kept.sparkSession)
+        return kept
+
+    light_batches(docs.sparkSession)
+    made = stored(shards(docs, shard_words), "shards", large_rows=True)
+    totals = made.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("total"))
+    own = made.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("shard", "lang", (F.col("local") + 1).alias("local"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"), (F.monotonically_increasing_id() + 1).alias("id"))
+    # a word meets itself in all shards once, which gives its count and its number
+    same = Window.partitionBy("lang", "word")
+    local = own.withColumns({"a": F.sum("n").over(same), "number": F.min("id").over(same)}).filter(F.col("a") >= min_count)
+    local = stored(local.select("shard", "local", "number", "lang", "word", "a"), "local-words")
+    words = materialise(local.groupBy("lang", "word", "number").agg(F.max("a").alias("n")), "words")
+
+    tasks = (made.agg(F.max(F.shiftright("shard", 32))).first()[0] or 0) + 1
+    texts = made.select("shard", F.size("words").cast("long").alias("w1"), F.col("known").cast("long").alias("w2"), "ids")
+    numbers = local.select("shard", "local", F.col("number").alias("w1"), F.lit(None).cast("long").alias("w2"))
+    in_shards = _by_shard(texts, numbers, tasks, _pairs, "shard long, w1 long, w2 long, n long")
+    in_shards = in_shards.withColumn("a", F.sum("n").over(Window.partitionBy("w1", "w2"))).filter((F.col("a") >= min_count) & (F.col("n") > 0))
+    frequent = stored(in_shards.select("shard", "w1", "w2", "a"), "shard-pairs")
+    pairs = stored(frequent.groupBy("w1", "w2").agg(F.max("a").alias("n")), "pairs")
+    # words and pairs of a shard: a pair has no local number
+    told = numbers.unionByName(frequent.select("shard", F.lit(None).cast("int").alias("local"), "w1", "w2"))
+    per_shard = _by_shard(texts, told, tasks, _triples, "w1 long, w2 long, w3 long, n long")
+    # dealt before they are summed: in a task hardly a triple comes twice, and its sums would take memory
+    per_shard = per_shard.repartition("w1", "w2", "w3")
+    found = stored(per_shard.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count), "triples")
     return totals, words, pairs, found
 
 

@@ -37,12 +37,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage is cut
-    and the rows survive the loss of any executor."""
+    and the rows survive the loss of any executor. large_rows: a page ends when it is full
+    by any row, and not after 100 of them first, as readers and writers hold whole pages."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    checks = {f"parquet.{x}.size.row.check.min": "1" for x in ("page", "block")} if large_rows else {}
+    df.write.options(**checks).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -73,6 +75,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_ARROW_BYTES, f"{ARROW_MB}m")
 
 
+def light_batches(spark: SparkSession) -> None:
+    """Rows go to Python ARROW_MB at a time, many short ones or a few long ones, where the session
+    has Spark's default of 64 MB: the JVM keeps what it has once allocated for a batch."""
+    if spark.conf.get(_ARROW_BYTES) == f"{64 << 20}b":
+        spark.conf.set(_ARROW_BYTES, f"{ARROW_MB}m")
+
+
 def filesystem(uri: str):
     """(filesystem, path) of a URI that Spark writes to, for use inside tasks."""
     from pyarrow import fs

@@ -1,11 +1,14 @@
 """Operator 13 against brute force and its SQL; the index of a shard against plain counting."""
 
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 
 from lakestrata.llm import collocations as C
 
@@ -82,5 +85,32 @@ def test_index():
                 assert n == sum((k[1:] if side else k[:-1]) == words for k in plain[3])
 
 
+def test_memory_of_a_shard():
+    """Extending all phrases of a shard takes little beside what it returns."""
+    index = C.Index(np.random.default_rng(8).zipf(1.3, 1 << 19) % 5000)
+    index.side(True)
+    tracemalloc.start()
+    level, _ = index.extended(index.words())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert level.counts.sum() > 1 << 18
+    assert most < 35 * len(index.ids)
+
+
+def test_shards_are_dealt_evenly(spark):
+    """As many shards to each task, in the order that a shard's step asks for."""
+    shards = [(task << 32) + nth for task in range(8) for nth in range(5)]
+    texts = spark.createDataFrame([(s, 9, 0, b"x") for s in shards], "shard long, w1 long, w2 long, ids binary").repartition(3)
+    told = spark.createDataFrame([(s, i, 10 * i, None) for s in shards for i in (1, 2)] + [(s, None, 1, 2) for s in shards[:30]], "shard long, local int, w1 long, w2 long").repartition(3)
+
+    def step(shard, words, pairs):
+        assert shard["ids"][0].as_py() == b"x" and words["w1"].to_pylist() in ([10, 20], [20, 10])
+        return pa.table({"task": pa.array([TaskContext.get().partitionId()]), "n": pa.array([pairs.num_rows])})
+
+    got = C._by_shard(texts, told, 8, step, "task long, n long").collect()
+    assert Counter(r["task"] for r in got) == dict.fromkeys(range(4), 10)
+    assert sum(r["n"] for r in got) == 30
+
+
 def test_sql(spark):
     assert oracle.difference(C.op13_collocations(spark, SF), C.op13_sql(), SF) == ""
